@@ -51,6 +51,9 @@ def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
         new = np.ones(len(words), bool)
         new[1:] = (words[order][1:] != words[order][:-1]) | (word_owner[order][1:] != word_owner[order][:-1])
         distinct = np.bincount(word_owner[order][new], minlength=n)
+        again = np.zeros(len(words), bool)
+        again[1:] = (words[1:] == words[:-1]) & (word_owner[1:] == word_owner[:-1])
+        repeated = np.bincount(word_owner[again], minlength=n)
         # a mark straight before a blank, and marks in a row
         after = np.zeros(len(part), bool)
         after[:-1] = _blank[part[1:]]
@@ -72,6 +75,7 @@ def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
                 np.log1p(size) / 10,
                 size / count / 10,
                 distinct / count,
+                repeated / count,
                 closing / count,
                 doubled / size,
                 inner_upper / size,
@@ -151,7 +155,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranking:
 
     # at most ``sample`` small rows; rows that repeat a doc_id count once
     found = rows.join(F.broadcast(known), "doc_id").mapInArrow(run, "doc_id long, quality int, x binary").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("x").alias("x")).orderBy("doc_id").collect()
-    width = 256 + 13
+    width = 256 + 14
     x = np.stack([np.frombuffer(r["x"], np.float32) for r in found]) if found else np.zeros((0, width), np.float32)
     return rank(x, np.array([r["quality"] for r in found], np.int64))
 
