@@ -22,12 +22,12 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     )
     labels = stash(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")), "labels")
     while True:
-        near = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("label").alias("near"))
-        seen = labels.join(near, labels.node == near.u).select("node", "label", F.least("label", "near").alias("low"))
+        near = both.hint("merge").join(labels.hint("merge"), both.v == labels.node).groupBy("u").agg(F.min("label").alias("near"))
+        seen = labels.hint("merge").join(near.hint("merge"), labels.node == near.u).select("node", "label", F.least("label", "near").alias("low"))
         roots = stash(seen.groupBy(F.col("label").alias("root")).agg(F.min("low").alias("hooked")), "roots")
         if roots.where("hooked < root").isEmpty():
             return labels
         # a root's parent may itself have been hooked: follow two steps at once
         ahead = roots.select(F.col("root").alias("next"), F.col("hooked").alias("further"))
-        jump = roots.join(ahead, roots.hooked == ahead.next, "left").select("root", F.coalesce("further", "hooked").alias("to"))
-        labels = stash(labels.join(jump, labels.label == jump.root).select("node", F.col("to").alias("label")), "labels")
+        jump = roots.hint("merge").join(ahead.hint("merge"), roots.hooked == ahead.next, "left").select("root", F.coalesce("further", "hooked").alias("to"))
+        labels = stash(labels.hint("merge").join(jump.hint("merge"), labels.label == jump.root).select("node", F.col("to").alias("label")), "labels")

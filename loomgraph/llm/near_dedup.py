@@ -9,11 +9,13 @@ coordinates is concentrated as t independent draws would be. Large sets are
 done after one or two rounds, i.e. O(t log t + n) instead of O(t n).
 
 Steps: sketch per document -> copies (equal sets, 128-bit digest) collapse into
-one class -> bands of the class representatives -> in every bucket each member is
-compared with the bucket's hub, exactly, on full shingle sets -> components ->
-buckets that still hold several components compare the members outside their
-largest component with the rest, until none is left. No bucket is expanded to all
-its pairs, none is capped.
+one class -> bands of the class representatives -> every member of a bucket is
+compared with the bucket's hub, its smallest id, exactly, on full shingle sets ->
+components -> the members of a hub that are still in different components are
+compared with one another, exactly too: as all of them are known as the hub's set less
+some and plus some shingles, this takes only those differences, in blocks.
+So all pairs of a bucket are decided, while no bucket is expanded to its pairs, none
+is capped, and what travels grows with the members.
 """
 
 from __future__ import annotations
@@ -31,8 +33,10 @@ from loomgraph.llm.words import mix, row_blocks, shingle_sets, utf8, word_hashes
 from loomgraph.storage import stash
 
 ROWS, BANDS = 6, 30
-#: Buckets up to this many classes compare all pairs of different components at once; larger ones take HUBS members a round.
-SMALL, HUBS = 24, 16
+#: A block of the second comparison: members outside the hub's main component, and members of the hub.
+MINOR, MEMBERS = 512, 2048
+#: Cells of the count matrices of a block that are worked on at once.
+CELLS = 1 << 25
 #: Members that meet their hub in one group of the verification.
 TOGETHER = 64
 
@@ -100,13 +104,13 @@ def _sets(size: int):
     return run
 
 
-def _confirm(percent: int):
+def _with_hub(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by (hub, salt, member): a group's first row, without member, is the hub's own set."""
         hub_id, hub = None, None
         for batch in batches:
-            a, b, out_a, out_b = batch.column("a").to_pylist(), batch.column("b").to_pylist(), [], []
-            sets = batch.column("shingles")
+            a, b, sets = batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("shingles")
+            out: list[list] = [[] for _ in _STAR]
             for k in range(len(a)):
                 own = np.frombuffer(sets[k].as_buffer(), np.uint64)
                 if b[k] is None:
@@ -114,27 +118,154 @@ def _confirm(percent: int):
                 elif hub_id == a[k]:
                     at = np.searchsorted(hub, own)
                     at[at == len(hub)] = 0
-                    common = int(np.count_nonzero(hub[at] == own))
-                    if 100 * common >= percent * (len(hub) + len(own) - common):
-                        out_a.append(a[k])
-                        out_b.append(b[k])
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+                    held = hub[at] == own
+                    common = int(np.count_nonzero(held))
+                    missing = np.ones(len(hub), bool)
+                    missing[at[held]] = False
+                    row = (a[k], b[k], len(hub), len(own), 100 * common >= percent * (len(hub) + len(own) - common), np.concatenate([np.flatnonzero(missing).astype(np.uint64), own[~held]]).tobytes(), len(hub) - common)
+                    for column, value in zip(out, row, strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(out, _STAR, strict=True)], [n for n, _ in _STAR])
 
     return run
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
+#: A member b of hub a: sizes of both sets, whether they are linked, and the difference: places in the hub's set that b lacks, then hashes that only b has.
+_STAR = [("a", pa.int64()), ("b", pa.int64()), ("hub_n", pa.int64()), ("n", pa.int64()), ("linked", pa.bool_()), ("difference", pa.binary()), ("lacks", pa.int64())]
+
+
+def with_hub(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The columns of _STAR for pairs (a, b): linked if 100 * intersection >= percent * union on full sets.
 
     Members travel to their hub's set; a hub with many members is spread over
     groups of about TOGETHER, each with a copy of the hub's set.
     """
     spread = stash(pairs.groupBy("a").agg(F.ceil(F.count("*") / TOGETHER).alias("groups")), "spread")
-    dealt = stash(pairs.join(spread, "a").select("a", "b", F.expr("pmod(xxhash64(b), groups)").alias("salt")), "dealt")
-    members = dealt.join(sets, dealt.b == sets.doc_id).select("a", "salt", "b", "shingles")
-    hubs = dealt.select("a", "salt").distinct().join(sets, F.col("a") == F.col("doc_id")).select("a", "salt", F.lit(None).cast("long").alias("b"), "shingles")
+    dealt = stash(pairs.hint("merge").join(spread.hint("merge"), "a").select("a", "b", F.expr("pmod(xxhash64(b), groups)").alias("salt")), "dealt")
+    members = dealt.hint("merge").join(sets.hint("merge"), dealt.b == sets.doc_id).select("a", "salt", "b", "shingles")
+    hubs = dealt.select("a", "salt").distinct().hint("merge").join(sets.hint("merge"), F.col("a") == F.col("doc_id")).select("a", "salt", F.lit(None).cast("long").alias("b"), "shingles")
     near = members.unionByName(hubs).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return near.select("a", "b", "shingles").mapInArrow(_confirm(percent), "a long, b long")
+    return near.select("a", "b", "shingles").mapInArrow(_with_hub(percent), "a long, b long, hub_n long, n long, linked boolean, difference binary, lacks long")
+
+
+class _Block:
+    """The minor members of a block, ready to be compared with others by the differences from their common hub.
+
+    With the places a member lacks and the hashes it adds, the intersection of two members is
+    |hub| - lacks(x) - lacks(y) + |both lack| + |both add|; the last two are counts of
+    common elements of the differences (places are below 2^32, so are no hashes to speak of).
+    """
+
+    def __init__(self, percent: int, hub_n: int):
+        self.percent, self.hub_n, self.rows, self.parts, self.parent = percent, hub_n, [], None, {}
+
+    def add(self, row: tuple) -> None:
+        self.rows.append(row)
+
+    def _root(self, label: int) -> int:
+        while self.parent.setdefault(label, label) != label:
+            label = self.parent[label]
+        return label
+
+    def _prepare(self) -> None:
+        self.parts, lo = [], 0
+        while lo < len(self.rows):
+            hi, total = lo, 0
+            while hi < len(self.rows) and (hi == lo or (total + len(self.rows[hi][4])) * (hi + 1 - lo) <= CELLS):
+                total += len(self.rows[hi][4])
+                hi += 1
+            part = self.rows[lo:hi]
+            universe, at = np.unique(np.concatenate([r[4] for r in part]), return_inverse=True)
+            table = np.zeros((len(universe), len(part)), np.uint8)
+            table[at, np.repeat(np.arange(len(part)), [len(r[4]) for r in part])] = 1
+            self.parts.append((universe, table, *(np.array([r[k] for r in part], np.int64) for k in range(4))))
+            lo = hi
+
+    def meet(self, others: list[tuple]) -> Iterator[tuple[int, int]]:
+        """Links between the block's members and ``others`` that join components not yet joined by this block."""
+        if self.parts is None:
+            self._prepare()
+        for universe, table, ids, label, n, lacks in self.parts:
+            lo = 0
+            while lo < len(others):
+                hi, total = lo, 0
+                while hi < len(others) and (hi == lo or (total + len(others[hi][4])) * len(ids) <= CELLS):
+                    total += len(others[hi][4])
+                    hi += 1
+                group = others[lo:hi]
+                lo = hi
+                common = np.zeros((len(group), len(ids)), np.int64)
+                flat = np.concatenate([r[4] for r in group])
+                owner = np.repeat(np.arange(len(group)), [len(r[4]) for r in group])
+                if len(universe) and len(flat):
+                    at = np.searchsorted(universe, flat)
+                    at[at == len(universe)] = 0
+                    known = universe[at] == flat
+                    at, owner = at[known], owner[known]
+                    if len(at):
+                        first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+                        common[owner[first]] = np.add.reduceat(table[at], first, axis=0, dtype=np.int64)
+                other_ids, other_label, other_n, other_lacks = (np.array([r[k] for r in group], np.int64)[:, None] for k in range(4))
+                both = self.hub_n - lacks - other_lacks + common
+                linked = (100 * both >= self.percent * (n + other_n - both)) & (label != other_label)
+                for y, x in zip(*np.nonzero(linked), strict=True):
+                    one, two = self._root(int(label[x])), self._root(int(other_label[y, 0]))
+                    if one != two:
+                        self.parent[one] = two
+                        yield int(ids[x]), int(other_ids[y, 0])
+
+
+def _among(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by (hub, blocks, role): the minor members of a block, then the others."""
+        key, block = None, None
+        for batch in batches:
+            a, i, j, role = (batch.column(c).to_pylist() for c in ("a", "i", "j", "role"))
+            b, label, n, lacks, hub_n = (batch.column(c).to_pylist() for c in ("b", "label", "n", "lacks", "hub_n"))
+            difference, found, waiting = batch.column("difference"), [], []
+            for k in range(len(a)):
+                if key != (a[k], i[k], j[k]):
+                    if waiting:
+                        found += block.meet(waiting)
+                        waiting = []
+                    key, block = (a[k], i[k], j[k]), _Block(percent, hub_n[k])
+                row = (b[k], label[k], n[k], lacks[k], np.frombuffer(difference[k].as_buffer(), np.uint64).copy())
+                if role[k] == 0:
+                    block.add(row)
+                else:
+                    waiting.append(row)
+            if waiting:
+                found += block.meet(waiting)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+    return run
+
+
+def among_members(stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of a common hub whose components differ; of links that join the same two components, one at least.
+
+    The members outside a hub's largest component (minor) meet all members of the hub, in
+    blocks of about MINOR by MEMBERS.
+    """
+    members = stash(
+        stars.hint("merge").join(labels.hint("merge"), stars.b == labels.node, "left").select("a", "b", "hub_n", "n", "lacks", "difference", F.coalesce("label", "b").alias("label")),
+        "members",
+    )
+    counted = stash(members.groupBy("a", "label").agg(F.count("*").alias("of_label")), "counted")
+    split = stash(
+        counted.groupBy("a")
+        .agg(F.count("*").alias("labels"), F.sum("of_label").alias("all"), F.max(F.struct("of_label", "label")).alias("top"))
+        .where("labels > 1")
+        .select("a", F.col("top.label").alias("main"), F.ceil(F.col("all") / MEMBERS).cast("int").alias("js"), F.ceil((F.col("all") - F.col("top.of_label")) / MINOR).cast("int").alias("is")),
+        "split",
+    )
+    open_members = stash(members.hint("merge").join(split.hint("merge"), "a"), "open")
+    i, j = F.expr("cast(pmod(xxhash64(b, 1), `is`) as int)"), F.expr("cast(pmod(xxhash64(b, 2), js) as int)")
+    columns = ["a", "b", "label", "n", "lacks", "hub_n", "difference"]
+    minor = open_members.where("label <> main").select(*columns, i.alias("i"), F.explode(F.expr("sequence(0, js - 1)")).alias("j"), F.lit(0).alias("role"))
+    others = open_members.select(*columns, F.explode(F.expr("sequence(0, `is` - 1)")).alias("i"), j.alias("j"), F.lit(1).alias("role"))
+    blocks = minor.unionByName(others).repartition("a", "i", "j").sortWithinPartitions("a", "i", "j", "role", "b")
+    return blocks.mapInArrow(_among(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
@@ -153,48 +284,30 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profile = stash(source.mapInArrow(_profiles(words, rows, bands), "doc_id long, n_shingles long, digest binary, bands array<long>"), "profiles")
+    # merge joins throughout: none of these sides is bounded, however small it may be today
     usable = profile.where("digest is not null and doc_id is not null")
     heads = stash(usable.groupBy("digest").agg(F.min("doc_id").alias("head")), "heads")
     # one set per representative, should two texts share a doc_id
-    own = usable.join(heads, (usable.digest == heads.digest) & (usable.doc_id == heads["head"]), "left_semi").groupBy("doc_id").agg(F.min(F.struct("digest", "n_shingles", "bands")).alias("own"))
+    own = usable.hint("merge").join(heads.hint("merge"), (usable.digest == heads.digest) & (usable.doc_id == heads["head"]), "left_semi").groupBy("doc_id").agg(F.min(F.struct("digest", "n_shingles", "bands")).alias("own"))
     own = stash(own.select("doc_id", "own.*"), "representatives")
-    grid = stash(own.select("doc_id", "n_shingles", F.explode("bands").alias("bucket")), "grid")
-    shared = grid.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.min_by("n_shingles", "doc_id").alias("hub_n"), F.count("*").alias("members")).where("members > 1")
-    entries = stash(grid.join(shared, "bucket"), "entries")
-    fits = "100 * least(n_shingles, {0}) >= " + str(percent) + " * greatest(n_shingles, {0})"  # sizes alone rule the others out
-
-    wanted = stash(own.select("doc_id", "digest").join(entries, "doc_id", "left_semi"), "wanted")
-    sets = stash(source.join(wanted, "doc_id").mapInArrow(_sets(words), "doc_id long, shingles binary"), "sets")
-    pairs = stash(entries.where("doc_id <> hub").where(fits.format("hub_n")).select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
-    links, tested = stash(confirm(pairs, sets, percent), "confirmed"), pairs
+    grid = own.select("doc_id", F.explode("bands").alias("bucket"))
+    shared = stash(grid.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count("*").alias("members")).where("members > 1").drop("members"), "buckets")
+    pairs = stash(grid.hint("merge").join(shared.hint("merge"), "bucket").where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
+
+    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    wanted = stash(own.select("doc_id", "digest").hint("merge").join(wanted.hint("merge"), "doc_id"), "wanted")
+    sets = stash(source.hint("merge").join(wanted.hint("merge"), "doc_id").mapInArrow(_sets(words), "doc_id long, shingles binary"), "sets")
+    stars = stash(with_hub(pairs, sets, percent), "stars")
+    links = stars.where("linked").select("a", "b")
     labels = connected_components(links)
+    more = stash(among_members(stars, labels, percent), "more")
+    if not more.isEmpty():
+        labels = connected_components(links.unionByName(more))
 
-    entries = entries.select("bucket", "doc_id", "n_shingles")
-    while True:
-        now = entries.join(labels, entries.doc_id == labels.node, "left").select("bucket", "doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("label"))
-        split = now.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("labels"), F.sum("n").alias("members"), F.max_by("label", F.struct("n", "label")).alias("main")).where("labels > 1")
-        entries = stash(now.join(split, "bucket"), "entries")
-        if entries.isEmpty():
-            break
-        # the members outside the bucket's main component meet the rest: all of them in a small bucket, else a few a round
-        minor = entries.where("label <> main").withColumn("turn", F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id"))).where(f"members <= {SMALL} or turn <= {HUBS}")
-        hubs = stash(minor.select("bucket", F.col("doc_id").alias("hub"), F.col("n_shingles").alias("hub_n"), F.col("label").alias("hub_label")), "hubs")
-        met = entries.join(hubs, "bucket").where("label <> hub_label").where(fits.format("hub_n"))
-        pairs = stash(
-            met.select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"),
-            "pairs",
-        )
-        if not pairs.isEmpty():
-            tested = tested.unionByName(pairs)
-            links = links.unionByName(stash(confirm(pairs, sets, percent), "confirmed"))
-            labels = connected_components(links)
-        # a member that has met all others of its bucket leaves it
-        entries = entries.join(hubs.select("bucket", F.col("hub").alias("doc_id")), ["bucket", "doc_id"], "left_anti").select("bucket", "doc_id", "n_shingles")
-
-    named = heads.join(labels, heads["head"] == labels.node, "left").select("digest", F.coalesce("label", "head").alias("component"))
+    named = heads.hint("merge").join(labels.hint("merge"), heads["head"] == labels.node, "left").select("digest", F.coalesce("label", "head").alias("component"))
     # rows that share a doc_id follow the least component of their texts
     return (
-        profile.join(stash(named, "named"), "digest", "left")
+        profile.select("doc_id", "n_shingles", "digest").hint("merge").join(stash(named, "named").hint("merge"), "digest", "left")
         .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
     )
@@ -206,6 +319,6 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     Rows with a null doc_id stay.
     """
     gone = near_duplicates(docs, words, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    left = docs.hint("merge").join(gone.hint("merge"), F.col("doc_id") == F.col("__gone"), "left_anti")
     turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
     return left.withColumn("__turn", turn).where("__turn = 1 or doc_id is null").drop("__turn")
