@@ -15,6 +15,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +24,15 @@ from pyspark.sql import functions as F
 
 from loomgraph.storage import stash
 
-CACHE, LONGEST = 1 << 18, 64
+#: Entries of a worker's cache, and characters of the longest piece in it.
+CACHE, LONGEST = 1 << 20, 64
 #: Pieces of one length that are numbered in one group, about.
 GROUP = 8192
 #: White space to Python that the tokenizer takes for characters.
 _separators = re.compile("[\x1c-\x1f]")
+#: The tokenizer's own pattern with letters and numbers of Latin-1 spelt out. Fixed values.
+_letters, _numbers = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
+_pieces = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_letters}]+|[{_numbers}]|[^\s{_letters}{_numbers}]+")
 
 
 @lru_cache(maxsize=4)
@@ -42,39 +47,57 @@ def _tokenizer(path: str):
 
 
 class _Ids(dict):
-    """A word between white space -> its ids as little-endian bytes."""
+    """A piece between white space -> its ids as little-endian bytes; the older half goes when it is full."""
 
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = _tokenizer(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= LONGEST:
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.whole(piece)
+        if len(piece) <= LONGEST:
             if len(self) >= CACHE:
-                self.clear()
-            self[word] = ids
+                for old in list(islice(self, CACHE // 2)):
+                    del self[old]
+            self[piece] = ids
         return ids
 
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def of(self, text: str) -> bytes:
+        """Ids of a text. Latin-1 texts are cut by the tokenizer's pattern, in lower case as it has them; others at white space."""
+        if _separators.search(text) or any(s in text for s in self.special):
+            return self.whole(text)
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return b"".join(map(self.__getitem__, text.split()))
+        return b"".join(map(self.__getitem__, _pieces.findall(text.lower())))
+
+
+@lru_cache(maxsize=2)
+def _ids(path: str) -> _Ids:
+    """One cache per worker process, kept from task to task."""
+    return _Ids(path)
+
 
 def tokenize(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every row of ``docs``.
 
     The tokenizer drops white space and its tokens end there, so a text's ids are
-    those of its words in turn. Null and empty texts are the end id alone.
+    those of its pieces in turn. Null and empty texts are the end id alone.
     """
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _Ids(tokenizer)
+        ids = _ids(tokenizer)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                text = text or ""
-                if _separators.search(text):
-                    found = np.array(ids.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + end
-                else:
-                    found = b"".join(map(ids.__getitem__, text.split())) + end
+                found = ids.of(text or "") + end
                 for k in range(0, len(found), 4 * capacity):
                     part = found[k : k + 4 * capacity]
                     for column, value in zip(out, (doc, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part)), strict=True):

@@ -17,13 +17,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of the broadcast table, of what each task proposes for it, and of a worker's cache.
-TABLE, PROPOSED, CACHE = 1 << 15, 1 << 13, 1 << 18
+TABLE, PROPOSED, CACHE = 1 << 15, 1 << 13, 1 << 20
 #: A piece longer than this is not kept in table or cache.
 LONGEST = 64
 _inner_space = re.compile(r"\s \s|\s \Z")
@@ -51,11 +52,11 @@ def pieces(text: str) -> list[str] | None:
 
 
 class _Lengths(dict):
-    """Tier two: piece -> number of tokens, emptied when it has grown too large."""
+    """Tier two: piece -> number of tokens; the older half goes when it is full."""
 
-    def __init__(self, path: str, table: dict[str, int]):
+    def __init__(self, path: str):
         super().__init__()
-        self.path, self.table = path, table
+        self.path, self.table = path, {}
 
     def __missing__(self, piece: str) -> int:
         n = self.table.get(piece)
@@ -64,11 +65,18 @@ class _Lengths(dict):
             if len(piece) > LONGEST:
                 return n
         if len(self) >= CACHE:
-            self.clear()
+            for old in list(islice(self, CACHE // 2)):
+                del self[old]
         self[piece] = n
         return n
 
 
+@lru_cache(maxsize=2)
+def _lengths(path: str) -> _Lengths:
+    """One cache per worker process, kept from task to task."""
+    return _Lengths(path)
+
+
 def frequent_pieces(docs: DataFrame) -> list[str]:
     """The heaviest pieces over all documents, at most TABLE of them.
 
@@ -82,10 +90,10 @@ def frequent_pieces(docs: DataFrame) -> list[str]:
             for text in batch.column(0).to_pylist():
                 if text:
                     seen.update(pieces(text) or ())
-                    if len(seen) > 2 * CACHE:
+                    if len(seen) > CACHE:
                         seen = Counter({p: n for p, n in seen.items() if n > 1 and len(p) <= LONGEST})
-                        if len(seen) > CACHE:
-                            seen = Counter(dict(seen.most_common(CACHE)))
+                        if len(seen) > CACHE // 2:
+                            seen = Counter(dict(seen.most_common(CACHE // 2)))
         top = [(p, n) for p, n in seen.most_common(PROPOSED) if len(p) <= LONGEST]
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["piece", "n"])
 
@@ -105,7 +113,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths, whole = _Lengths(tokenizer, shared.value), _tokenizer(tokenizer)
+        lengths, whole = _lengths(tokenizer), _tokenizer(tokenizer)
+        lengths.table = shared.value
         for batch in batches:
             counts, sizes = [], []
             for text in batch.column("text").to_pylist():
