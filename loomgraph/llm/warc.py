@@ -24,6 +24,8 @@ from loomgraph.storage import stash, work_dir
 #: Magic number of the skippable frame that holds the dictionary, and of a Zstandard frame. Fixed values of the formats.
 DICTIONARY_FRAME, ZSTD_FRAME = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
 FILE_BYTES, DICTIONARY_BYTES, SAMPLES = 32 << 20, 16 << 10, 200
+#: Tasks that read archives, at most.
+READERS = 10_000
 #: Equal payloads of at least so many bytes are stored once.
 REVISIT_BYTES = 1000
 DATE = "2020-01-01T00:00:00Z"
@@ -221,8 +223,8 @@ def read_archives(paths: DataFrame) -> DataFrame:
 
     names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-    spread = paths.select("path").repartition(F.expr("pmod(xxhash64(path), 1024)"))
-    return spread.mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
+    # a task per archive: their names are a few bytes, which AQE would merge into one task if it were let
+    return paths.select("path").repartition(max(1, min(READERS, paths.count()))).mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
 
 
 def plan_revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
