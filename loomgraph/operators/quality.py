@@ -116,7 +116,7 @@ def worst(findings: DataFrame) -> DataFrame:
 
 def dangling_test_links(links: DataFrame, symbols: DataFrame, tests: DataFrame, files: DataFrame) -> DataFrame:
     """Links with the reference that is missing: test_symbol, target_symbol or target_file."""
-    ids = symbols.select("id").unionByName(tests.select("id"))
+    ids = symbols.select("id").unionByName(tests.select("id")).distinct()
     out = links.join(ids.select(F.col("id").alias("test_symbol_id"), F.lit(1).alias("a")), "test_symbol_id", "left").join(ids.select(F.col("id").alias("target_symbol_id"), F.lit(1).alias("b")), "target_symbol_id", "left").join(files.select(F.col("id").alias("target_file_id"), F.lit(1).alias("c")), "target_file_id", "left")
     missing = F.when(F.col("test_symbol_id").isNotNull() & F.col("a").isNull(), "test_symbol").when(F.col("target_symbol_id").isNotNull() & F.col("b").isNull(), "target_symbol").when(F.col("target_file_id").isNotNull() & F.col("c").isNull(), "target_file")
     return out.withColumn("missing", missing).where("missing is not null").select("test_file_id", "test_symbol_id", "missing")
