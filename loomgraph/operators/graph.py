@@ -65,7 +65,9 @@ def trace(edges: DataFrame, seeds: DataFrame, direction: str = "downstream", dep
 def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
     """(id, rank): multi-edges count, nodes without out-edges lose their mass, ranks rounded to six places.
 
-    Edges shrink to distinct pairs with weights first and are kept; ranks are written every fifth round.
+    Edges shrink to distinct pairs with weights first, so a round is one join and one sum
+    over pairs. A node without in-edges has the base rank in every
+    round and needs no row. Ranks are written every fifth round.
     """
     pairs = edges.where("src is not null and dst is not null").groupBy("src", "dst").agg(F.count("*").alias("n"))
     weighted = stash(pairs.join(pairs.groupBy("src").agg(F.sum("n").alias("out")), "src").select("src", "dst", (F.col("n") / F.col("out")).alias("w")), "weights")
@@ -73,13 +75,15 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataF
     n = nodes.count()
     if not n:
         return nodes.withColumn("rank", F.lit(0.0))
-    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
+    base, ranks = (1 - damping) / n, None
     for k in range(rounds):
-        given = weighted.join(ranks, weighted.src == ranks.id).groupBy("dst").agg(F.sum(F.col("rank") * F.col("w")).alias("given"))
-        ranks = nodes.join(given, nodes.id == given.dst, "left").select("id", (F.lit((1 - damping) / n) + damping * F.coalesce("given", F.lit(0.0))).alias("rank"))
+        from_src = F.lit(1.0 / n) if ranks is None else F.coalesce("rank", F.lit(base))
+        joined = weighted if ranks is None else weighted.join(ranks, weighted.src == ranks.id, "left")
+        ranks = joined.groupBy("dst").agg((F.lit(base) + damping * F.sum(from_src * F.col("w"))).alias("rank")).withColumnRenamed("dst", "id")
         if k % 5 == 4:
             ranks = stash(ranks, "ranks")
-    return ranks.select("id", F.round("rank", 6).alias("rank"))
+    ranks = stash(ranks, "ranks") if rounds % 5 else ranks
+    return nodes.join(ranks, "id", "left").select("id", F.round(F.coalesce("rank", F.lit(base)), 6).alias("rank"))
 
 
 def file_pairs(edges: DataFrame, symbols: DataFrame) -> DataFrame:
