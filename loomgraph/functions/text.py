@@ -162,3 +162,17 @@ def unescape_cell(cell: Column) -> Column:
     x = F.replace(cell, F.lit("\\\\"), mark)
     x = F.replace(F.replace(F.replace(x, F.lit("\\t"), F.lit("\t")), F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
     return F.replace(F.replace(x, F.lit("\\@"), F.lit("@")), mark, F.lit("\\"))
+
+
+def join_relative(path: Column, specifier: Column) -> Column:
+    """A relative specifier against a file's folder, with . and up to eight .. resolved; null for others and for those that leave the root."""
+    x = F.concat(dir_prefix(path), specifier)
+    x = F.regexp_replace(x, r"/(\./)+", "/")
+    x = F.regexp_replace(x, r"^(\./)+", "")
+    for _ in range(8):
+        x = F.regexp_replace(x, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
+    return F.when(specifier.rlike(r"^\.\.?/") & ~x.rlike(r"(^|/)\.\.(/|$)"), x)
+
+
+def without_extension(path: Column) -> Column:
+    return F.regexp_replace(path, r"\.[^./]+$", "")

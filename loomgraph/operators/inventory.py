@@ -93,3 +93,36 @@ def supported_languages(spark) -> DataFrame:
     """Language and extensions. Fixed values."""
     rows = {"go": ".go", "python": ".py .pyi", "java": ".java", "kotlin": ".kt .kts", "csharp": ".cs", "typescript": ".cts .js .jsx .mjs .cjs .mts .ts .tsx", "rust": ".rs", "ruby": ".rb", "swift": ".swift", "php": ".php", "cpp": ".c .cc .cpp .cxx .h .hh .hpp"}
     return spark.createDataFrame([(k, " ".join(sorted(v.split()))) for k, v in sorted(rows.items())], "language string, extensions string")
+
+
+def overview(files: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """(part, key, n): languages, kinds, top folders and the highest degrees either way."""
+    parts = [
+        count_by(files, F.col("language"), "key").select(F.lit("language").alias("part"), "key", "n"),
+        count_by(symbols, F.col("kind"), "key").select(F.lit("kind").alias("part"), "key", "n"),
+        top_folders(files).select(F.lit("folder").alias("part"), F.col("folder").alias("key"), "n"),
+        top_degree(edges, symbols, "src").select(F.lit("out_degree").alias("part"), F.col("qualified_name").alias("key"), F.col("degree").alias("n")),
+        top_degree(edges, symbols, "dst").select(F.lit("in_degree").alias("part"), F.col("qualified_name").alias("key"), F.col("degree").alias("n")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def extreme_degree(edges: DataFrame, symbols: DataFrame, side: str) -> DataFrame:
+    """The one symbol of highest degree; of several, the first by qualified name and id."""
+    degree = edges.where(F.col(side).isNotNull()).groupBy(F.col(side).alias("id")).agg(F.count("*").alias("degree"))
+    return degree.join(symbols.select("id", "qualified_name"), "id").orderBy(F.desc("degree"), "qualified_name", "id").limit(1)
+
+
+def scans_with_coverage(scans: DataFrame, coverage: DataFrame) -> DataFrame:
+    """Scans, newest first, with a map language -> files seen. A scan has a row per language at most."""
+    maps = coverage.groupBy("scan_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("language", "seen")))).alias("coverage"))
+    return scans.join(maps.withColumnRenamed("scan_id", "id"), "id", "left").orderBy(F.desc("id"))
+
+
+def cards(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """The short form of symbols that tools give: signature and summary cut to 200 and 160 characters."""
+    named = symbols.join(files.select(F.col("id").alias("file_id"), "path"), "file_id")
+    return named.select("id", "kind", "qualified_name", "path", "start_line", text.truncate(F.col("signature"), 200).alias("signature"), text.truncate(F.col("doc_summary"), 160).alias("summary"))

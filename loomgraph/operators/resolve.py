@@ -6,7 +6,7 @@ symbols, so the work is in names, not in calls; the calls are joined once at the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text
@@ -170,3 +170,34 @@ def cross_language_links(bridges: DataFrame, symbols: DataFrame) -> DataFrame:
 def rebuild(wanted: DataFrame, stored: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """What to insert and what to delete so that ``stored`` becomes ``wanted``."""
     return wanted.join(stored, keys, "left_anti"), stored.join(wanted, keys, "left_anti")
+
+
+def import_bridges(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """(src_file, dst_file): imports whose path names exactly one file, of another language, and none of the importer's own.
+
+    Paths are relative specifiers joined with the importer's folder, or others with a slash
+    as they are; they are looked up whole, without extension, and with the specifier's own stripped.
+    """
+    f = files.select("id", "path", "language")
+    source = imports.join(f.select(F.col("id").alias("file_id"), F.col("path").alias("from_path"), F.col("language").alias("from_language")), "file_id")
+    spec = F.col("import_path")
+    named = F.when(spec.rlike(r"^\.\.?/"), text.join_relative(F.col("from_path"), spec)).when(spec.contains("/"), spec)
+    keys = source.withColumn("named", named).where("named is not null").withColumn("key", F.explode(F.array_distinct(F.array("named", text.without_extension(F.col("named"))))))
+    places = f.select(F.col("id").alias("dst_file"), F.col("language").alias("to_language"), F.explode(F.array_distinct(F.array("path", text.without_extension(F.col("path"))))).alias("key"))
+    hits = keys.join(places, "key").select("file_id", "import_path", "from_language", "dst_file", "to_language").distinct()
+    same = F.count_if(F.col("from_language") == F.col("to_language"))
+    sole = hits.groupBy("file_id", "import_path").agg(same.alias("same"), F.count("*").alias("n"), F.min("dst_file").alias("dst_file")).where("same = 0 and n = 1")
+    return sole.select(F.col("file_id").alias("src_file"), "dst_file").distinct()
+
+
+def related_tests_of_files(bound_links: DataFrame, test_calls: DataFrame, tests: DataFrame, test_files: DataFrame, symbols: DataFrame, wanted: DataFrame, limit: int = 50) -> DataFrame:
+    """(path, symbol, reason, score) for wanted(place, file_id): of a test found for several files the first one's row stays; ``limit`` per file."""
+    t = symbols.join(wanted, "file_id").select("id", "place")
+    linked = bound_links.join(t, bound_links.target_symbol_id == t.id).select("place", F.col("test_symbol_id").alias("tid"), "reason", "score", F.lit(2).alias("rank"))
+    called = test_calls.join(t, test_calls.dst == t.id).select("place", F.col("src").alias("tid"), F.lit("test_calls").alias("reason"), F.lit(0.9).alias("score"), F.lit(3).alias("rank"))
+    every = linked.unionByName(called).join(tests.select(F.col("id").alias("tid"), "file_id", "qualified_name"), "tid").join(test_files.select(F.col("id").alias("file_id"), "path"), "file_id")
+    pick = F.round(F.col("score") * 1000).cast("long") * 4 + F.col("rank")
+    best = every.groupBy("place", "path", F.col("qualified_name").alias("symbol")).agg(F.max_by(F.struct("reason", "score"), pick).alias("b"))
+    page = Window.partitionBy("place").orderBy(F.desc("b.score"), "path", "symbol")
+    first = best.withColumn("n", F.row_number().over(page)).where(F.col("n") <= min(max(50, limit), 1000))
+    return first.groupBy("path", "symbol").agg(F.min_by("b", "place").alias("b")).select("path", "symbol", "b.reason", "b.score")

@@ -502,3 +502,86 @@ def usage_stats(g, spark, folder):
 @_query(raw=True)
 def tool_search(g, spark, folder):
     return spark.createDataFrame(tools.search("graph symbol search"), "tool string, score long")
+
+
+# composites
+
+
+@_query("""li AS (SELECT 'language' AS part, language AS key, count(*) AS n FROM files GROUP BY language UNION ALL SELECT 'kind', kind, count(*) FROM symbols GROUP BY kind),
+fo AS (SELECT 'folder', split_part(path, '/', 1) AS folder, count(*) AS n FROM files GROUP BY ALL ORDER BY n DESC, folder LIMIT 20),
+od AS (SELECT src AS id, count(*) AS degree FROM edges GROUP BY 1), oz AS (SELECT qualified_name, degree, id FROM (SELECT s.id, qualified_name, coalesce(degree, 0) AS degree FROM symbols s LEFT JOIN od USING (id)) ORDER BY degree DESC, CASE WHEN degree > 0 THEN id END, qualified_name, id LIMIT 15),
+ig AS (SELECT dst AS id, count(*) AS degree FROM edges GROUP BY 1), iz AS (SELECT qualified_name, degree, id FROM (SELECT s.id, qualified_name, coalesce(degree, 0) AS degree FROM symbols s LEFT JOIN ig USING (id)) ORDER BY degree DESC, CASE WHEN degree > 0 THEN id END, qualified_name, id LIMIT 15)
+SELECT * FROM li UNION ALL SELECT * FROM fo UNION ALL SELECT 'out_degree', qualified_name, degree FROM oz UNION ALL SELECT 'in_degree', qualified_name, degree FROM iz""")
+def architecture_overview(g, spark, folder):
+    return inventory.overview(g.files, g.symbols, g.edges)
+
+
+@_query("SELECT s.id, qualified_name, count(*) AS degree FROM edges JOIN symbols s ON dst = s.id GROUP BY ALL ORDER BY degree DESC, qualified_name, s.id LIMIT 1")
+def hub_symbol(g, spark, folder):
+    return inventory.extreme_degree(g.edges, g.symbols, "dst")
+
+
+@_query("SELECT test_file_id, count(*) AS n FROM test_links GROUP BY 1 ORDER BY n DESC, test_file_id LIMIT 1")
+def most_linked_test_file(g, spark, folder):
+    return g.test_links.groupBy("test_file_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "test_file_id").limit(1)
+
+
+_SPEC = "im AS (SELECT id AS file_id, '../' || regexp_replace(split_part(path, '/', 2), '[0-9]+$', '') || (br + 1) || '/./' || split_part(split_part(path, '/', 3), '.', 1) AS import_path, language, br FROM (SELECT *, CAST(regexp_extract(path, '([0-9]+)/', 1) AS INTEGER) AS br FROM files WHERE path LIKE 'lib/%'))"
+
+
+@_query(f"""{_SPEC}, bf AS (SELECT im.file_id AS src_file, f.id AS dst_file, im.language AS a, f.language AS b FROM im JOIN files f ON f.path LIKE 'lib/%' AND split_part(f.path, '.', 1) = 'lib/brand' || (br + 1) || '/' || split_part(im.import_path, '/', 4))
+SELECT src_file, dst_file FROM bf WHERE a <> b""")
+def import_bridges(g, spark, folder):
+    f = g.files.where("path like 'lib/%'").withColumn("br", F.regexp_extract("path", "([0-9]+)/", 1).cast("int"))
+    part = F.split("path", "/")
+    spec = F.concat(F.lit("../"), F.regexp_replace(F.get(part, 1), "[0-9]+$", ""), (F.col("br") + 1).cast("string"), F.lit("/./"), F.substring_index(F.get(part, 2), ".", 1))
+    return resolve.import_bridges(f.select(F.col("id").alias("file_id"), spec.alias("import_path")), g.files)
+
+
+@_query("""SELECT 'files' AS metric, count(*) AS n FROM files UNION ALL SELECT 'symbols', count(*) FROM symbols UNION ALL SELECT 'resolved', count(*) FROM edges UNION ALL SELECT 'unresolved', count(*) FROM calls UNION ALL SELECT 'test_links', count(*) FROM test_links
+UNION ALL SELECT 'unresolved_named', count(*) FROM calls WHERE dst_name IN (SELECT name FROM symbols)""")
+def audit_summary(g, spark, folder):
+    named = g.calls.join(g.symbols.select(F.col("name").alias("dst_name")).distinct(), "dst_name", "left_semi")
+    parts = [("files", g.files), ("symbols", g.symbols), ("resolved", g.edges), ("unresolved", g.calls), ("test_links", g.test_links), ("unresolved_named", named)]
+    out = None
+    for name, df in parts:
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("metric"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@_query(f"""{_LINKS}, wa AS (SELECT id AS file_id, row_number() OVER (ORDER BY id DESC) AS place FROM files WHERE id < 2000 AND id % 2 = 0), t AS (SELECT s.id, place FROM symbols s JOIN wa USING (file_id)),
+ev AS (SELECT place, test_symbol_id AS tid, reason, score, 2 AS rank FROM bl JOIN t ON t.id = target_symbol_id UNION ALL SELECT place, src, 'test_calls', 0.9::DOUBLE, 3 FROM test_calls JOIN t ON t.id = dst),
+be AS (SELECT place, path, qualified_name AS symbol, arg_max(reason, round(score * 1000) * 4 + rank) AS reason, arg_max(score, round(score * 1000) * 4 + rank) AS score FROM ev JOIN tests ON tests.id = tid JOIN test_files f ON f.id = file_id GROUP BY ALL),
+pg AS (SELECT *, row_number() OVER (PARTITION BY place ORDER BY score DESC, path, symbol) AS n FROM be)
+SELECT path, symbol, arg_min(reason, place) AS reason, arg_min(score, place) AS score FROM pg WHERE n <= 50 GROUP BY ALL""")
+def related_tests_of_files(g, spark, folder):
+    bound = resolve.bind_test_links(g.test_links, g.symbols, g.files, g.test_files)
+    wanted = g.files.where("id < 2000 and id % 2 = 0").select(F.col("id").alias("file_id"), F.row_number().over(Window.orderBy(F.desc("id"))).alias("place"))
+    return resolve.related_tests_of_files(bound, g.test_calls, g.tests, g.test_files, g.symbols, wanted)
+
+
+@_query("SELECT s.id, kind, qualified_name, path, start_line, signature, doc_summary AS summary FROM symbols s JOIN files f ON f.id = file_id")
+def symbol_cards(g, spark, folder):
+    return inventory.cards(g.symbols, g.files)
+
+
+@_query(f"{_EVENTS} SELECT key AS path, max(id) AS stamp FROM s GROUP BY key HAVING max(id) > coalesce(max(id) FILTER (event_type = 'error'), -1)", raw=True)
+def dirty_queue(g, spark, folder):
+    events = sessions.session_table(spark.read.parquet(f"{folder}/events.parquet")).select(F.col("key").alias("path"), F.col("id").alias("stamp"), "event_type")
+    return sessions.pending(events.select("path", "stamp"), events.where("event_type = 'error'").select("path", "stamp"))
+
+
+@_query("SELECT o_orderpriority AS language, CAST(o_custkey % 5 AS BIGINT) AS scan_id, count(*) AS seen FROM orders GROUP BY ALL", raw=True)
+def scan_coverage(g, spark, folder):
+    orders = spark.read.parquet(f"{folder}/orders.parquet")
+    rows = orders.groupBy((F.col("o_custkey") % 5).alias("scan_id"), F.col("o_orderpriority").alias("language")).agg(F.count("*").alias("seen"))
+    scans = inventory.scans_with_coverage(rows.select(F.col("scan_id").alias("id")).distinct(), rows)
+    return scans.select(F.col("id").alias("scan_id"), F.explode("coverage").alias("language", "seen"))
+
+
+@_query("""fa AS (SELECT path, min(s.id) AS first FROM symbols s JOIN files f ON f.id = file_id GROUP BY path) SELECT path, CAST(dense_rank() OVER (ORDER BY first) AS INTEGER) AS file_rank, round(greatest(0.1::DOUBLE, 1 - 0.05::DOUBLE * (dense_rank() OVER (ORDER BY first) - 1)), 2) AS relevance FROM fa ORDER BY 2 LIMIT 30""")
+def file_relevance(g, spark, folder):
+    first = g.symbols.groupBy("file_id").agg(F.min("id").alias("first")).orderBy("first").limit(30)  # a page of files
+    ranked = first.join(g.files.select(F.col("id").alias("file_id"), "path"), "file_id").withColumn("file_rank", F.dense_rank().over(Window.orderBy("first")))
+    return ranked.select("path", "file_rank", F.round(F.greatest(F.lit(0.1), 1 - 0.05 * (F.col("file_rank") - 1)), 2).alias("relevance"))

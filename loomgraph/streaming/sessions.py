@@ -80,3 +80,10 @@ def newest(spark: SparkSession, table: str, schema, below: int | None = None) ->
     if not found:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(f"{table}/snapshot={max(found):010d}")
+
+
+def pending(queue: DataFrame, done: DataFrame) -> DataFrame:
+    """Dirty paths still to do from queue(path, stamp) and done(path, stamp): the newest request of a path, unless it was done at that stamp or later."""
+    latest = queue.groupBy("path").agg(F.max("stamp").alias("stamp"))
+    finished = done.groupBy("path").agg(F.max("stamp").alias("finished"))
+    return latest.join(finished, "path", "left").where("finished is null or finished < stamp").select("path", "stamp")
