@@ -66,6 +66,18 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_lm_scoring, op2_minhash_near_dedup, op3_warc, op4_token_counts, op5_url_filter, op6_best_fit_packing, op7_fingerprints, op8_mixing, op9_media, op10_quality)}
 
 
+_OP2 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS v FROM documents),
+     s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(2, len(v) - 1)), lambda k: array_to_string(list_slice(v, CAST(k AS BIGINT), CAST(k AS BIGINT) + 2), ' '))) AS shingle FROM w WHERE len(v) > 0),
+     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+     c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+     l AS MATERIALIZED (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+     r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+     m AS (SELECT a, min(b) AS low FROM r GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(low, doc_id)) AS kept
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.a = doc_id
+"""
+
 _OP3 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
      d AS (SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest FROM p),
@@ -112,4 +124,4 @@ FROM r
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": _OP3, "op5_url_filter": _op5_sql(), "op8_mixing": _OP8}
+    return {"op2_minhash_near_dedup": _OP2, "op3_warc": _OP3, "op5_url_filter": _op5_sql(), "op8_mixing": _OP8}
