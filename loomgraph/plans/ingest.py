@@ -25,12 +25,24 @@ class Index:
     symbols: DataFrame
     imports: DataFrame
     calls: DataFrame
+    test_links: DataFrame
 
     @property
     def edges(self) -> DataFrame:
         return self.calls.where("dst is not null").select("src", "dst", "file_id", "line")
 
 
+def test_targets(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """Links of test functions by their names: Go TestX to pkg.X (0.8), Python test_x to the module without its affix (0.7); from test files only."""
+    tested = symbols.join(files.select(F.col("id").alias("file_id"), "path"), "file_id").where(text.is_test_file(F.col("path")) & F.col("kind").isin("function", "method"))
+    scope = F.substring_index("qualified_name", ".", 1)
+    go = F.when((F.col("language") == "go") & F.col("name").rlike("^Test.") & (F.col("name") != "TestMain"), F.concat(scope, F.lit("."), F.substring("name", 5, 1000)))
+    module = F.regexp_replace(F.regexp_replace(scope, "^test_", ""), "_test$", "")
+    python = F.when((F.col("language") == "python") & F.col("name").rlike("^test_."), F.concat(module, F.lit("."), F.substring("name", 6, 1000)))
+    named = tested.withColumn("target_key", F.coalesce(go, python)).where("target_key is not null")
+    return named.select(F.col("file_id").alias("test_file_id"), F.col("id").alias("test_symbol_id"), "target_key", F.lit("test_name_match").alias("reason"), F.when(F.col("language") == "go", 0.8).otherwise(0.7).alias("score"))
+
+
 def index(spark: SparkSession, root: str, patterns: list[str] | None = None) -> Index:
     """The tree's files, symbols, imports and calls with their bindings. Ids are hashes of path, name and place, so they do not depend on order."""
     found = stash(walk.walk(spark, root, patterns).where("not skip"), "tree")
@@ -45,4 +57,7 @@ def index(spark: SparkSession, root: str, patterns: list[str] | None = None) ->
     owner = symbols.groupBy("file_id", F.col("qualified_name").alias("owner")).agg(F.min(F.struct("start_line", "id")).alias("o")).select("file_id", "owner", F.col("o.id").alias("src"))
     calls = facts.where("fact = 'call'").select("file_id", "language", F.col("name").alias("dst_name"), F.col("qualified_name").alias("owner"), F.col("line").cast("long").alias("line")).join(owner, ["file_id", "owner"])
     bound = resolve.resolve(calls.select("src", "file_id", "line", "language", "dst_name"), symbols, files)
-    return Index(files, symbols, stash(facts.where("fact = 'import'").select("file_id", F.col("name").alias("import_path")).distinct(), "imports"), stash(bound, "calls"))
+    imports = stash(facts.where("fact = 'import'").select("file_id", F.col("name").alias("import_path")).distinct(), "imports")
+    none = files.limit(0).select("id", "path", "language")
+    links = resolve.bind_test_links(test_targets(symbols, files), symbols, files, none)
+    return Index(files, symbols, imports, stash(bound, "calls"), stash(links, "test-links"))

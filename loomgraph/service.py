@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph import tools
-from loomgraph.operators import graph, inventory, quality, search
+from loomgraph.functions import text
+from loomgraph.operators import graph, inventory, quality, resolve, search
+from loomgraph.streaming import sessions
 
 
 class Service:
-    """``graph`` has files, symbols, edges and imports; calls, if there, have the bindings."""
+    """``indexed`` is a tree's Index; ``events`` names the folder of the session log, if there is one."""
 
-    def __init__(self, indexed):
-        self.g = indexed
+    def __init__(self, indexed, events: str | None = None):
+        self.g, self.events = indexed, events
 
     def call(self, name: str, **arguments) -> dict:
         """The tool's rows as dictionaries; an error envelope for unknown tools, symbols and arguments out of bounds."""
@@ -99,3 +101,53 @@ class Service:
     def _audit(self, examples: int = 5) -> DataFrame:
         calls = self.g.calls.select(F.xxhash64("src", "line", "dst_name").alias("id"), "src", "dst", F.lit("calls").alias("kind"), "strategy", "confidence")
         return quality.audit(calls, self.g.symbols, self.g.files.withColumn("is_deleted", F.lit(False)), tools.check("examples", examples)).orderBy("code")
+
+    def _related(self, targets: DataFrame) -> DataFrame:
+        in_tests = self.g.files.where(text.is_test_file(F.col("path")))
+        tests = self.g.symbols.join(in_tests.select(F.col("id").alias("file_id")), "file_id", "left_semi")
+        calls = self.g.edges.join(tests.select(F.col("id").alias("src")), "src", "left_semi").select("src", "dst").distinct()
+        return resolve.related_tests(self.g.test_links, calls, tests, in_tests, targets)
+
+    def _find_related_tests(self, symbol: str | None = None, file: str | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
+        if file is not None:
+            targets = self.g.symbols.join(self.g.files.where(F.col("path") == text.canonical_path(F.lit(file))).select(F.col("id").alias("file_id")), "file_id", "left_semi")
+        else:
+            targets = self._targets(symbol)
+        return inventory.page(self._related(targets), [F.desc("score"), "path", "symbol"], tools.check("page", limit), offset)
+
+    def _cross_language_links(self) -> DataFrame:
+        return resolve.cross_language_links(resolve.import_bridges(self.g.imports, self.g.files), self.g.symbols).orderBy("src", "dst")
+
+    def _context_for_task(self, task: str, max_files: int = 10, max_symbols: int = 30, include_tests: bool = True, include_callers: bool = True, max_tokens: int = 4000) -> DataFrame:
+        """Direct hits, their callers and callees, and related tests, ranked and cut to the token budget."""
+        if not 0 < max_tokens <= 200_000:
+            raise ValueError("max_tokens must be 1 to 200000")
+        tools.check("context", max_symbols)
+        path = self.g.files.select(F.col("id").alias("file_id"), "path")
+        hits = self._search_semantic(task, min(max_symbols, 500)).withColumnRenamed("score", "signal")
+        direct = search.symbols_for_refs(self.g.symbols.join(path, "file_id").join(hits, "qualified_name", "left_semi").select("path", "qualified_name").distinct(), self.g.symbols, self.g.files)
+        direct = direct.join(hits, "qualified_name").select(F.lit("direct").alias("class"), "path", "qualified_name", "id", F.col("signal").cast("double").alias("signal"))
+        every = direct
+        if include_callers:
+            near = graph.seed_neighbours(self.g.edges, direct, self.g.symbols, 10).select(F.col("side").alias("class"), "id").distinct()
+            every = every.unionByName(near.join(self.g.symbols, "id").join(path, "file_id").select("class", "path", "qualified_name", "id", F.lit(1.0).alias("signal")))
+        if include_tests:
+            related = self._related(direct)
+            every = every.unionByName(related.select(F.lit("test").alias("class"), "path", F.col("symbol").alias("qualified_name"), F.xxhash64("path", "symbol").alias("id"), "score").withColumnRenamed("score", "signal"))
+        ranked = search.rank_context(every, max_files).orderBy(F.desc("score"), "path", "qualified_name").limit(max_symbols)
+        cost = text.estimated_tokens(F.octet_length(F.to_json(F.struct("path", "qualified_name", "class", "score"))))
+        return search.within_budget(ranked.withColumn("cost", cost), [F.desc("score"), "path", "qualified_name"], "cost", max_tokens)
+
+    def _session(self) -> DataFrame:
+        if self.events is None:
+            raise ValueError("no session log")
+        return sessions.read_log(self.g.files.sparkSession, self.events)
+
+    def _session_history(self, session_id: str | None = None, event_type: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+        return sessions.history(self._session(), session_id, event_type, limit, offset)
+
+    def _session_hot_files(self, session_id: str | None = None, limit: int = 20) -> DataFrame:
+        return sessions.hot_keys(self._session(), session_id=session_id, limit=tools.check("page", limit))
+
+    def _session_context(self, session_id: str | None = None) -> DataFrame:
+        return sessions.context(self._session(), session_id)

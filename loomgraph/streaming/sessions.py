@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,3 +89,17 @@ def pending(queue: DataFrame, done: DataFrame) -> DataFrame:
     latest = queue.groupBy("path").agg(F.max("stamp").alias("stamp"))
     finished = done.groupBy("path").agg(F.max("stamp").alias("finished"))
     return latest.join(finished, "path", "left").where("finished is null or finished < stamp").select("path", "stamp")
+
+
+LOG = "id long, session_id string, event_type string, key string, value string, metadata string, created_at timestamp"
+
+
+def log(spark: SparkSession, folder: str, event_type: str, key: str = "", value: str = "", metadata: str = "{}", session_id: str = "") -> None:
+    """Append one event; ids are microseconds, so later events have larger ones."""
+    now = datetime.now(UTC)
+    row = (int(now.timestamp() * 1e6), session_id, event_type, key, value, metadata, now.replace(microsecond=0))
+    spark.createDataFrame([row], LOG).coalesce(1).write.mode("append").parquet(folder)
+
+
+def read_log(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(LOG).parquet(folder)
