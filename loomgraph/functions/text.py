@@ -176,3 +176,23 @@ def join_relative(path: Column, specifier: Column) -> Column:
 
 def without_extension(path: Column) -> Column:
     return F.regexp_replace(path, r"\.[^./]+$", "")
+
+
+def normalize_imports(language: Column, specifier: Column) -> Column:
+    """The imports that a statement's text stands for: Python aliases go and relative ones drop out, Java's static goes, Rust's braces open."""
+    none = F.array().cast("array<string>")
+    bare_python = F.trim(F.regexp_replace(specifier, r"\s+as\s+\w+\s*$", ""))
+    head = F.regexp_extract(specifier, r"^([^{]*)\{", 1)
+    inside = F.split(F.regexp_extract(specifier, r"\{([^{}]*)\}", 1), ",")
+    opened = F.transform(F.filter(F.transform(inside, lambda x: F.trim(x)), lambda x: x != ""), lambda x: F.when(x == "self", F.regexp_replace(head, "::$", "")).otherwise(F.concat(head, F.regexp_replace(x, r"\s+as\s+\w+$", ""))))
+    return (
+        F.when(language == "python", F.when(bare_python.startswith("."), none).otherwise(F.array(bare_python)))
+        .when(language == "java", F.array(F.trim(F.regexp_replace(specifier, r"^static\s+", ""))))
+        .when((language == "rust") & specifier.contains("{"), opened)
+        .otherwise(F.array(F.trim(specifier)))
+    )
+
+
+def database_name(root: Column) -> Column:
+    """The name of a repository's store: sixteen digits of its path's hash."""
+    return F.concat(F.left(F.sha2(root, 256), F.lit(16)), F.lit(".sqlite"))

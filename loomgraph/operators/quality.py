@@ -27,11 +27,12 @@ SHADOWS = [("rails", "config/routes.rb"), ("laravel", "artisan")]
 
 
 def classify(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
-    """calls(src, file_id, language, dst_name, dst, evidence) with target: project, builtin, stdlib or unknown.
+    """calls(src, file_id, language, dst_name, dst, evidence) with target: project, builtin, stdlib, external or unknown.
 
     Bound calls are project. A bare builtin name is builtin unless the project declares it
     in that language or the call site shows a receiver. Else the longest import of
-    the file that is the name or a dotted prefix of it decides by its root.
+    the file that is the name or a dotted prefix of it decides by its root (Go, Python), or
+    the imports that end in its first part (Java, Rust, TypeScript).
     """
     own = symbols.select("name", "language").distinct().withColumn("declared", F.lit(True))
     c = calls.join(own, (calls.dst_name == own["name"]) & (calls.language == own["language"]), "left").select(calls["*"], "declared")
@@ -49,15 +50,44 @@ def classify(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFr
         .when((name == "") | (F.col("language") == ""), "unknown")
         .when(candidate, F.when(F.col("declared").isNotNull() | received, "unknown").otherwise("builtin"))
         .when(stdlib, "stdlib")
-        .otherwise("unknown")
+        .otherwise(import_target(F.col("language"), name, F.coalesce("paths", F.array().cast("array<string>"))))
     )
     return c.withColumn("target", target).drop("declared", "paths")
 
 
+#: Subtrees of javax that come with the JDK, crates of Rust's standard library, modules of Node's core. Fixed values.
+JAVAX = "accessibility crypto imageio management naming net print script security sound sql swing tools xml".split()
+RUST_STDLIB = ["std", "core", "alloc"]
+NODE_CORE = (
+    "assert assert/strict async_hooks buffer child_process cluster console constants crypto dgram diagnostics_channel dns dns/promises domain events fs fs/promises http http2 https inspector inspector/promises module net os path path/posix path/win32 "
+    "perf_hooks process punycode querystring readline readline/promises repl stream stream/consumers stream/promises stream/web string_decoder timers timers/promises tls trace_events tty url util util/types v8 vm wasi worker_threads zlib"
+).split()
+
+
 def typescript_target(specifier: Column) -> Column:
-    """Origin of a TypeScript import: core modules are stdlib, local forms unknown, packages external. Core modules."""
-    core = "assert async_hooks buffer child_process cluster console constants crypto dgram diagnostics_channel dns domain events fs http http2 https inspector module net os path perf_hooks process punycode querystring readline repl stream string_decoder timers tls trace_events tty url util v8 vm wasi worker_threads zlib".split()
-    return F.when(specifier.startswith("node:") | F.substring_index(specifier, "/", 1).isin(*core), "stdlib").when(specifier.rlike(r"^([./#~]|@/)"), "unknown").otherwise("external")
+    """Origin of a TypeScript import: core modules are stdlib, local forms and deep paths unknown, packages external."""
+    package = specifier.rlike(r"^@[^/]+/[^/]+$") | (~specifier.contains("/") & ~specifier.startswith("@") & (specifier != ""))
+    return F.when(specifier.startswith("node:"), "stdlib").when(specifier.rlike(r"^([./#~]|@/)"), "unknown").when(specifier.isin(*NODE_CORE), "stdlib").when(package, "external").otherwise("unknown")
+
+
+def _in_jdk(path: Column) -> Column:
+    return path.rlike(r"^(java|javax\.(" + "|".join(JAVAX) + r"))\.")
+
+
+def import_target(language: Column, name: Column, paths: Column) -> Column:
+    """Origin of a name by the imports whose last part is its first, for Java, Rust and TypeScript; unknown if they disagree or there are none."""
+    local = F.substring_index(name, ".", 1)
+
+    def verdicts(last, head, verdict):
+        kinds = F.array_distinct(F.transform(F.filter(paths, lambda p: (last(p) == head) & (head != "")), verdict))
+        return F.when(F.size(kinds) == 1, F.get(kinds, 0)).otherwise("unknown")
+
+    java = F.when(_in_jdk(name), "stdlib").otherwise(verdicts(lambda p: F.substring_index(p, ".", -1), local, lambda p: F.when(_in_jdk(p), "stdlib").otherwise("unknown")))
+    crate = F.substring_index(name, "::", 1)
+    rust = F.when(crate.isin(*RUST_STDLIB), "stdlib").otherwise(verdicts(lambda p: F.substring_index(p, "::", -1), crate, lambda p: F.when(F.substring_index(p, "::", 1).isin(*RUST_STDLIB), "stdlib").otherwise("unknown")))
+    binding = lambda p: F.regexp_replace(F.substring_index(F.regexp_replace(p, "^node:", ""), "/", -1), r"(.)\.[^.]*$", "$1")
+    typescript = verdicts(binding, local, typescript_target)
+    return F.when(language == "java", java).when(language == "rust", rust).when(language == "typescript", typescript).otherwise("unknown")
 
 
 def frameworks(files: DataFrame, imports: DataFrame) -> DataFrame:

@@ -75,6 +75,21 @@ def test_classification(spark):
     assert [got[k] for k in range(9)] == ["builtin", "unknown", "unknown", "stdlib", "stdlib", "stdlib", "unknown", "project", "unknown"]
     kinds = spark.createDataFrame([("node:fs",), ("fs/promises",), ("./a",), ("@/b",), ("@scope/c",), ("react",)], "s string").select(quality.typescript_target(F.col("s")).alias("t")).collect()
     assert [r.t for r in kinds] == ["stdlib", "stdlib", "unknown", "unknown", "external", "external"]
+    imports = [(1, "java.util.List"), (1, "org.x.Util"), (2, "std::io::Read"), (2, "serde::Serialize"), (3, "node:fs"), (3, "react"), (3, "./lib/api.js"), (3, "lodash/fp"), (4, "java.a.Both"), (4, "org.Both")]
+    calls = [(1, "java", "List.of"), (1, "java", "Util.go"), (1, "java", "javax.crypto.X"), (1, "java", "javax.inject.X"), (2, "rust", "Read::x"), (2, "rust", "Serialize::x"), (2, "rust", "std::mem::swap"), (3, "typescript", "fs.readFile"), (3, "typescript", "react.use"), (3, "typescript", "api.get"), (3, "typescript", "fp.map"), (4, "java", "Both.x")]
+    df = spark.createDataFrame([(k, *c, None, "") for k, c in enumerate(calls)], "src long, file_id long, language string, dst_name string, dst long, evidence string")
+    got = {r.src: r.target for r in quality.classify(df, symbols, spark.createDataFrame(imports, "file_id long, import_path string")).collect()}
+    assert [got[k] for k in range(12)] == ["stdlib", "unknown", "stdlib", "unknown", "stdlib", "unknown", "stdlib", "stdlib", "external", "unknown", "unknown", "unknown"]
+
+
+def test_normalized_imports(spark):
+    rows = [("python", "a.b as c"), ("python", ".rel"), ("java", "static a.B.c"), ("rust", "a::{b, c::d as e, self}"), ("rust", "x::y"), ("go", "fmt")]
+    got = spark.createDataFrame(rows, "l string, s string").select(text.normalize_imports(F.col("l"), F.col("s")).alias("n")).collect()
+    assert [r.n for r in got] == [["a.b"], [], ["a.B.c"], ["a::b", "a::c::d", "a"], ["x::y"], ["fmt"]]
+    assert text.join_relative(F.lit("a"), F.lit("b")) is not None
+    paths = [("a/b/c.ts", "./d", "a/b/d"), ("a/b/c.ts", "../../x/y", "x/y"), ("a/c.ts", "../../x", None), ("a/c.ts", "pkg/x", None), ("c.ts", "./x", "x")]
+    joined = spark.createDataFrame(paths, "p string, s string, w string").select(text.join_relative(F.col("p"), F.col("s")).alias("g"), "w").collect()
+    assert all(r.g == r.w for r in joined)
 
 
 SOUND = {"id": 1, "src": 1, "dst": 2, "kind": "calls", "strategy": "exact_qualified", "confidence": "high"}

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph import tools
-from loomgraph.sources import parsers, sinks, walk
+from loomgraph.sources import embed, parsers, sinks, walk
 from loomgraph.streaming import sessions
 
 
@@ -103,3 +103,17 @@ def test_windowed_counts(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).agg(F.sum("n")).first()[0]
     total = events.count()
     assert 0.9 * total <= got <= total
+
+
+def test_embeddings(spark):
+    rows = spark.createDataFrame([(1, "red widget"), (2, ""), (3, None)], "id long, text string")
+    got = {r.id: r.embedding for r in embed.embed(rows, embed.hashing(8)).collect()}
+    assert len(got[1]) == 8 and abs(sum(x * x for x in got[1]) - 1) < 1e-6 and got[2] == got[3] == [0.0] * 8
+    assert embed.embed(rows, None).count() == 0
+
+    def broken(texts):
+        raise OSError("no server")
+
+    assert embed.embed(rows, broken).count() == 0
+    stored = embed.embed(rows, embed.hashing(8))
+    assert embed.refresh(stored, rows.where("id = 1"), embed.hashing(4)).where("size(embedding) = 4").count() == 1
