@@ -38,7 +38,8 @@ def resolve(calls: DataFrame, symbols: DataFrame, files: DataFrame, imports: Dat
     Gates: same language only; production callers bind only what no test file declares;
     names that any broad level finds ambiguous are vetoed for all but exact qualified
     names; bare Go calls bind package-level names of their own folder and package; a bare
-    call binds a type only in its own file. With ``imports`` and ``modules`` (module, folder)
+    call binds a type only in its own file; bare and :: names of C++ stay unbound, as
+    the evidence they need is not gathered. With ``imports`` and ``modules`` (module, folder)
     Go calls through an import bind the sole package-level symbol of that folder and nothing else.
     """
     tested = files.select(F.col("id").alias("file_id"), "path", text.is_test_file(F.col("path")).alias("in_test"))
@@ -81,6 +82,7 @@ def resolve(calls: DataFrame, symbols: DataFrame, files: DataFrame, imports: Dat
     out = out.join(kinds, F.col("bound.dst") == F.col("b_id"), "left")
     plain = text.bare(dst)
     out_of_scope = (F.col("language").isin("python", "typescript") & plain & F.col("b_kind").isin(*TYPES) & (F.col("b_file") != F.col("file_id"))) | ((F.col("language") == "go") & plain)
+    out_of_scope = out_of_scope | ((F.col("language") == "cpp") & (~dst.contains(".") | dst.contains("::")))
     bound_col = F.when(~F.coalesce(out_of_scope, F.lit(False)), F.col("bound"))
 
     # bare Go calls: the sole package-level declaration of the same folder and package as the caller

@@ -58,6 +58,12 @@ def test_go_package_scope_and_imports(spark):
     assert [got[k][:2] for k in range(5)] == [(2, "go_package_scope"), (None, None), (4, "module_import"), (None, None), (None, None)]
 
 
+def test_cpp_names_need_evidence(spark):
+    symbols = [(1, 1, "cpp", "function", "ns.run", ""), (2, 1, "cpp", "function", "ns::go", "")]
+    got = bind(spark, {1: "a.cpp"}, symbols, [(1, "cpp", "run"), (1, "cpp", "ns::go"), (1, "cpp", "ns.run")])
+    assert [got[k][0] for k in range(3)] == [None, None, 1]
+
+
 def test_incremental_equals_full(spark):
     files = {1: "a/x.py", 2: "b/y.py"}
     before = [(1, 1, "python", "function", "x.alpha", ""), (2, 2, "python", "function", "y.beta", "")]
