@@ -92,6 +92,25 @@ def proper_suffixes(q: Column) -> Column:
     return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))).otherwise(F.array().cast("array<string>"))
 
 
+def boundary_suffixes(q: Column, slashes: bool = False) -> Column:
+    """What follows each dot and :: of a name, and each slash if asked for, longest first."""
+    parts = F.split(q, r"(?<=[./])|(?<=::)" if slashes else r"(?<=\.)|(?<=::)")
+    rest = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), ""))
+    return F.when(F.size(parts) > 1, F.filter(rest, lambda x: x != "")).otherwise(F.array().cast("array<string>"))
+
+
+def member_qualified(name: Column) -> Column:
+    """A dot or :: and no slash."""
+    return ~name.contains("/") & (name.contains(".") | name.contains("::"))
+
+
+def extends_at_boundary(name: Column, q: Column) -> Column:
+    """Whether a name is a longer spelling of ``q``: it ends in ::q, .q or /q, ASCII case aside."""
+    long, short = ascii_lower(name), ascii_lower(q)
+    ends = long.endswith(F.concat(F.lit("::"), short)) | long.endswith(F.concat(F.lit("."), short)) | long.endswith(F.concat(F.lit("/"), short))
+    return (q != "") & ends
+
+
 def symbol_text(kind: Column, name: Column, signature: Column, doc: Column) -> Column:
     """The parts that are not empty, with single spaces: what an embedder is given."""
     return F.concat_ws(" ", *[F.when(x != "", x) for x in (kind, name, signature, doc)])

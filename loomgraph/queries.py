@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph import tools
 from loomgraph.functions import text
-from loomgraph.operators import graph, inventory, quality, resolve, search
+from loomgraph.operators import accuracy, detail, graph, identity, inventory, quality, resolve, scans, search
 from loomgraph.plans import fixture
 from loomgraph.sources import sinks, walk
 from loomgraph.streaming import sessions
@@ -585,3 +585,103 @@ def file_relevance(g, spark, folder):
     first = g.symbols.groupBy("file_id").agg(F.min("id").alias("first")).orderBy("first").limit(30)  # a page of files
     ranked = first.join(g.files.select(F.col("id").alias("file_id"), "path"), "file_id").withColumn("file_rank", F.dense_rank().over(Window.orderBy("first")))
     return ranked.select("path", "file_rank", F.round(F.greatest(F.lit(0.1), 1 - 0.05 * (F.col("file_rank") - 1)), 2).alias("relevance"))
+
+
+# names, detail, scans, accuracy
+
+_SPELLED = "sp AS (SELECT DISTINCT dst_name AS name, language FROM calls UNION SELECT DISTINCT 'x.' || dst_name, language FROM calls WHERE dst_name LIKE 'brand%' UNION SELECT name, 'python' FROM symbols WHERE kind = 'class' UNION SELECT 'q/' || name, language FROM symbols WHERE id % 3 = 0)"
+_TAILS = "tl AS (SELECT id, language, kind, unnest([lower(array_to_string(list_slice(string_split(qualified_name, '.'), CAST(k AS BIGINT), len(string_split(qualified_name, '.'))), '.')) FOR k IN range(2, len(string_split(qualified_name, '.')) + 1)]) AS key FROM symbols)"
+
+
+@_query(f"""{_SPELLED}, {_TAILS},
+np AS (SELECT name, language, contains(name, '.') AND NOT contains(name, '/') AS member, contains(name, '.') OR contains(name, '/') AS qualified, string_split(name, '.')[-1] AS short, language = 'python' AS gated FROM sp),
+sf AS (SELECT name, language, unnest([array_to_string(list_slice(string_split(name, '.'), CAST(k AS BIGINT), len(string_split(name, '.'))), '.') FOR k IN range(2, len(string_split(name, '.')))]) AS key FROM np WHERE member),
+ht AS (SELECT np.name, np.language, 1 AS stage, id FROM np JOIN symbols s ON s.qualified_name = np.name AND s.language = np.language WHERE qualified OR NOT gated OR kind <> 'class'
+ UNION SELECT np.name, np.language, 2, id FROM np JOIN symbols s ON s.name = np.name AND s.language = np.language WHERE qualified OR NOT gated OR kind <> 'class'
+ UNION SELECT np.name, np.language, 3, id FROM np JOIN tl ON tl.key = lower(CASE WHEN member THEN np.name ELSE short END) AND tl.language = np.language WHERE NOT gated OR kind <> 'class' OR contains(tl.key, '.')
+ UNION SELECT sf.name, sf.language, 3, id FROM sf JOIN symbols s ON s.qualified_name = sf.key AND s.language = sf.language
+ UNION SELECT np.name, np.language, 4, id FROM np JOIN symbols s ON s.name = short AND s.language = np.language WHERE NOT member AND short <> np.name AND (NOT gated OR kind <> 'class'))
+SELECT name, language, stage, id FROM ht QUALIFY stage = min(stage) OVER (PARTITION BY name, language)""")
+def identity_cascade(g, spark, folder):
+    calls = g.calls.select(F.col("dst_name").alias("name"), "language").distinct()
+    names = calls.unionByName(calls.where("name like 'brand%'").select(F.concat(F.lit("x."), "name").alias("name"), "language"))
+    names = names.unionByName(g.symbols.where("kind = 'class'").select("name", F.lit("python").alias("language"))).unionByName(g.symbols.where("id % 3 = 0").select(F.concat(F.lit("q/"), "name").alias("name"), "language"))
+    return identity.identity_cascade(names, g.symbols)
+
+
+@_query("""ex AS (SELECT DISTINCT src, 'vendor/' || dst_name AS dst_name, language FROM calls)
+SELECT DISTINCT ex.src, dst_name, s.id FROM ex JOIN symbols s ON lower(dst_name) = 'vendor/' || lower(s.qualified_name) AND s.language = ex.language""")
+def extending_callers(g, spark, folder):
+    return identity.extending_callers(g.calls.withColumn("dst_name", F.concat(F.lit("vendor/"), "dst_name")), g.symbols)
+
+
+@_query("""ct AS (SELECT id, file_id, start_line, end_line FROM symbols WHERE kind = 'class' ORDER BY id LIMIT 200),
+mb AS (SELECT ct.id, s.kind || ' ' || s.name AS m, row_number() OVER (PARTITION BY ct.id ORDER BY s.start_line, s.id) AS turn FROM ct JOIN symbols s USING (file_id) WHERE s.start_line >= ct.start_line AND s.end_line <= ct.end_line AND s.id <> ct.id)
+SELECT ct.id, count(m) AS member_count, coalesce(string_agg(m, ',' ORDER BY turn) FILTER (turn <= 40), '') AS members FROM ct LEFT JOIN mb USING (id) GROUP BY ct.id""")
+def symbol_skeletons(g, spark, folder):
+    return detail.skeletons(g.symbols, g.symbols).withColumn("members", F.array_join("members", ","))
+
+
+def _windows(most: int) -> str:
+    return f"""WITH d AS (SELECT doc_id AS id, doc_id % 7 + 1 AS a, doc_id % 7 + 1 + doc_id % 90 AS b, string_split(regexp_replace(regexp_replace(text, '\r(\n|$)', '\1', 'g'), '\n$', ''), chr(10)) AS l, text FROM documents),
+w AS (SELECT *, len(l) AS total, greatest(1, a - 3) AS f, least(len(l), least(b, len(l)) + 3) AS u, coalesce(text, '') <> '' AND a <= len(l) AS seen FROM d)
+SELECT id, CASE WHEN seen THEN CAST(f AS INTEGER) END AS from_line, CASE WHEN seen THEN CAST(least(u, f + {most} - 1) AS INTEGER) END AS to_line,
+ CASE WHEN seen THEN array_to_string(list_slice(l, f, least(u, f + {most} - 1)), chr(10)) END AS text, CASE WHEN seen THEN b > total OR f + {most} - 1 < u END AS truncated FROM w"""
+
+
+def _source_windows(spark, folder, at):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    first = F.col("doc_id") % 7 + 1
+    spans = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("file_id"), first.alias("start_line"), (first + F.col("doc_id") % 90).alias("end_line"))
+    return detail.source_windows(spans, docs.select(F.col("doc_id").alias("file_id"), F.col("text").alias("content")), at)
+
+
+@_query(_windows(detail.EXCERPT), raw=True)
+def source_excerpts(g, spark, folder):
+    return _source_windows(spark, folder, "excerpt")
+
+
+@_query(_windows(detail.FULL), raw=True)
+def source_full(g, spark, folder):
+    return _source_windows(spark, folder, "full")
+
+
+@_query("SELECT CAST(n_nationkey AS BIGINT) AS id, '/src/' || lower(n_name) AS root_path, '/src/' || lower(n_name) AS canonical_path FROM nation ORDER BY id LIMIT 10 OFFSET 5", raw=True)
+def list_repos(g, spark, folder):
+    root = F.concat(F.lit("/src/"), F.lower("n_name"))
+    return scans.list_repos(spark.read.parquet(f"{folder}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("id"), root.alias("root_path"), root.alias("canonical_path")), 10, 5)
+
+
+@_query("SELECT o_orderkey AS id, 'failed' AS status, o_orderpriority AS error_text FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority <> '' ORDER BY id DESC LIMIT 20", raw=True)
+def latest_scan_errors(g, spark, folder):
+    status = F.when(F.col("o_orderstatus") == "F", "failed").otherwise("completed")
+    return scans.latest_errors(spark.read.parquet(f"{folder}/orders.parquet").select(F.col("o_orderkey").alias("id"), status.alias("status"), F.col("o_orderpriority").alias("error_text")))
+
+
+_OUTCOMES = "o AS (SELECT CAST(o_custkey % 5 AS BIGINT) AS scan_id, o_orderpriority AS language, CASE o_orderkey % 4 WHEN 0 THEN 'indexed' WHEN 1 THEN 'skipped' WHEN 2 THEN 'parse_failed' ELSE 'deleted' END AS outcome FROM orders)"
+
+
+def _outcomes(spark, folder):
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("indexed", "skipped", "parse_failed", "deleted")]), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return spark.read.parquet(f"{folder}/orders.parquet").select((F.col("o_custkey") % 5).alias("scan_id"), F.col("o_orderpriority").alias("language"), kind.alias("outcome"))
+
+
+@_query(f"WITH {_OUTCOMES} SELECT scan_id, count(*) FILTER (outcome <> 'deleted') AS files_seen, count(*) FILTER (outcome IN ('indexed', 'parse_failed')) AS files_changed, count(*) FILTER (outcome = 'deleted') AS files_deleted, count(*) FILTER (outcome = 'parse_failed') AS parse_failed FROM o GROUP BY 1", raw=True)
+def scan_summaries(g, spark, folder):
+    return scans.summaries(_outcomes(spark, folder))
+
+
+@_query(f"WITH {_OUTCOMES} SELECT scan_id, language, count(*) AS seen, count(*) FILTER (outcome = 'indexed') AS indexed, count(*) FILTER (outcome = 'skipped') AS skipped, count(*) FILTER (outcome = 'parse_failed') AS parse_failed FROM o WHERE outcome <> 'deleted' GROUP BY 1, 2", raw=True)
+def scan_language_coverage(g, spark, folder):
+    return scans.language_coverage(_outcomes(spark, folder))
+
+
+@_query(f"""{_RESOLVE}, oc AS (SELECT DISTINCT rs.src, rs.line, rs.dst_name, CASE WHEN rs.dst_name LIKE 'no_such%' THEN CASE WHEN rs.dst IS NULL THEN 'expected_unresolved' ELSE 'miswired' END
+ WHEN rs.dst IS NULL THEN 'missing_edge' WHEN ends_with(s.qualified_name, rs.dst_name) THEN 'expected_valid' ELSE 'miswired' END AS outcome FROM rs LEFT JOIN symbols s ON s.id = rs.dst)
+SELECT outcome, count(*) AS n FROM oc GROUP BY 1""")
+def resolver_accuracy(g, spark, folder):
+    case = F.concat_ws("|", F.col("src").cast("string"), F.col("line").cast("string"), "dst_name").alias("case_id")
+    known = g.symbols.select(F.explode(F.concat(F.array("qualified_name"), text.proper_suffixes(F.col("qualified_name")))).alias("dst_name"), "qualified_name").groupBy("dst_name").agg(F.sort_array(F.collect_set("qualified_name")).alias("valid_targets"))
+    cases = g.calls.select(case, "dst_name").distinct().join(known, "dst_name", "left").select("case_id", F.when(F.col("dst_name").startswith("no_such"), "unresolved").otherwise("valid").alias("expect"), "valid_targets")
+    out = resolve.resolve(g.calls, g.symbols, g.files).join(g.symbols.select(F.col("id").alias("dst"), F.col("qualified_name").alias("target")), "dst", "left")
+    return accuracy.metrics(accuracy.case_outcomes(cases, out.select(F.lit(0).alias("run"), case, "target").distinct()))
