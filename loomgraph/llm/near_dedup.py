@@ -320,5 +320,6 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """
     gone = near_duplicates(docs, words, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     left = docs.hint("merge").join(gone.hint("merge"), F.col("doc_id") == F.col("__gone"), "left_anti")
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
+    # rows without an id all stay, so they need not meet in one task
+    turn = F.row_number().over(Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("doc_id"))
     return left.withColumn("__turn", turn).where("__turn = 1 or doc_id is null").drop("__turn")

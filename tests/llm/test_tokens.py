@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -113,3 +114,15 @@ def test_exact_complements_leave_no_gap():
     total = int((np.arange(11) * counts).sum())
     _, sequences = packing.plan(counts, 10)
     assert sequences == -(-total // 10)
+
+
+def test_pieces_add_up_for_awkward_texts():
+    parts = [" ", " ", " ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "　", "​", "a", "Bc", "é", "É", "ß", "'s", "’", "1", "23", "½", "!", "--", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "日本", "́", "İ", "ΑΣ", "🙂", "ª", "\x00", "_", "ﬁ", "Ⅷ"]
+    draw = random.Random(5)
+    lengths, ids = token_counts._Lengths(BYTES), packing._Ids(WORDS)
+    whole = token_counts._tokenizer(BYTES)
+    for _ in range(4000):
+        text = "".join(draw.choice(parts) for _ in range(draw.randint(1, 9)))
+        cut = token_counts.pieces(text)
+        assert cut is None or sum(map(lengths.__getitem__, cut)) == len(whole.encode(text, add_special_tokens=False).ids), repr(text)
+        assert ids.of(text) == ids.whole(text), repr(text)
