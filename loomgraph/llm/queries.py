@@ -22,7 +22,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
-    return lm_scoring.score_documents(_table(spark, folder, "documents"))
+    return lm_scoring.score_words(_table(spark, folder, "documents"))
 
 
 def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
