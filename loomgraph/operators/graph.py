@@ -183,9 +183,10 @@ def attribute(points: DataFrame, spans: DataFrame) -> DataFrame:
     return points.join(tied, ["file_id", "line"], "left")
 
 
-def seed_neighbours(edges: DataFrame, seeds: DataFrame, symbols: DataFrame, fanout: int = 10) -> DataFrame:
-    """(seed, side, id, place): up to ``fanout`` callers and callees of each seed in canonical order."""
-    s = F.broadcast(seeds.select(F.col("id").alias("seed")))
+def seed_neighbours(edges: DataFrame, seeds: DataFrame, symbols: DataFrame, fanout: int = 10, few: bool = True) -> DataFrame:
+    """(seed, side, id, place): up to ``fanout`` callers and callees of each seed in canonical order; ``few`` seeds are broadcast."""
+    s = seeds.select(F.col("id").alias("seed"))
+    s = F.broadcast(s) if few else s
     up = edges.join(s, edges.dst == s.seed).select("seed", F.lit("caller").alias("side"), F.col("src").alias("id"))
     down = edges.join(s, edges.src == s.seed).select("seed", F.lit("callee").alias("side"), F.col("dst").alias("id"))
     near = up.unionByName(down).distinct().join(symbols.select("id", "qualified_name", "start_line"), "id")

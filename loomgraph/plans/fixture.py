@@ -30,7 +30,8 @@ def _rank(df: DataFrame, column: str, name: str) -> DataFrame:
     return F.broadcast(df.select(column).distinct().withColumn(name, F.dense_rank().over(Window.orderBy(column)).cast("long") - 1))
 
 
-def load(spark: SparkSession, folder: str) -> Graph:
+def load(spark: SparkSession, folder: str, every_part: bool = False) -> Graph:
+    """The projection; tests, their links and calls are of every tenth and twentieth part as in ``SQL``, or of every part."""
     read = lambda t: spark.read.parquet(f"{folder}/{t}.parquet")
     part, supplier, customer, nation = read("part"), read("supplier"), read("customer"), read("nation")
     p = part.select(
@@ -66,11 +67,11 @@ def load(spark: SparkSession, folder: str) -> Graph:
         F.when(form == 0, F.concat(F.lit("lib."), "brand", F.lit("."), "name")).when(form == 1, F.col("name")).when(form == 2, F.concat_ws(".", "brand", "name")).otherwise(F.concat(F.lit("no_such_"), (F.col("l_partkey") % 7).cast("string"))).alias("dst_name"),
     )
 
-    tenth = p.where("p_partkey % 10 = 0")
+    tenth, twentieth = (p, p) if every_part else (p.where("p_partkey % 10 = 0"), p.where("p_partkey % 20 = 0"))
     test_files = tenth.select((4000 + F.col("file_id")).alias("id"), F.concat(F.lit("tests/"), "brand", F.lit("/test_"), "type", F.lit(".py")).alias("path"), F.lit("python").alias("language")).distinct()
     tests = tenth.select((5_000_000 + F.col("p_partkey")).alias("id"), (4000 + F.col("file_id")).alias("file_id"), F.concat(F.lit("test_"), "name").alias("name"), F.concat(F.lit("tests."), "brand", F.lit(".test_"), "name").alias("qualified_name"))
     test_links = tenth.select((4000 + F.col("file_id")).alias("test_file_id"), (5_000_000 + F.col("p_partkey")).alias("test_symbol_id"), F.concat(F.lit("lib."), "brand", F.lit("."), "name").alias("target_key"), F.lit("test_name_match").alias("reason"), F.lit(0.7).alias("score"))
-    test_calls = p.where("p_partkey % 20 = 0").select((5_000_000 + F.col("p_partkey")).alias("src"), (1_000_000 + F.col("p_partkey")).alias("dst"))
+    test_calls = twentieth.select((5_000_000 + F.col("p_partkey")).alias("src"), (1_000_000 + F.col("p_partkey")).alias("dst"))
     first = F.when(F.col("language") == "go", "github.com/gin-gonic/gin").otherwise("django.http")
     second = F.element_at(F.array(*[F.lit(x) for x in ("fmt", "net/http", "os", "react-dom")]), (F.col("id") % 4 + 1).cast("int"))
     imports = files.select(F.col("id").alias("file_id"), F.explode(F.array(F.when(F.col("id") % 3 == 0, first), second)).alias("import_path")).where("import_path is not null")

@@ -21,11 +21,11 @@ ORACLES: dict[str, str] = {}
 PART, SUPPLIER, SEED = "lib.brand1.red_widget", "suppliers.Supplier_000000001", 2_000_001
 
 
-def _query(sql: str | None = None, raw: bool = False):
+def _query(sql: str | None = None, raw: bool = False, every_part: bool = False):
     """Register a query of (graph, spark, folder) under its name; sql sees the projection's tables unless raw."""
 
     def keep(f):
-        QUERIES[f.__name__] = lambda spark, folder: f(None if raw else fixture.load(spark, folder), spark, folder)
+        QUERIES[f.__name__] = lambda spark, folder: f(None if raw else fixture.load(spark, folder, every_part), spark, folder)
         if sql:
             ORACLES[f.__name__] = sql if raw else f"WITH RECURSIVE {fixture.SQL}{',' if sql.lstrip().startswith(',') is False and sql.lstrip()[:6].upper() != 'SELECT' else ''} {sql}"
         return f
@@ -685,3 +685,32 @@ def resolver_accuracy(g, spark, folder):
     cases = g.calls.select(case, "dst_name").distinct().join(known, "dst_name", "left").select("case_id", F.when(F.col("dst_name").startswith("no_such"), "unresolved").otherwise("valid").alias("expect"), "valid_targets")
     out = resolve.resolve(g.calls, g.symbols, g.files).join(g.symbols.select(F.col("id").alias("dst"), F.col("qualified_name").alias("target")), "dst", "left")
     return accuracy.metrics(accuracy.case_outcomes(cases, out.select(F.lit(0).alias("run"), case, "target").distinct()))
+
+
+# over every symbol, where the queries above and their SQL take a subset; tested against that SQL without its filters
+
+
+@_query()
+def symbols_for_refs_whole(g, spark, folder):
+    refs = g.symbols.join(g.files.select(F.col("id").alias("file_id"), "path"), "file_id").select("path", "qualified_name").distinct()
+    return search.symbols_for_refs(refs, g.symbols, g.files)
+
+
+@_query()
+def seed_neighbours_whole(g, spark, folder):
+    return graph.seed_neighbours(g.edges, g.symbols, g.symbols, 10, few=False)
+
+
+@_query()
+def identity_cascade_whole(g, spark, folder):
+    calls = g.calls.select(F.col("dst_name").alias("name"), "language").distinct()
+    names = calls.unionByName(calls.where("name like 'brand%'").select(F.concat(F.lit("x."), "name").alias("name"), "language"))
+    names = names.unionByName(g.symbols.where("kind = 'class'").select("name", F.lit("python").alias("language"))).unionByName(g.symbols.select(F.concat(F.lit("q/"), "name").alias("name"), "language"))
+    return identity.identity_cascade(names, g.symbols)
+
+
+@_query()
+def file_relevance_whole(g, spark, folder):
+    first = g.symbols.groupBy("file_id").agg(F.min("id").alias("first"))
+    ranked = first.join(g.files.select(F.col("id").alias("file_id"), "path"), "file_id").withColumn("file_rank", F.dense_rank().over(Window.orderBy("first")))  # a row per file
+    return ranked.select("path", "file_rank", F.round(F.greatest(F.lit(0.1), 1 - 0.05 * (F.col("file_rank") - 1)), 2).alias("relevance"))

@@ -1,0 +1,31 @@
+import pytest
+
+from loomgraph import queries
+from tests.test_catalogue import SF, plain, tables  # noqa: F401
+
+#: What the SQL of the query without _whole leaves out, and what stands there instead.
+CUTS = {
+    "symbols_for_refs": [(" WHERE symbols.id % 5 = 0", "")],
+    "seed_neighbours": [("FROM symbols WHERE id % 100 = 1", "FROM symbols")],
+    "identity_cascade": [("FROM symbols WHERE id % 3 = 0", "FROM symbols")],
+    "file_relevance": [(" LIMIT 30", "")],
+}
+
+
+def whole_sql(name):
+    sql = queries.ORACLES[name]
+    for cut, instead in CUTS[name]:
+        assert cut in sql
+        sql = sql.replace(cut, instead)
+    return sql
+
+
+@pytest.mark.parametrize("name", CUTS)
+def test_rows_equal_those_of_the_sql_without_its_filters(spark, tables, name):  # noqa: F811
+    got = queries.QUERIES[f"{name}_whole"](spark, SF)
+    result = tables.execute(whole_sql(name))
+    columns = [d[0] for d in result.description]
+    as_text = lambda rows: sorted(tuple(plain(float(v)) if isinstance(v, (int, float)) or hasattr(v, "as_integer_ratio") else plain(v) for v in r) for r in rows)
+    rows = as_text(got.select(*columns).collect())
+    assert sorted(columns) == sorted(got.columns) and rows == as_text(result.fetchall())
+    print(f"{name}: {tables.execute(f'SELECT count(*) FROM ({queries.ORACLES[name]})').fetchone()[0]} -> {len(rows)} rows")
