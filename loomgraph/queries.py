@@ -714,3 +714,11 @@ def file_relevance_whole(g, spark, folder):
     first = g.symbols.groupBy("file_id").agg(F.min("id").alias("first"))
     ranked = first.join(g.files.select(F.col("id").alias("file_id"), "path"), "file_id").withColumn("file_rank", F.dense_rank().over(Window.orderBy("first")))  # a row per file
     return ranked.select("path", "file_rank", F.round(F.greatest(F.lit(0.1), 1 - 0.05 * (F.col("file_rank") - 1)), 2).alias("relevance"))
+
+
+@_query()
+def context_for_task_whole(g, spark, folder):
+    m = F.col("id") % 4
+    named = g.symbols.join(g.files.select(F.col("id").alias("file_id"), "path"), "file_id")
+    kind = F.when(m == 0, "direct").when(m == 1, "caller").when(m == 2, "callee").otherwise("test").alias("class")
+    return search.rank_context(named.select(kind, "path", "qualified_name", "id", (F.col("id") % 97).cast("double").alias("signal")), 10)

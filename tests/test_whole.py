@@ -9,6 +9,7 @@ CUTS = {
     "seed_neighbours": [("FROM symbols WHERE id % 100 = 1", "FROM symbols")],
     "identity_cascade": [("FROM symbols WHERE id % 3 = 0", "FROM symbols")],
     "file_relevance": [(" LIMIT 30", "")],
+    "context_for_task": [(" WHERE s.id % 7 = 0", "")],
 }
 
 
