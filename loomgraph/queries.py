@@ -722,3 +722,21 @@ def context_for_task_whole(g, spark, folder):
     named = g.symbols.join(g.files.select(F.col("id").alias("file_id"), "path"), "file_id")
     kind = F.when(m == 0, "direct").when(m == 1, "caller").when(m == 2, "callee").otherwise("test").alias("class")
     return search.rank_context(named.select(kind, "path", "qualified_name", "id", (F.col("id") % 97).cast("double").alias("signal")), 10)
+
+
+@_query(every_part=True)
+def test_links_whole(g, spark, folder):
+    return resolve.bind_test_links(g.test_links, g.symbols, g.files, g.test_files)
+
+
+@_query(every_part=True)
+def related_tests_whole(g, spark, folder):
+    bound = resolve.bind_test_links(g.test_links, g.symbols, g.files, g.test_files)
+    return resolve.related_tests(bound, g.test_calls, g.tests, g.test_files, g.symbols)
+
+
+@_query(every_part=True)
+def related_tests_of_files_whole(g, spark, folder):
+    bound = resolve.bind_test_links(g.test_links, g.symbols, g.files, g.test_files)
+    wanted = g.files.select(F.col("id").alias("file_id"), F.row_number().over(Window.orderBy(F.desc("id"))).alias("place"))  # a row per file
+    return resolve.related_tests_of_files(bound, g.test_calls, g.tests, g.test_files, g.symbols, wanted)

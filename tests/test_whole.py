@@ -10,12 +10,16 @@ CUTS = {
     "identity_cascade": [("FROM symbols WHERE id % 3 = 0", "FROM symbols")],
     "file_relevance": [(" LIMIT 30", "")],
     "context_for_task": [(" WHERE s.id % 7 = 0", "")],
+    "test_links": [],
+    "related_tests": [("WHERE target_symbol_id % 3 = 0", "WHERE target_symbol_id IS NOT NULL"), (" WHERE dst % 3 = 0", "")],
+    "related_tests_of_files": [(" WHERE id < 2000 AND id % 2 = 0", "")],
 }
 
 
 def whole_sql(name):
     sql = queries.ORACLES[name]
-    for cut, instead in CUTS[name]:
+    of_tests = [(" WHERE p_partkey % 10 = 0", ""), (" WHERE p_partkey % 20 = 0", "")] if "test" in name else []
+    for cut, instead in CUTS[name] + of_tests:
         assert cut in sql
         sql = sql.replace(cut, instead)
     return sql
