@@ -6,6 +6,11 @@ a chunk, a strict mask up to the average size, a loose one beyond it, and a hard
 at ``most``. A fingerprint is the set of chunk digests with the chunks' lengths. An
 insertion or deletion moves the cuts only near it, so two texts share the chunks of
 what they share; containment weighs them by length.
+
+In a text below ``SHORT`` bytes chunks begin small and grow with their place, so that
+a few dozen words make several. The sizes follow from the place, not the text's length:
+a beginning that two short texts share is cut alike in both, and a text that an edit
+takes past ``SHORT`` loses about the first kilobyte's chunks.
 """
 
 from __future__ import annotations
@@ -25,6 +30,9 @@ from loomgraph.llm.words import mix
 LEAST, AVERAGE, MOST = 64, 256, 1024
 #: Two bits more than the average asks for before it, two less beyond it.
 STRICT, LOOSE = np.uint32(0x3FF << 22), np.uint32(0x3F << 26)
+#: Texts below so many bytes: (chunks that begin before, least, average, most) with the masks' bits two more and two less than the average asks for.
+SHORT = 1 << 15
+FINE = [(64, 8, 16, 64), (256, 16, 32, 128), (1024, 32, 128, 512), (SHORT, LEAST, AVERAGE, MOST)]
 SEGMENT = 1 << 20
 #: Rows in a range of consecutive ids, about, and the most ranges, as the driver holds a row for each.
 RANGE_ROWS, RANGES = 2000, 10_000
@@ -32,17 +40,55 @@ RANGE_ROWS, RANGES = 2000, 10_000
 _gear = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 
 
+def _hashes(data: np.ndarray) -> np.ndarray:
+    """The gear hash of the up to 32 bytes that end at each byte."""
+    h = _gear[data]
+    for width in (1, 2, 4, 8, 16):
+        further = h.copy()
+        further[width:] += h[:-width] << np.uint32(width)
+        h = further
+    return h
+
+
+def _top(bits: int) -> np.uint32:
+    return np.uint32(((1 << bits) - 1) << (32 - bits))
+
+
+def _end(loose: list[int], strict: list[int], begin: int, n: int, least: int, average: int, most: int) -> int:
+    """Where the chunk that begins at ``begin`` ends."""
+    end = min(n, begin + most)
+    if n - begin > least:
+        k = bisect.bisect_left(strict, begin + least)
+        if k < len(strict) and strict[k] <= begin + average:
+            return min(end, strict[k])
+        k = bisect.bisect_right(loose, begin + average)
+        if k < len(loose):
+            end = min(end, loose[k])
+    return end
+
+
+def _short_cuts(raw: bytes) -> list[int]:
+    h = _hashes(np.frombuffer(raw, np.uint8))
+    ends, begin, n = [], 0, len(raw)
+    for until, least, average, most in FINE:
+        if begin >= n:
+            break
+        bits = average.bit_length() - 1
+        near = h[: until + most]
+        at = np.flatnonzero((near & _top(bits - 2)) == 0)
+        loose, strict = (at + 1).tolist(), (at[(near[at] & _top(bits + 2)) == 0] + 1).tolist()
+        while begin < min(n, until):
+            begin = _end(loose, strict, begin, n, least, average, most)
+            ends.append(begin)
+    return ends
+
+
 def _marks(data: np.ndarray) -> tuple[list[int], list[int]]:
     """Ends of possible chunks: positions after a byte whose gear hash has the loose bits clear, and of these the strict."""
     loose, strict = [], []
     for lo in range(0, len(data), SEGMENT):
         begin = max(0, lo - 31)
-        h = _gear[data[begin : lo + SEGMENT]]
-        for width in (1, 2, 4, 8, 16):
-            further = h.copy()
-            further[width:] += h[:-width] << np.uint32(width)
-            h = further
-        h = h[lo - begin :]
+        h = _hashes(data[begin : lo + SEGMENT])[lo - begin :]
         at = np.flatnonzero((h & LOOSE) == 0)
         loose.append(at + lo + 1)
         strict.append(at[(h[at] & STRICT) == 0] + lo + 1)
@@ -51,20 +97,13 @@ def _marks(data: np.ndarray) -> tuple[list[int], list[int]]:
 
 def cuts(raw: bytes) -> list[int]:
     """Ends of the chunks of ``raw``."""
+    if len(raw) < SHORT:
+        return _short_cuts(raw)
     loose, strict = _marks(np.frombuffer(raw, np.uint8))
     ends, begin, n = [], 0, len(raw)
     while begin < n:
-        end = min(n, begin + MOST)
-        if n - begin > LEAST:
-            k = bisect.bisect_left(strict, begin + LEAST)
-            if k < len(strict) and strict[k] <= begin + AVERAGE:
-                end = min(end, strict[k])
-            else:
-                k = bisect.bisect_right(loose, begin + AVERAGE)
-                if k < len(loose):
-                    end = min(end, loose[k])
-        ends.append(end)
-        begin = end
+        begin = _end(loose, strict, begin, n, LEAST, AVERAGE, MOST)
+        ends.append(begin)
     return ends
 
 
