@@ -164,12 +164,8 @@ def decode_media(table: DataFrame, to: int = 16000) -> DataFrame:
     return table.select("doc_id", "media").mapInArrow(run, "doc_id long, pcm binary")
 
 
-def media_features(table: DataFrame, to: int = 16000) -> DataFrame:
-    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) from a stored media column.
-
-    feature: length/peak/rms/sign changes of the samples the stored format gives, of the
-    payload read as A-law and as ADPCM blocks, and the CRC-32 of the PCM resampled to ``to`` Hz.
-    """
+def _described(table: DataFrame, to: int) -> DataFrame:
+    """The columns of ``media_features``, feature without the CRC-32, and pcm: the samples resampled to ``to`` Hz, 16-bit little-endian."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,19 +184,31 @@ def media_features(table: DataFrame, to: int = 16000) -> DataFrame:
                     wide = len(payload) // UNIT * (1 + 2 * (UNIT - 4))
                     adpcm, at = blocks[at : at + wide], at + wide
                     pcm = adpcm if kind == IMA_ADPCM else expand(kind, payload)
-                    again = zlib.crc32(resample(pcm, rate, to).astype("<i2").tobytes())
-                    feature = f"{describe(pcm)};alaw={describe(expand(ALAW, payload))};adpcm={describe(adpcm)};pcm{to}={again:08x}"
-                    row = (doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature)
+                    again = resample(pcm, rate, to).astype("<i2").tobytes()
+                    feature = f"{describe(pcm)};alaw={describe(expand(ALAW, payload))};adpcm={describe(adpcm)}"
+                    row = (doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature, again)
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
                 lo += len(files)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names)
 
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    return table.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+    return table.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm binary")
+
+
+def media_features(table: DataFrame, to: int = 16000) -> DataFrame:
+    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) from a stored media column.
+
+    feature: length/peak/rms/sign changes of the samples the stored format gives, of the
+    payload read as A-law and as ADPCM blocks, and the CRC-32 of the PCM resampled to ``to``
+    Hz, which is stored as a column too and read back.
+    """
+    stored = stash(_described(table, to), "pcm")
+    again = F.lpad(F.lower(F.hex(F.crc32("pcm"))), 8, "0")
+    return stored.withColumn("feature", F.concat("feature", F.lit(f";pcm{to}="), again)).drop("pcm")
 
 
 def text_audio(docs: DataFrame, kind: int = MULAW) -> DataFrame:
-    """Store every text as telephony audio, read the stored column back and describe it."""
+    """Store every text as telephony audio, read the stored column back, store its resampled PCM and describe both."""
     return media_features(stash(store_media(docs, kind), "media"))
