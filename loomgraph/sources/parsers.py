@@ -86,6 +86,90 @@ def parse_heuristic(path: str, source: str) -> Iterator[tuple]:
             yield path, "import", "import", imported[1], "", "", number, number
 
 
+_go_hidden = re.compile(r"//[^\n]*|/\*.*?\*/|`[^`]*`|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", re.S)
+_go_package = re.compile(r"^package\s+(\w+)", re.M)
+_go_import = re.compile(r'^\s*(?:import\s+)?(?:(\w+|\.)\s+)?"([^"]+)"')
+_go_func = re.compile(r"^func\s+(?:\(\s*(?:\w+\s+)?(\*?\s*[\w.]+(?:\[[^\]]*\])?)\s*\)\s*)?(\w+)\s*[(\[]")
+_go_call = re.compile(r"((?:\[\])?[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)(?:\[[\w.*, \[\]]+\])?[ \t]*\(")
+_go_words = {"func", "if", "for", "switch", "select", "case", "return", "go", "defer", "range", "var", "const", "type", "import", "chan", "map", "else", "struct", "interface"}
+
+
+def _go_operand(code: str, at: int) -> int:
+    """Where the expression begins that goes on with a dot before ``at``, as x in x.f(y).g."""
+    while at > 0 and code[at - 1] == ".":
+        at -= 1
+        while at > 0 and code[at - 1] in ")]":
+            depth = 0
+            while at > 0:
+                at -= 1
+                depth += (code[at] in ")]") - (code[at] in "([")
+                if not depth:
+                    break
+        while at > 0 and (code[at - 1].isalnum() or code[at - 1] == "_"):
+            at -= 1
+    return at
+
+
+def parse_go(path: str, source: str) -> Iterator[tuple]:
+    """Definitions and imports by patterns, scoped by the package clause, and the calls in functions and methods.
+
+    A call is spelled as the source has it; an import's alias before the dot gives way to its path. Comments and literals are blanked first.
+    """
+    raw = source.split("\n")
+    # what is blanked keeps its length and line ends
+    code = _go_hidden.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
+    lines = code.split("\n")
+    found = _go_package.search(code)
+    package = found[1] if found else path.rsplit("/", 1)[-1].removesuffix(".go")
+    types = [(k, p) for k, p in _compiled[".go"][0] if k == "type"]
+    aliases, listed = {}, False
+    number, at = 0, 0
+    while number < len(lines):
+        line, begin = lines[number], at
+        at += len(line) + 1
+        number += 1
+        if re.match(r"import\b", line) or listed:
+            spec = _go_import.match(raw[number - 1])
+            if spec:
+                name = spec[2].rsplit("/", 1)[-1]
+                aliases[spec[1] if spec[1] not in (None, "_", ".") else name] = spec[2]
+                yield path, "import", "import", spec[2], "", "", number, number
+            listed = "(" in line or listed and ")" not in line
+            continue
+        for kind, pattern in types:
+            named = pattern.search(line)
+            if named:
+                yield path, "symbol", kind, named[1], f"{package}.{named[1]}", package, number, number
+        func = _go_func.match(line)
+        if not func:
+            continue
+        receiver = (func[1] or "").replace(" ", "")
+        owner = f"{package}.{receiver}.{func[2]}" if receiver else f"{package}.{func[2]}"
+        first, braces, parens = number, 0, 0
+        part = line
+        while True:
+            braces += part.count("{") - part.count("}")
+            parens += part.count("(") - part.count(")")
+            # a function without body ends with its line
+            if (braces <= 0 and parens <= 0) or number >= len(lines):
+                break
+            part = lines[number]
+            at += len(part) + 1
+            number += 1
+        yield path, "symbol", "method" if receiver else "function", func[2], owner, receiver or package, first, number
+        inside = code[begin + func.end() - 1 : at]
+        for call in _go_call.finditer(inside):
+            start = _go_operand(inside, call.start(1))
+            name = re.sub(r"\s+", "", inside[start : call.end(1)])
+            if name in _go_words or not name:
+                continue
+            left, _, last = name.rpartition(".")
+            if left in aliases:
+                name = f"{aliases[left]}.{last}"
+            row = first + inside.count("\n", 0, call.end() - 1)
+            yield path, "call", "calls", name, owner, "", row, row
+
+
 def parse(files: DataFrame) -> DataFrame:
     """Facts of files(path, content); what cannot be decoded is read with replacement characters."""
 
@@ -95,7 +179,7 @@ def parse(files: DataFrame) -> DataFrame:
             rows = []
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 source = bytes(content).decode("utf-8", "replace") if content is not None else ""
-                rows += (parse_python if path.endswith((".py", ".pyi")) else parse_heuristic)(path, source)
+                rows += (parse_python if path.endswith((".py", ".pyi")) else parse_go if path.endswith(".go") else parse_heuristic)(path, source)
             yield pd.DataFrame(rows, columns=names)
 
     return files.select("path", "content").mapInPandas(run, FACT)
