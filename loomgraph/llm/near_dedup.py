@@ -314,12 +314,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, of which one stays per group of near-duplicates: the smallest doc_id, and of its repeated rows one.
+    """The rows of ``docs``, all columns, of which one stays per group of near-duplicate texts: that of the smallest doc_id, and one more of its rows without an id.
 
-    Rows with a null doc_id stay.
+    Rows are compared one by one whatever their doc_id: where different texts share an id, both
+    stay. Texts without words are linked with nothing but the same text of the same id.
     """
-    gone = near_duplicates(docs, words, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.hint("merge").join(gone.hint("merge"), F.col("doc_id") == F.col("__gone"), "left_anti")
-    # rows without an id all stay, so they need not meet in one task
-    turn = F.row_number().over(Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("doc_id"))
-    return left.withColumn("__turn", turn).where("__turn = 1 or doc_id is null").drop("__turn")
+    keyed = stash(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    rows = keyed.select(F.col("__row").alias("doc_id"), "text")
+    found = near_duplicates(rows, words, percent).select(F.col("doc_id").alias("__row"), "n_shingles", "component_id")
+    own = keyed.select("__row", F.col("doc_id").alias("id"), F.xxhash64("text").alias("same"))
+    grouped = own.hint("merge").join(found.hint("merge"), "__row")
+    # a text without words stands for itself, but once for an id
+    worded = F.col("n_shingles") > 0
+    alone = ~worded & F.col("id").isNull()
+    group = [F.when(worded, F.col("component_id")).when(alone, F.col("__row")).alias("g"), F.when(~worded, F.col("id")).alias("i"), F.when(~worded, F.col("same")).alias("s"), worded.alias("w"), F.col("id").isNull().alias("n")]
+    first = F.min(F.struct("id", "same", "__row")).alias("first")
+    stay = grouped.groupBy(*group).agg(first).select("first.__row")
+    return keyed.hint("merge").join(stay.hint("merge"), "__row", "left_semi").select(*docs.columns)
