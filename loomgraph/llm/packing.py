@@ -220,7 +220,12 @@ def plan(counts: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
 
 
 def place(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
-    """``pieces`` with sequence_id and offset."""
+    """``pieces``, a written table with a number of its own per row in ``row``, with sequence_id and offset.
+
+    Every row has a place of its own, equal ones and those with null ids too: ranks within a
+    length are dealt by ``row``, in groups of about GROUP, so no id, text or length is
+    gathered in one task. Lengths are 1 to ``capacity``. An empty table gives an empty result.
+    """
     spark = pieces.sparkSession
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in pieces.groupBy("length").count().collect():  # one row per length, at most ``capacity``
@@ -229,11 +234,11 @@ def place(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     order = np.lexsort((slots[:, 1], slots[:, 0]))
     shared = spark.sparkContext.broadcast(slots[order])  # bounded by the capacity
     salts = max(1, -(-int(counts.max()) // GROUP))
-    salted = pieces.withColumn("salt", F.expr(f"cast(pmod(xxhash64(doc_id, piece), {salts}) as int)"))
+    salted = pieces.withColumn("salt", F.expr(f"cast(pmod(xxhash64(row), {salts}) as int)"))
     groups = stash(salted.groupBy("length", "salt").count(), "groups")
     before = groups.withColumn("before", F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
     ranked = (
-        salted.withColumn("place", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1)
+        salted.withColumn("place", F.row_number().over(Window.partitionBy("length", "salt").orderBy("row")) - 1)
         .join(stash(before, "before"), ["length", "salt"])
         .withColumn("rank", F.col("place") + F.col("before"))
     )
@@ -256,7 +261,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id
 
     Only documents longer than ``capacity`` are cut. Null and empty texts are one piece
     with the end id. Rows that repeat, or have a null doc_id, are documents of their
-    own and get places of their own. Other columns are ignored; an empty table
-    gives an empty result.
+    own and get places of their own. Texts may be of any length. Other columns are
+    ignored; an empty table gives an empty result.
     """
-    return place(stash(tokenize(docs, tokenizer, capacity, end_id), "pieces"), capacity)
+    return place(stash(tokenize(docs, tokenizer, capacity, end_id).withColumn("row", F.monotonically_increasing_id()), "pieces"), capacity)
