@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.components import connected_components
+from loomgraph.llm.skew import hot_keys, join_on
 from loomgraph.llm.words import mix, row_blocks, shingle_sets, utf8, word_hashes
 from loomgraph.storage import stash
 
@@ -39,6 +40,8 @@ MINOR, MEMBERS = 512, 2048
 CELLS = 1 << 25
 #: Members that meet their hub in one group of the verification.
 TOGETHER = 64
+#: Set in every hash of a difference, so that none is taken for a place in the hub's set.
+ADDED = np.uint64(1 << 63)
 
 
 def sketches(sets: list[np.ndarray], size: int) -> np.ndarray:
@@ -122,7 +125,7 @@ def _with_hub(percent: int):
                     common = int(np.count_nonzero(held))
                     missing = np.ones(len(hub), bool)
                     missing[at[held]] = False
-                    row = (a[k], b[k], len(hub), len(own), 100 * common >= percent * (len(hub) + len(own) - common), np.concatenate([np.flatnonzero(missing).astype(np.uint64), own[~held]]).tobytes(), len(hub) - common)
+                    row = (a[k], b[k], len(hub), len(own), 100 * common >= percent * (len(hub) + len(own) - common), np.concatenate([np.flatnonzero(missing).astype(np.uint64), own[~held] | ADDED]).tobytes(), len(hub) - common)
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(out, _STAR, strict=True)], [n for n, _ in _STAR])
@@ -153,7 +156,7 @@ class _Block:
 
     With the places a member lacks and the hashes it adds, the intersection of two members is
     |hub| - lacks(x) - lacks(y) + |both lack| + |both add|; the last two are counts of
-    common elements of the differences (places are below 2^32, so are no hashes to speak of).
+    common elements of the differences (hashes have the top bit, places never do).
     """
 
     def __init__(self, percent: int, hub_n: int):
@@ -245,7 +248,10 @@ def among_members(stars: DataFrame, labels: DataFrame, percent: int) -> DataFram
     """Links (a, b) between members of a common hub whose components differ; of links that join the same two components, one at least.
 
     The members outside a hub's largest component (minor) meet all members of the hub, in
-    blocks of about MINOR by MEMBERS.
+    blocks of about MINOR by MEMBERS: for M members, m of them minor, m * M comparisons of
+    differences and M * m / MINOR + m * M / MEMBERS copies of rows. That is much if a bucket
+    of very many documents falls into many components, which a band of six equal
+    coordinates makes rare; each block is a task's work of its own, so it spreads.
     """
     members = stash(
         stars.hint("merge").join(labels.hint("merge"), stars.b == labels.node, "left").select("a", "b", "hub_n", "n", "lacks", "difference", F.coalesce("label", "b").alias("label")),
@@ -272,7 +278,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     """(doc_id, n_shingles, component_id, kept), a row per row of ``docs``.
 
     Documents are linked if 100 * |A & B| >= percent * |A | B| over their distinct
-    ``words``-word shingles (A-Z lower-cased; the whole sequence, if shorter).
+    ``words``-word shingles (A-Z lower-cased; the whole sequence, if shorter). Shingles
+    are told apart by 64-bit hashes of their words' 64-bit hashes.
     With the defaults a pair at 0.85 is missed by all bands with probability 7e-7,
     at 0.8 with 1e-4, and then only if no third document connects it.
 
@@ -280,13 +287,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     and are linked with nothing. A null doc_id is linked with nothing, has a null
     component_id and is kept. Rows that share a doc_id are one document: with
     equal texts trivially, else the set with the least digest stands for all.
-    An empty table gives an empty result; other columns are ignored.
+    An empty table gives an empty result; other columns are ignored. Texts may be of any length.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profile = stash(source.mapInArrow(_profiles(words, rows, bands), "doc_id long, n_shingles long, digest binary, bands array<long>"), "profiles")
     # merge joins throughout: none of these sides is bounded, however small it may be today
     usable = profile.where("digest is not null and doc_id is not null")
     heads = stash(usable.groupBy("digest").agg(F.min("doc_id").alias("head")), "heads")
+    copied = hot_keys(usable, "digest")
     # one set per representative, should two texts share a doc_id
     own = usable.hint("merge").join(heads.hint("merge"), (usable.digest == heads.digest) & (usable.doc_id == heads["head"]), "left_semi").groupBy("doc_id").agg(F.min(F.struct("digest", "n_shingles", "bands")).alias("own"))
     own = stash(own.select("doc_id", "own.*"), "representatives")
@@ -307,27 +315,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     named = heads.hint("merge").join(labels.hint("merge"), heads["head"] == labels.node, "left").select("digest", F.coalesce("label", "head").alias("component"))
     # rows that share a doc_id follow the least component of their texts
     return (
-        profile.select("doc_id", "n_shingles", "digest").hint("merge").join(stash(named, "named").hint("merge"), "digest", "left")
+        join_on(profile.select("doc_id", "n_shingles", "digest"), stash(named, "named"), "digest", copied, "left")
         .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
     )
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, of which one stays per group of near-duplicate texts: that of the smallest doc_id, and one more of its rows without an id.
+    """The rows of ``docs``, all columns whatever their names, of which one stays per group of near-duplicate texts: that of the smallest doc_id, and one more of its rows without an id.
 
     Rows are compared one by one whatever their doc_id: where different texts share an id, both
-    stay. Texts without words are linked with nothing but the same text of the same id.
+    stay. Texts without words are linked with nothing but the same text of the same id; of those
+    without an id all stay. An empty table gives an empty result.
     """
-    keyed = stash(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    rows = keyed.select(F.col("__row").alias("doc_id"), "text")
-    found = near_duplicates(rows, words, percent).select(F.col("doc_id").alias("__row"), "n_shingles", "component_id")
-    own = keyed.select("__row", F.col("doc_id").alias("id"), F.xxhash64("text").alias("same"))
-    grouped = own.hint("merge").join(found.hint("merge"), "__row")
+    keyed = stash(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("at")), "rows")
+    text, doc_id = F.col("row").getField("text").cast("string"), F.col("row").getField("doc_id").cast("long")
+    found = near_duplicates(keyed.select(F.col("at").alias("doc_id"), text.alias("text")), words, percent).select(F.col("doc_id").alias("at"), "n_shingles", "component_id")
+    own = keyed.select("at", doc_id.alias("id"), F.xxhash64(text).alias("same"))
+    grouped = own.hint("merge").join(found.hint("merge"), "at")
     # a text without words stands for itself, but once for an id
     worded = F.col("n_shingles") > 0
     alone = ~worded & F.col("id").isNull()
-    group = [F.when(worded, F.col("component_id")).when(alone, F.col("__row")).alias("g"), F.when(~worded, F.col("id")).alias("i"), F.when(~worded, F.col("same")).alias("s"), worded.alias("w"), F.col("id").isNull().alias("n")]
-    first = F.min(F.struct("id", "same", "__row")).alias("first")
-    stay = grouped.groupBy(*group).agg(first).select("first.__row")
-    return keyed.hint("merge").join(stay.hint("merge"), "__row", "left_semi").select(*docs.columns)
+    group = [F.when(worded, F.col("component_id")).when(alone, F.col("at")).alias("g"), F.when(~worded, F.col("id")).alias("i"), F.when(~worded, F.col("same")).alias("s"), worded.alias("w"), F.col("id").isNull().alias("n")]
+    stay = grouped.groupBy(*group).agg(F.min(F.struct("id", "same", "at")).alias("first")).select("first.at")
+    return keyed.hint("merge").join(stay.hint("merge"), "at", "left_semi").select("row.*")
