@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.words import mix
+from loomgraph.storage import stash
 
 LEAST, AVERAGE, MOST = 64, 256, 1024
 #: Two bits more than the average asks for before it, two less beyond it.
@@ -34,8 +35,8 @@ STRICT, LOOSE = np.uint32(0x3FF << 22), np.uint32(0x3F << 26)
 SHORT = 1 << 15
 FINE = [(64, 8, 16, 64), (256, 16, 32, 128), (1024, 32, 128, 512), (SHORT, LEAST, AVERAGE, MOST)]
 SEGMENT = 1 << 20
-#: Rows in a range of consecutive ids, about, and the most ranges, as the driver holds a row for each.
-RANGE_ROWS, RANGES = 2000, 10_000
+#: Rows in a range of consecutive ids, about, and the most ranges, as the driver holds a row for each; beyond, ranges get longer.
+RANGE_ROWS, RANGES = 2000, 1 << 16
 
 _gear = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 
@@ -129,34 +130,53 @@ def fingerprint(chunks: dict[int, int]) -> str:
 
 
 def in_order(docs: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
-    """(range, own, doc_id, text): ranges of consecutive doc_ids, each in one partition and sorted, closed by the first row of the next range with own = false.
-
-    The last range is closed by the first row of all. Range bounds are quantiles of doc_id.
+    """(range, own, doc_id, text): ranges of consecutive rows, each in one partition and sorted, closed by the first row of the next range with own = false.
+
+    The order is that of doc_id, null first, then of the texts' hashes, then of the rows'
+    places in the table, so it is total: rows without an id, or with the same one, spread
+    over ranges like any others. The last range is closed by the first row of all. What is
+    sorted to find the bounds are these three numbers of each row, not the texts. A range
+    has max(rows, n / RANGES) rows, which a task streams through, so n only sets how long tasks run.
+    ``docs`` is read twice and has to give its rows in the same order, as a table does.
     """
-    n = docs.count()
-    parts = max(1, min(RANGES, n // rows))
-    bounds = docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 10_000).alias("q")).first()[0] if parts > 1 else []
-    bounds = sorted(set(bounds or []))
-    # the place of a doc_id among the bounds, by halving them
-    literal = F.expr(f"split('{','.join(map(str, bounds))}', ',')").cast("array<long>") if bounds else None
-    ranged = docs.withColumn("range", _place(F.col("doc_id"), literal, len(bounds)))
-    firsts = {r["range"]: r["low"] for r in ranged.groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNotNull(), F.col("doc_id"))).alias("low")).collect()}  # a row per range
-    order = sorted(firsts)
-    ahead = {firsts[r][1]: order[k - 1] for k, r in enumerate(order)}
-    pairs = docs.sparkSession.createDataFrame([(x, int(to)) for x, to in ahead.items()] or [(None, -1)], "first long, before int").where("before >= 0")
-    closing = docs.join(F.broadcast(pairs), F.col("doc_id").eqNullSafe(F.col("first"))).select(F.col("before").alias("range"), F.lit(False).alias("own"), "doc_id", "text")
-    both = ranged.select("range", F.lit(True).alias("own"), "doc_id", "text").unionByName(closing)
-    # a closing row of the last range has the smallest doc_id: it goes behind the others all the same
-    return both.repartition("range").sortWithinPartitions("range", F.desc("own"), F.col("doc_id").asc_nulls_first(), "text")
-
-
-def _place(x, bounds, n: int):
-    """How many of the sorted bounds are <= x."""
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("at"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("at")]
+    ranked = stash(keyed.select("doc_id", "hash", "at").orderBy(*order).select("doc_id", "hash", "at", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("inside")), "order")
+    sizes = {r["part"]: (r["low"], r["n"]) for r in ranked.groupBy("part").agg(F.min("inside").alias("low"), F.count("*").alias("n")).collect()}  # a row per partition of the sort
+    n, begin, before = sum(k for _, k in sizes.values()), [], 0
+    for part in sorted(sizes):
+        begin.append((part, before - sizes[part][0]))
+        before += sizes[part][1]
+    size = max(rows, -(-n // RANGES))
+    offset = F.create_map(*[F.lit(x) for pair in begin for x in pair])[F.col("part")] if begin else F.lit(0)
+    bounds = [(r["doc_id"], r["hash"], r["at"]) for r in ranked.withColumn("rank", F.col("inside") + offset).where(F.col("rank") % size == 0).orderBy("rank").select("doc_id", "hash", "at").collect()]  # at most RANGES rows
+    ranged = keyed.withColumn("range", _place(bounds))
+    firsts = docs.sparkSession.createDataFrame([(at, (k - 1) % len(bounds)) for k, (_, _, at) in enumerate(bounds)], "first long, before int")
+    closing = keyed.join(F.broadcast(firsts), F.col("at") == F.col("first")).select(F.col("before").alias("range"), F.lit(False).alias("own"), "doc_id", "text", "hash", "at")
+    both = ranged.select("range", F.lit(True).alias("own"), "doc_id", "text", "hash", "at").unionByName(closing)
+    # the row that closes the last range is the first of all: it goes behind the others all the same
+    return both.repartition("range").sortWithinPartitions("range", F.desc("own"), *order).select("range", "own", "doc_id", "text")
+
+
+def _place(bounds: list[tuple[int | None, int, int]]):
+    """How many of the sorted bounds but the first are at most (doc_id, hash, at), by halving."""
+    rest = bounds[1:]
+    n = len(rest)
     if not n:
         return F.lit(0)
+    least = -(1 << 63)
+    ids, hashes, places = (F.expr(f"split('{','.join(str(least if b[k] is None else b[k]) for b in rest)}', ',')").cast("array<long>") for k in range(3))
+    nulls = sum(b[0] is None for b in rest)
+    own = F.coalesce(F.col("doc_id"), F.lit(least))
+
+    def reached(k):
+        # bounds without an id come first: a row with one is behind them, one without is before the others
+        same = (F.get(hashes, k) < F.col("hash")) | ((F.get(hashes, k) == F.col("hash")) & (F.get(places, k) <= F.col("at")))
+        with_id = F.col("doc_id").isNotNull() & ((F.get(ids, k) < own) | ((F.get(ids, k) == own) & same))
+        return F.when(k < nulls, F.col("doc_id").isNotNull() | same).otherwise(with_id)
+
     steps = F.array(*[F.lit(1 << k) for k in range(n.bit_length() - 1, -1, -1)])
-    low = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n) & (F.get(bounds, at + step - 1) <= x), at + step).otherwise(at))
-    return F.coalesce(low, F.lit(0)).cast("int")
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n) & reached(at + step - 1), at + step).otherwise(at)).cast("int")
 
 
 def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
@@ -168,7 +188,8 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
     edited text's and the next document's. Null texts count as empty; empty texts have
     an empty fingerprint, contained wholly in another empty one and not at all in others. Null
     doc_ids come before all others; rows with the same doc_id are in the order of
-    their texts. An only row is its own next. Other columns are ignored.
+    their texts' hashes, equal ones in that of their places. An only row is its own next.
+    Texts may be of any length. Other columns are ignored; an empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 

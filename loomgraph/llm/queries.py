@@ -92,7 +92,7 @@ FROM w
 def _op5_sql() -> str:
     weights = url_filter.fit()
     at = f"CAST([{','.join(map(str, weights[:-1]))}] AS DOUBLE[])"
-    sums = " + ".join(f"coalesce(list_sum(list_transform(range(1, length(t) - {n - 2}), lambda k: w[CAST(('0x' || substr(md5(substr(t, CAST(k AS BIGINT), {n})), 1, 3)) AS INTEGER) + 1])), 0)" for n in url_filter.GRAMS)
+    sums = " + ".join(f"coalesce(list_sum(list_transform(range(1, length(t) - {n - 2}), lambda k: w[CAST(('0x' || substr(md5(substr(t, CAST(k AS BIGINT), {n})), 1, 4)) AS INTEGER) % {url_filter.BUCKETS} + 1])), 0)" for n in url_filter.GRAMS)
     count = " + ".join(f"greatest(length(t) - {n - 1}, 0)" for n in url_filter.GRAMS)
     rules = sorted(RULES, key=lambda r: -len(r[1]))
     fits = [(v, r, f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))") for v, r in rules for h, p in [url_filter.split_rule(r)]]
@@ -103,7 +103,7 @@ WITH r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, inst
      h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
      g AS (SELECT *, '^' || host || path || '$' AS t, {rule} AS rule, {told} AS told FROM h),
      s AS (SELECT g.*, round({weights[-1]} + ({sums}) / greatest({count}, 1) * 8, 6) AS score FROM g, (SELECT {at} AS w))
-SELECT page_id, host, path, rule, coalesce(told, CASE WHEN score > 0 THEN 'block' ELSE 'allow' END) AS verdict FROM s
+SELECT page_id, host, path, rule, coalesce(told, CASE WHEN host <> '' AND score > 0 THEN 'block' ELSE 'allow' END) AS verdict FROM s
 """
 
 
