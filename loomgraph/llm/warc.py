@@ -1,8 +1,9 @@
 """WARC archives compressed with Zstandard: one frame per record, a dictionary in the leading skippable frame.
 
 Writing and reading go straight between executors and the shared folder, one file per
-``FILE_BYTES`` of payload; files appear under their last name only when whole and
-have the same name and content in every attempt, so a task that is run again does no harm.
+``FILE_BYTES`` of payload. A file's name holds the attempt that wrote it, and only the files
+that the written table of archives names are read, so a task that is run again, or
+twice at the same time, does no harm.
 """
 
 from __future__ import annotations
@@ -19,11 +20,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.skew import hot_keys, join_on
 from loomgraph.storage import stash, work_dir
 
 #: Magic number of the skippable frame that holds the dictionary, and of a Zstandard frame. Fixed values of the formats.
 DICTIONARY_FRAME, ZSTD_FRAME = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
 FILE_BYTES, DICTIONARY_BYTES, SAMPLES = 32 << 20, 16 << 10, 200
+#: Bytes of a record, at most, when it is read; a frame that inflates beyond is damage.
+MOST_RECORD = 1 << 31
+#: Schemes of Hadoop's file systems by the names pyarrow has for them. Fixed values.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
 #: Tasks that read archives, at most.
 READERS = 10_000
 #: Equal payloads of at least so many bytes are stored once.
@@ -40,27 +46,48 @@ def _sha1(payload: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def _hex(digest: str) -> str:
+    try:
+        return base64.b32decode(digest.removeprefix("sha1:")).hex()
+    except ValueError as e:
+        raise WarcError(f"a digest that is none: {digest[:60]}") from e
+
+
 def _clean(text: str) -> str:
     return "".join(c if c.isprintable() else f"%{ord(c):02X}" for c in text)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None) -> bytes:
-    """One WARC/1.1 record: a response with its HTTP head and payload, or a revisit with the head alone."""
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None, number: str = "0") -> bytes:
+    """One WARC/1.1 record: a response with its HTTP head and payload, or a revisit with the head alone.
+
+    ``number`` makes the record's id its own where pages have no id or share one. A revisit
+    names its page in an extension field; its payload digest is what makes it one.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}:{number}>", f"WARC-Date: {DATE}"]
     if url:
         head.append(f"WARC-Target-URI: {_clean(url)}")
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {PROFILE}"]
+        head += [f"WARC-Refers-To-Page: {refers_to}", f"WARC-Profile: {PROFILE}"]
     head += ["Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: {_sha1(payload)}", f"WARC-Block-Digest: {_sha1(block)}", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def _length(text: str | bytes) -> int:
+    text = text.decode("ascii", "replace") if isinstance(text, bytes) else text
+    if not text.strip().isascii() or not text.strip().isdigit():
+        raise WarcError(f"a length that is no number: {text[:40]!r}")
+    return int(text)
+
+
 def parse(raw: bytes) -> dict:
     """The record's headers (lower-case names), block, HTTP payload and payload length; WarcError if anything does not fit."""
     head, gap, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8", "strict").split("\r\n")
+    try:
+        lines = head.decode("utf-8", "strict").split("\r\n")
+    except UnicodeDecodeError as e:
+        raise WarcError("a head that is not UTF-8") from e
     if not gap or lines[0] not in ("WARC/1.0", "WARC/1.1"):
         raise WarcError("no WARC head")
     fields = {}
@@ -72,7 +99,7 @@ def parse(raw: bytes) -> dict:
     for name in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if name not in fields:
             raise WarcError(f"no {name}")
-    length = int(fields["content-length"])
+    length = _length(fields["content-length"])
     if len(rest) != length + 4 or rest[length:] != b"\r\n\r\n":
         raise WarcError(f"a block of {len(rest) - 4} bytes; its header says {length}")
     block = rest[:length]
@@ -83,7 +110,7 @@ def parse(raw: bytes) -> dict:
         http, gap, payload = block.partition(b"\r\n\r\n")
         if not gap or not http.startswith(b"HTTP/"):
             raise WarcError("no HTTP head")
-        sizes = [int(x.split(b":", 1)[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+        sizes = [_length(x.split(b":", 1)[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
         out |= {"payload": payload, "payload_length": sizes[0] if sizes else len(payload)}
     if fields["warc-type"] == "response":
         if out["payload_length"] != len(out["payload"]):
@@ -133,18 +160,24 @@ def frames(stream, chunk: int = 1 << 20) -> Iterator[bytes]:
                     raise WarcError("a skippable frame is cut short")
             if at_start and struct.unpack_from("<I", held)[0] == DICTIONARY_FRAME:
                 body = held[8:size]
-                body = zstandard.ZstdDecompressor().decompress(body, max_output_size=1 << 28) if body[:4] == ZSTD_FRAME else body
-                dictionary = zstandard.ZstdCompressionDict(body)
+                try:
+                    body = zstandard.ZstdDecompressor().decompress(body, max_output_size=1 << 28) if body[:4] == ZSTD_FRAME else body
+                    dictionary = zstandard.ZstdCompressionDict(body)
+                except zstandard.ZstdError as e:
+                    raise WarcError(f"the dictionary is damaged: {e}") from e
             held, at_start = held[size:], False
             continue
         at_start = False
         if held[:4] != ZSTD_FRAME:
             raise WarcError("no Zstandard frame")
         one = zstandard.ZstdDecompressor(dict_data=dictionary).decompressobj()
-        parts = []
+        parts, size = [], 0
         try:
             while not one.eof:
                 parts.append(one.decompress(held))
+                size += len(parts[-1])
+                if size > MOST_RECORD:
+                    raise WarcError(f"a record of more than {MOST_RECORD} bytes")
                 held = one.unused_data if one.eof else b""
                 if not one.eof and not more():
                     raise WarcError("a frame is cut short")
@@ -154,7 +187,12 @@ def frames(stream, chunk: int = 1 << 20) -> Iterator[bytes]:
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path)
+    """The file system and place of a URI in Hadoop's spelling; credentials come from the environment of the workers."""
+    scheme, colon, rest = path.partition(":")
+    try:
+        return pafs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + colon + rest)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError) as e:
+        raise ValueError(f"archives cannot be kept in {path}: no file system for {scheme}") from e
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
@@ -162,16 +200,14 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        files, held, size, turn, made = _open(folder), [], 0, 0, []
+        files, held, size, turn, made, count = _open(folder), [], 0, 0, [], 0
         files[0].create_dir(files[1], recursive=True)
 
         def close() -> None:
             nonlocal held, size, turn
-            name = f"part-{context.partitionId():06d}-{turn:04d}.warc.zst"
-            part = f"{files[1]}/.{name}.{context.taskAttemptId()}"
-            with files[0].open_output_stream(part, compression=None) as out:
+            name = f"part-{context.partitionId():06d}-{turn:04d}-{context.taskAttemptId()}.warc.zst"
+            with files[0].open_output_stream(f"{files[1]}/{name}", compression=None) as out:
                 out.write(archive(held))
-            files[0].move(part, f"{files[1]}/{name}")
             made.append((f"{folder}/{name}", len(held)))
             held, size, turn = [], 0, turn + 1
 
@@ -179,7 +215,8 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             ids, urls, refers, html = (batch.column(c) for c in ("page_id", "url", "refers_to", "html"))
             for k in range(len(batch)):
                 payload = (html[k].as_py() or "").encode()
-                one = record(ids[k].as_py(), urls[k].as_py(), payload, refers[k].as_py())
+                one = record(ids[k].as_py(), urls[k].as_py(), payload, refers[k].as_py(), f"{context.partitionId():x}-{count:x}")
+                count += 1
                 held.append(one)
                 size += len(one)
                 if size >= FILE_BYTES:
@@ -191,9 +228,12 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     return stash(pages.select("page_id", "url", "html", "refers_to").mapInArrow(run, "path string, records long"), "archives")
 
 
-def _number(text: str | None) -> int | None:
-    text = (text or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(text) if text else None
+def _page(record_id: str) -> int | None:
+    """The page's id in a record id of ours; null where the page has none."""
+    name, _, number = record_id.removeprefix("<urn:page:").removesuffix(">").partition(":")
+    if not number or (name and not name.lstrip("-").isdigit()):
+        raise WarcError(f"a record id of another kind: {record_id[:80]}")
+    return int(name) if name else None
 
 
 def read_archives(paths: DataFrame) -> DataFrame:
@@ -209,10 +249,10 @@ def read_archives(paths: DataFrame) -> DataFrame:
                     for raw in frames(stream):
                         found = parse(raw)
                         fields, revisit = found["fields"], found["fields"]["warc-type"] == "revisit"
-                        if revisit and "warc-refers-to" not in fields:
+                        if revisit and not fields.get("warc-refers-to-page", "").lstrip("-").isdigit():
                             raise WarcError("a revisit that refers to nothing")
-                        digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex() if "warc-payload-digest" in fields else hashlib.sha1(found["payload"]).hexdigest()
-                        row = (_number(fields["warc-record-id"]), fields.get("warc-target-uri"), fields["warc-type"], _number(fields.get("warc-refers-to")), found["payload_length"], digest, None if revisit else found["payload"])
+                        digest = _hex(fields["warc-payload-digest"]) if "warc-payload-digest" in fields else hashlib.sha1(found["payload"]).hexdigest()
+                        row = (_page(fields["warc-record-id"]), fields.get("warc-target-uri"), fields["warc-type"], int(fields["warc-refers-to-page"]) if revisit else None, found["payload_length"], digest, None if revisit else found["payload"])
                         for column, value in zip(out, row, strict=True):
                             column.append(value)
                         size += len(raw)
@@ -232,7 +272,8 @@ def plan_revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     digests = stash(pages.where(F.col("page_id").isNotNull()).select("page_id", F.sha1(html).alias("digest"), F.octet_length(html).alias("size")).where(F.col("size") >= least), "digests")
     last = stash(digests.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("first")).where("first < refers_to").drop("first"), "last")
-    return digests.join(last, "digest").where("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
+    again = join_on(digests, last, "digest", hot_keys(digests, "digest"))
+    return again.where("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def archive_pages(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
