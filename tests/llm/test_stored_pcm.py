@@ -5,10 +5,10 @@ from loomgraph.llm import media
 
 def test_resampled_pcm_is_stored_and_read_back(spark, monkeypatch):
     made = {}
-    monkeypatch.setattr(media, "stash", lambda df, label, keep=media.stash: made.setdefault(label, keep(df, label)))
+    monkeypatch.setattr(media, "stash", lambda df, label, *level, keep=media.stash: made.setdefault(label, keep(df, label, *level)))
     df = spark.createDataFrame([(1, None), (2, "abc"), (None, "é" * 500), (2, "abc" * 700)], "doc_id long, text string")
     got = sorted(((r.n_bytes, r.doc_id, r.feature) for r in media.text_audio(df).collect()), key=str)
-    kept = {(r.n_bytes, r.doc_id): bytes(r.pcm) for r in made["pcm"].collect()}
+    kept = {(r.n_bytes, r.doc_id): bytes(r.pcm) for r in made["media"].collect()}
     want = sorted(bytes(r.pcm) for r in media.decode_media(made["media"]).collect())
     assert sorted(kept.values()) == want and min(map(len, want)) == 4 * media.UNIT
     for n, doc, feature in got:
