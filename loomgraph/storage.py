@@ -17,9 +17,11 @@ _made: dict[str, tuple[SparkSession, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set (tests, local mode)."""
+    """The cluster's shared folder; a temporary one only where none is set and Spark runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
@@ -34,10 +36,10 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return path
 
 
-def stash(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and return a reader of it."""
+def stash(df: DataFrame, label: str, level: int = 3) -> DataFrame:
+    """Write ``df`` as Parquet, compressed by Zstandard at ``level``, into the shared folder and return a reader of it."""
     path = work_dir(df.sparkSession, label)
-    df.write.option("compression", compression).parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).option("parquet.page.size", 16 << 20).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
