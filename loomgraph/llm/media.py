@@ -22,8 +22,6 @@ RATE, UNIT = 8000, 64
 PCM, ALAW, MULAW, IMA_ADPCM = 1, 6, 7, 0x11
 #: Samples that are decoded at once.
 WINDOW = 1 << 20
-#: Zstandard's level for media and PCM, four bytes of which repeat what one byte of the media says: at 3 both take a third more room, at 13 they take three times as long to write.
-LEVEL = 12
 
 
 def _mulaw_table() -> np.ndarray:
@@ -157,8 +155,8 @@ def describe(pcm: np.ndarray) -> str:
     return f"{len(pcm)}/{int(np.abs(wide).max())}/{int(np.sqrt(float(np.dot(wide, wide)) / len(wide)))}/{int(np.count_nonzero((wide[1:] < 0) != (wide[:-1] < 0)))}"
 
 
-def store_media(docs: DataFrame, kind: int = MULAW, to: int | None = None) -> DataFrame:
-    """(doc_id, n_bytes, media): every text's UTF-8 bytes, padded with zeros to a positive multiple of UNIT, in a WAV file; with ``to`` also pcm, its samples resampled to that many Hz, 16-bit little-endian.
+def store_media(docs: DataFrame, kind: int = MULAW) -> DataFrame:
+    """(doc_id, n_bytes, media): every text's UTF-8 bytes, padded with zeros to a positive multiple of UNIT, in a WAV file.
 
     Null texts count as empty and are stored as UNIT zeros; texts may be of any length; null
     ids and repeated rows are rows like any other; other columns are ignored; an empty
@@ -168,25 +166,13 @@ def store_media(docs: DataFrame, kind: int = MULAW, to: int | None = None) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
-            ids, lo = batch.column("doc_id"), 0
-            while lo < len(texts):
-                out: list[list] = [[], [], []]
-                hi, total = lo, 0
-                while hi < len(texts) and hi - lo < 256 and total < WINDOW:
-                    raw = (texts[hi].as_py() or "").encode()
-                    payload = raw + b"\0" * ((-len(raw)) % UNIT or (0 if raw else UNIT))
-                    out[0].append(len(raw))
-                    out[1].append(wav(payload, kind))
-                    if to:
-                        out[2].append(resampled(expand(kind, payload), RATE, to).astype("<i2").tobytes())
-                    hi, total = hi + 1, total + len(payload)
-                columns = [ids.slice(lo, hi - lo), pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(out[2], pa.binary())] if to else columns, names)
-                lo = hi
-
-    names = ["doc_id", "n_bytes", "media", "pcm"][: 4 if to else 3]
+            for lo in range(0, len(texts), 256):
+                raw = [(x or "").encode() for x in texts.slice(lo, 256).to_pylist()]
+                media = [wav(x + b"\0" * ((-len(x)) % UNIT or (0 if x else UNIT)), kind) for x in raw]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, 256), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary" + (", pcm binary" if to else ""))
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 def decode_media(table: DataFrame, to: int = 16000) -> DataFrame:
@@ -203,17 +189,17 @@ def decode_media(table: DataFrame, to: int = 16000) -> DataFrame:
 
 
 def media_features(table: DataFrame, to: int = 16000) -> DataFrame:
-    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) from stored columns (doc_id, n_bytes, media, pcm).
+    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, pcm) from a stored table (doc_id, n_bytes, media).
 
+    pcm: the samples resampled to ``to`` Hz, 16-bit little-endian, a media column of its own.
     feature: length/peak/rms/sign changes of the samples the stored format gives, of the
-    payload read as A-law and as ADPCM blocks, and the CRC-32 of the stored PCM, whose rate
-    is ``to``. ValueError if a media file is damaged.
+    payload read as A-law and as ADPCM blocks, and the CRC-32 of pcm. ValueError if a media
+    file is damaged.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            media_column, crc = batch.column("media"), batch.column("crc").to_pylist()
-            ids, sizes = batch.column("doc_id").to_pylist(), batch.column("n_bytes").to_pylist()
+            media_column, ids, sizes = batch.column("media"), batch.column("doc_id").to_pylist(), batch.column("n_bytes").to_pylist()
             lo = 0
             while lo < len(batch):
                 files, total = [], 0
@@ -224,23 +210,23 @@ def media_features(table: DataFrame, to: int = 16000) -> DataFrame:
                 # the blocks of all files of the window are decoded together
                 blocks = adpcm_decode(b"".join(payload[: len(payload) // UNIT * UNIT] for *_, payload in files))
                 at = 0
-                for doc, n, pcm_crc, (media, kind, _, payload) in zip(ids[lo:], sizes[lo:], crc[lo:], files, strict=False):
+                for doc, n, (media, kind, rate, payload) in zip(ids[lo:], sizes[lo:], files, strict=False):
                     wide = len(payload) // UNIT * (1 + 2 * (UNIT - 4))
                     adpcm, at = blocks[at : at + wide], at + wide
                     pcm = adpcm if kind == IMA_ADPCM else expand(kind, payload)
-                    feature = f"{describe(pcm)};alaw={describe(expand(ALAW, payload))};adpcm={describe(adpcm)};pcm{to}={pcm_crc:08x}"
-                    row = (doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature)
+                    again = resampled(pcm, rate, to).astype("<i2").tobytes()
+                    feature = f"{describe(pcm)};alaw={describe(expand(ALAW, payload))};adpcm={describe(adpcm)};pcm{to}={zlib.crc32(again):08x}"
+                    row = (doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature, again)
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
                 lo += len(files)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names)
 
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    rows = table.select("doc_id", "n_bytes", "media", F.crc32("pcm").alias("crc"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+    return table.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm binary")
 
 
 def text_audio(docs: DataFrame, kind: int = MULAW, to: int = 16000) -> DataFrame:
-    """Store every text as telephony audio beside its resampled PCM, read both stored columns back and describe them."""
-    return media_features(stash(store_media(docs, kind, to), "media", LEVEL), to)
+    """Store every text as telephony audio, read the stored column back, and describe it beside its resampled PCM, which is stored with the result."""
+    return media_features(stash(store_media(docs, kind), "media"), to)
