@@ -36,13 +36,22 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return path
 
 
-def stash(df: DataFrame, label: str, level: int = 3) -> DataFrame:
-    """Write ``df`` as Parquet, compressed by Zstandard at ``level``, into the shared folder and return a reader of it."""
+def stash(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and return a reader of it."""
     path = work_dir(df.sparkSession, label)
-    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).option("parquet.page.size", 16 << 20).parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stash_by(df: DataFrame, label: str, column: str) -> DataFrame:
+    """As ``stash``, in as many buckets by ``column`` as shuffles have partitions, so that joins and sums by it need not move the rows again."""
+    spark = df.sparkSession
+    name = f"loomgraph_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(buckets, column).write.bucketBy(buckets, column).sortBy(column).option("path", work_dir(spark, label)).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in list(_made.values()):
