@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.skew import hot_keys, join_on
+from loomgraph.skew import hot_keys, join_on
 from loomgraph.storage import stash
 
 

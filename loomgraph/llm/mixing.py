@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.skew import numbered
+from loomgraph.skew import numbered
 from loomgraph.storage import stash
 
 #: Up to so many sources, or repeated ids, a table of them is broadcast; beyond, it is joined by a shuffle that AQE may split.

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.components import connected_components
-from loomgraph.llm.skew import hot_keys, join_on
+from loomgraph.skew import hot_keys, join_on
 from loomgraph.llm.words import mix, row_blocks, shingle_sets, utf8, word_hashes
 from loomgraph.storage import stash
 

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.skew import hot_keys, join_on
+from loomgraph.skew import hot_keys, join_on
 from loomgraph.storage import stash, work_dir
 
 #: Magic number of the skippable frame that holds the dictionary, and of a Zstandard frame. Fixed values of the formats.
