@@ -2,23 +2,62 @@
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text
-from loomgraph.storage import stash
+from loomgraph.operators import identity
+from loomgraph.operators.resolve import TYPES
+from loomgraph.storage import stash, stash_by
 
 MAX_DEPTH = 10
+#: Up to so many ids are looked up by a filter that reaches the files' statistics; more by a join.
+FEW = 1000
+#: Seeds of a context, at most, that are broadcast. Fixed value.
+SEEDS = 200
+#: Pairs of files that one task takes in; what is left of a larger graph is reduced by joins first.
+LOCAL_PAIRS = 2_000_000
+
+
+@dataclass
+class Adjacency:
+    """The same edges(src, dst) twice, so that either end can be looked up in files sorted by it."""
+
+    by_src: DataFrame
+    by_dst: DataFrame
+
+
+def adjacency(edges: DataFrame | Adjacency) -> Adjacency:
+    if isinstance(edges, Adjacency):
+        return edges
+    bound = edges.where("dst is not null").select("src", "dst")
+    return Adjacency(bound, bound)
+
 
+def _touching(edges: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``edges`` whose ``column`` is one of ids(id)."""
+    few = [r[0] for r in ids.limit(FEW + 1).collect()]
+    if len(few) <= FEW:
+        return edges.where(F.col(column).isin(few))
+    return edges.join(ids.select(F.col("id").alias(column)), column, "left_semi")
 
-def callers(edges: DataFrame, targets: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Distinct symbols with an edge to one of ``targets`` (id)."""
-    hit = edges.join(targets.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
+
+def callers(edges: DataFrame | Adjacency, targets: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Distinct symbols with a bound edge to one of ``targets`` (id)."""
+    hit = _touching(adjacency(edges).by_dst, "dst", targets.select("id")).select(F.col("src").alias("id")).distinct()
     return symbols.join(hit, "id", "left_semi")
 
 
-def callees(edges: DataFrame, sources: DataFrame, symbols: DataFrame) -> DataFrame:
-    return callers(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), sources, symbols)
+def callees(edges: DataFrame | Adjacency, sources: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Distinct symbols that one of ``sources`` (id) has a bound edge to."""
+    hit = _touching(adjacency(edges).by_src, "src", sources.select("id")).select(F.col("dst").alias("id")).distinct()
+    return symbols.join(hit, "id", "left_semi")
 
 
 def unresolved_callers(calls: DataFrame, symbols: DataFrame, target: DataFrame, spelling: str) -> DataFrame:
@@ -28,49 +67,93 @@ def unresolved_callers(calls: DataFrame, symbols: DataFrame, target: DataFrame,
     return symbols.join(hit, "id", "left_semi")
 
 
-def closure(edges: DataFrame, seeds: DataFrame, depth: int, both: bool = True) -> DataFrame:
+def all_callers(edges: DataFrame | Adjacency, unbound: DataFrame, symbols: DataFrame, target: DataFrame, spelling: str) -> DataFrame:
+    """Bound callers of ``target`` and those of unbound calls (src, file_id, language, dst_name) whose name may mean it.
+
+    A name may mean a target of its language if it is the spelling, a boundary suffix of the
+    qualified name, or extends it at a boundary. A bare name means a Go symbol only in
+    the folder and package of the call, and a type of a gated language only in its own file.
+    """
+    place = symbols.select(F.col("id").alias("src"), F.substring_index("qualified_name", ".", 1).alias("package"))
+    t = target.select("id", "language", "qualified_name", "file_id", F.col("kind").isin(*TYPES).alias("is_type"))
+    suffixes = F.array_distinct(F.concat(F.array(F.lit(spelling), "qualified_name"), text.boundary_suffixes(F.col("qualified_name"))))
+    spelled = t.select("language", F.explode(suffixes).alias("dst_name"), F.col("file_id").alias("t_file"), "is_type", F.substring_index("qualified_name", ".", 1).alias("t_package")).distinct()
+    near = unbound.join(spelled, ["language", "dst_name"]).join(place, "src", "left")
+    bare = text.bare(F.col("dst_name"))
+    in_scope = F.when(bare & (F.col("language") == "go"), F.col("package") == F.col("t_package")).when(bare & F.col("is_type") & F.col("language").isin(*identity.GATED), F.col("file_id") == F.col("t_file")).otherwise(True)
+    longer = identity.extending_callers(unbound, target).select(F.col("src").alias("id"))
+    hit = near.where(in_scope).select(F.col("src").alias("id")).unionByName(longer).distinct()
+    bound = callers(edges, target, symbols).select("id")
+    return symbols.join(bound.unionByName(hit).distinct(), "id", "left_semi")
+
+
+def all_callees(edges: DataFrame | Adjacency, unbound: DataFrame, symbols: DataFrame, sources: DataFrame) -> DataFrame:
+    """Bound callees of ``sources`` (id) and what the names of their unbound calls may mean, by the identity cascade."""
+    names = _touching(unbound, "src", sources.select("id")).select(F.col("dst_name").alias("name"), "language").distinct()
+    meant = identity.identity_cascade(names, symbols).select("id")
+    return symbols.join(callees(edges, sources, symbols).select("id").unionByName(meant).distinct(), "id", "left_semi")
+
+
+def closure(edges: DataFrame | Adjacency, seeds: DataFrame, depth: int, both: bool = True) -> DataFrame:
     """(id, depth): what is reached from seeds (id) within ``depth`` steps, at its least depth; seeds only if reached again (depth 0 rows are left out).
 
-    A level's frontier is joined with the edges; what was seen before drops out. Levels are
-    written to the shared folder, so plans stay short and lost executors cost one level.
+    A level's frontier is looked up in the edges; what was seen before drops out. Levels are
+    written to the shared folder, so plans stay short and lost executors cost one level. Small
+    frontiers are looked up by their ids, which prunes edges that are stored in order.
     """
     if not 0 <= depth <= MAX_DEPTH:
         raise ValueError(f"depth must be 0 to {MAX_DEPTH}")
-    steps = edges.where("dst is not null").select("src", "dst")
-    if both:
-        steps = steps.unionByName(edges.where("dst is not null").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    adjacent = adjacency(edges)
     frontier = seeds.select("id").distinct()
     seen = None
     for level in range(1, depth + 1):
-        near = steps.join(frontier.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-        fresh = near if seen is None else near.join(seen, "id", "left_anti")
+        near = _touching(adjacent.by_src, "src", frontier).select(F.col("dst").alias("id"))
+        if both:
+            near = near.unionByName(_touching(adjacent.by_dst, "dst", frontier).select(F.col("src").alias("id")))
+        fresh = near.distinct() if seen is None else near.distinct().join(seen, "id", "left_anti")
         fresh = stash(fresh.withColumn("depth", F.lit(level)), "level")
         seen = fresh if seen is None else seen.unionByName(fresh)
         frontier = fresh.select("id")
     return seen if seen is not None else frontier.withColumn("depth", F.lit(0)).limit(0)
 
 
-def impact(edges: DataFrame, symbols: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
-    return symbols.join(closure(edges, seeds, depth), "id")
+def impact(edges: DataFrame | Adjacency, symbols: DataFrame, seeds: DataFrame, depth: int = 2, files: DataFrame | None = None) -> DataFrame:
+    """Symbols within ``depth`` steps either way, with the depth. Seeds are in it only if reached again; the symbols of ``files`` (file_id) are seeds too and always in it, at depth 0."""
+    if files is None:
+        return symbols.join(closure(edges, seeds, depth), "id")
+    inside = symbols.join(files.select("file_id").distinct(), "file_id", "left_semi").select("id")
+    reached = closure(edges, seeds.select("id").unionByName(inside), depth)
+    return symbols.join(reached.join(inside, "id", "left_anti").unionByName(inside.withColumn("depth", F.lit(0))), "id")
+
+
+def snapshot(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(src, dst, n): edges with either end among nodes(id)."""
+    n = nodes.select("id").distinct()
+    out = edges.join(n.select(F.col("id").alias("src")), "src", "left_semi").select("src", "dst")
+    into = edges.join(n.select(F.col("id").alias("dst")), "dst", "left_semi").join(n.select(F.col("id").alias("src")), "src", "left_anti").select("src", "dst")
+    return out.unionByName(into).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def trace(edges: DataFrame, seeds: DataFrame, direction: str = "downstream", depth: int = 3) -> DataFrame:
+def trace(edges: DataFrame | Adjacency, seeds: DataFrame, direction: str = "downstream", depth: int = 3) -> DataFrame:
     """(id, depth) along or against the edges; the seeds are not reached again. ``both`` gives downstream, as the catalogue has it."""
+    adjacent = adjacency(edges)
     if direction == "upstream":
-        edges = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    reached = closure(edges, seeds, depth, both=False)
+        turned = lambda df: df.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        adjacent = Adjacency(turned(adjacent.by_dst), turned(adjacent.by_src))
+    reached = closure(adjacent, seeds, depth, both=False)
     return reached.join(seeds.select("id"), "id", "left_anti")
 
 
 def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
     """(id, rank): multi-edges count, nodes without out-edges lose their mass, ranks rounded to six places.
 
-    Edges shrink to distinct pairs with weights first, so a round is one join and one sum
-    over pairs. A node without in-edges has the base rank in every
-    round and needs no row. Ranks are written every fifth round.
+    Edges shrink to distinct pairs with weights first, kept in buckets by source, so a round
+    moves sums by target only: the pairs stay where they are. A node without in-edges has the
+    base rank in every round and needs no row. Ranks are written every fifth round.
     """
     pairs = edges.where("src is not null and dst is not null").groupBy("src", "dst").agg(F.count("*").alias("n"))
-    weighted = stash(pairs.join(pairs.groupBy("src").agg(F.sum("n").alias("out")), "src").select("src", "dst", (F.col("n") / F.col("out")).alias("w")), "weights")
+    pairs = stash(pairs, "pairs")
+    weighted = stash_by(pairs.join(pairs.groupBy("src").agg(F.sum("n").alias("out")), "src").select("src", "dst", (F.col("n") / F.col("out")).alias("w")), "weights", "src")
     nodes = stash(weighted.select(F.col("src").alias("id")).unionByName(weighted.select(F.col("dst").alias("id"))).distinct(), "nodes")
     n = nodes.count()
     if not n:
@@ -102,31 +185,97 @@ def coupling(edges: DataFrame, symbols: DataFrame, files: DataFrame, limit: int
     return out if limit is None else out.orderBy(F.desc("n"), "file_a", "file_b").limit(limit)
 
 
-def files_on_cycles(pairs: DataFrame) -> DataFrame:
-    """(id): nodes of pairs(a, b) that reach themselves.
-
-    Nodes without a way in or out are peeled off until none is left; then the least
-    label is spread forwards and backwards: who gets both from the same node shares its cycle.
+def _knots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Nodes of the pairs (a, b) that share a strongly connected component with another, by one depth-first walk (Tarjan, 1972) without recursion."""
+    nodes, both = np.unique(np.concatenate([a, b]), return_inverse=True)
+    src, dst = both[: len(a)], both[len(a) :]
+    order = np.argsort(src, kind="stable")
+    after, begin = dst[order].tolist(), np.searchsorted(src[order], np.arange(len(nodes) + 1)).tolist()
+    index, low, on, found = [0] * len(nodes), [0] * len(nodes), bytearray(len(nodes)), []
+    clock, stack = 1, []
+    for root in range(len(nodes)):
+        if index[root]:
+            continue
+        walk = [(root, begin[root])]
+        index[root] = low[root] = clock
+        clock += 1
+        stack.append(root)
+        on[root] = 1
+        while walk:
+            v, at = walk.pop()
+            if at < begin[v + 1]:
+                walk.append((v, at + 1))
+                w = after[at]
+                if not index[w]:
+                    index[w] = low[w] = clock
+                    clock += 1
+                    stack.append(w)
+                    on[w] = 1
+                    walk.append((w, begin[w]))
+                elif on[w]:
+                    low[v] = min(low[v], index[w])
+                continue
+            if walk:
+                low[walk[-1][0]] = min(low[walk[-1][0]], low[v])
+            if low[v] == index[v]:
+                knot = []
+                while True:
+                    w = stack.pop()
+                    on[w] = 0
+                    knot.append(w)
+                    if w == v:
+                        break
+                if len(knot) > 1:
+                    found += knot
+    return nodes[np.array(sorted(found), np.int64)]
+
+
+def files_on_cycles(pairs: DataFrame, local: int = LOCAL_PAIRS) -> DataFrame:
+    """(id): nodes of pairs(a, b) that reach themselves through another.
+
+    Nodes without a way in or out are peeled off, a few layers at a time. What is left, if at
+    most ``local`` pairs, is walked in one task. Else the least label is spread forwards from
+    all nodes at once and, among nodes of one label, backwards from its owner: who gets it
+    both ways shares the owner's cycles, and every label settles one component, so
+    all of them shrink in the same rounds.
     """
     live = stash(pairs.select("a", "b").where("a <> b").distinct(), "pairs")
     found = None
     while True:
-        before = live.count()
-        kept = live.join(live.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
-        kept = kept.join(live.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
-        live = stash(kept.select("a", "b"), "pairs")
-        after = live.count()
-        if after == 0:
-            return found if found is not None else live.select(F.col("a").alias("id"))
-        if after < before:
-            continue
-        pivot = live.agg(F.min("a").alias("id"))
-        forward, backward = _reach(live, pivot), _reach(live.select(F.col("b").alias("a"), F.col("a").alias("b")), pivot)
-        group = stash(forward.join(backward, "id", "left_semi"), "group")
-        if group.count() > 1:
-            found = group if found is None else found.unionByName(group)
-        gone = group.unionByName(pivot).distinct()
-        live = stash(live.join(gone.select(F.col("id").alias("a")), "a", "left_anti").join(gone.select(F.col("id").alias("b")), "b", "left_anti").select("a", "b"), "pairs")
+        for _ in range(3):
+            kept = live.join(live.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
+            live = kept.join(live.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
+        live = stash(live, "pairs")
+        if live.limit(local + 1).count() <= local:
+
+            def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                table = pa.Table.from_batches(list(batches), schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+                yield pa.RecordBatch.from_arrays([pa.array(_knots(table["a"].to_numpy(), table["b"].to_numpy()), pa.int64())], ["id"])
+
+            last = live.select(F.col("a").cast("long"), F.col("b").cast("long")).coalesce(1).mapInArrow(walk, "id long")
+            return last if found is None else found.unionByName(last)
+        label = _spread(live)
+        inner = live.join(label.select(F.col("id").alias("a"), F.col("label").alias("x")), "a").join(label.select(F.col("id").alias("b"), F.col("label").alias("y")), "b").where("x = y")
+        inner = stash(inner.select("a", "b", F.col("x").alias("label")), "inner")
+        owners = label.where("id = label").select("id")
+        back = _reach(inner.select(F.col("b").alias("a"), F.col("a").alias("b")), owners)
+        # an owner alone is a component of one; with others it is a knot
+        many = label.join(back, "id", "left_semi").groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select("label")
+        group = stash(label.join(back, "id", "left_semi").join(many, "label", "left_semi").select("id"), "group")
+        found = group if found is None else found.unionByName(group)
+        live = stash(live.join(back.select(F.col("id").alias("a")), "a", "left_anti").join(back.select(F.col("id").alias("b")), "b", "left_anti").select("a", "b"), "pairs")
+
+
+def _spread(pairs: DataFrame) -> DataFrame:
+    """(id, label): the least node that reaches it, itself included."""
+    nodes = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    label = stash(nodes.withColumn("label", F.col("id")), "label")
+    while True:
+        given = pairs.join(label.select(F.col("id").alias("a"), "label"), "a").groupBy(F.col("b").alias("id")).agg(F.min("label").alias("given"))
+        after = stash(label.join(given, "id", "left").select("id", F.least("label", "given").alias("label"), F.coalesce(F.col("given") < F.col("label"), F.lit(False)).alias("moved")), "label")
+        label = after.select("id", "label")
+        if after.where("moved").isEmpty():
+            return label
 
 
 def _reach(pairs: DataFrame, start: DataFrame) -> DataFrame:
@@ -166,29 +315,116 @@ def cycles(pairs: list[tuple[str, str]], limit: int) -> list[list[str]]:
     return out
 
 
+def cycle_paths(edges: DataFrame, symbols: DataFrame, files: DataFrame, limit: int = 20, local: int = LOCAL_PAIRS) -> DataFrame:
+    """(place, length, path): the first ``limit`` cycles of files, each from and to the same path.
+
+    The walk is one task's. Over more than ``local`` pairs of files it sees only those between
+    files on cycles; then it may enter a cycle at another of its files.
+    """
+    pairs = stash(file_pairs(edges, symbols).select("a", "b"), "file-pairs")
+    if pairs.limit(local + 1).count() > local:
+        on = stash(files_on_cycles(pairs, local), "on-cycles")
+        pairs = pairs.join(on.select(F.col("id").alias("a")), "a", "left_semi").join(on.select(F.col("id").alias("b")), "b", "left_semi")
+    name = files.select("id", "path")
+    named = pairs.join(name.select(F.col("id").alias("a"), F.col("path").alias("x")), "a").join(name.select(F.col("id").alias("b"), F.col("path").alias("y")), "b").select("x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [p for batch in batches for p in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+        found = cycles(rows, limit) if limit > 0 else []
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(found)), pa.int32()), pa.array([len(c) - 1 for c in found], pa.int32()), pa.array(found, pa.list_(pa.string()))], ["place", "length", "path"])
+
+    return named.coalesce(1).mapInArrow(run, "place int, length int, path array<string>")
+
+
+class _Inner:
+    """Spans seen so far, of which one holds a later span best: by increasing end, with increasing (length, id); all others are beaten by one of these."""
+
+    def __init__(self):
+        self.ends, self.keys = [], []
+
+    def best(self, end: int) -> int | None:
+        at = bisect.bisect_left(self.ends, end)
+        return self.keys[at][1] if at < len(self.ends) else None
+
+    def add(self, start: int, end: int, which: int) -> None:
+        key, at = (end - start, which), bisect.bisect_left(self.ends, end)
+        if at < len(self.ends) and self.keys[at] <= key:
+            return
+        to = at + (at < len(self.ends) and self.ends[at] == end)
+        while at > 0 and self.keys[at - 1] >= key:
+            at -= 1
+        self.ends[at:to], self.keys[at:to] = [end], [key]
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by file, start, falling end, with the symbols of a span before its containers."""
+    file, held = None, _Inner()
+    for batch in batches:
+        ids, owners = [], []
+        for f, start, end, which, role in zip(*(batch.column(c).to_pylist() for c in ("file_id", "start_line", "end_line", "id", "role")), strict=True):
+            if f != file:
+                file, held = f, _Inner()
+            if role:
+                held.add(start, end, which)
+            elif (owner := held.best(end)) is not None:
+                ids.append(which)
+                owners.append(owner)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(owners, pa.int64())], ["id", "container"])
+
+
 def members(symbols: DataFrame, containers: DataFrame) -> DataFrame:
-    """(id, container): the innermost container whose span of lines holds a symbol's, in the same file."""
-    c = containers.select(F.col("id").alias("container"), "file_id", F.col("start_line").alias("c_start"), F.col("end_line").alias("c_end"))
-    held = symbols.join(c, "file_id").where("id <> container and c_start <= start_line and end_line <= c_end and (c_start < start_line or end_line < c_end)")
-    return held.groupBy("id").agg(F.min_by("container", F.struct(F.col("c_end") - F.col("c_start"), F.col("container"))).alias("container"))
+    """(id, container): the innermost container whose span of lines holds a symbol's, in the same file, and is larger; of equally long ones the least id.
+
+    One sort and one sweep per file, whatever its symbols: what a task holds is the spans still open.
+    """
+    rows = lambda df, role: df.select(F.col("file_id").cast("long").alias("file_id"), F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), F.col("id").cast("long").alias("id"), F.lit(role).alias("role"))
+    every = rows(symbols, 0).unionByName(rows(containers, 1)).where("file_id is not null and start_line is not null and end_line is not null")
+    return every.repartition("file_id").sortWithinPartitions("file_id", "start_line", F.desc("end_line"), "role", "id").mapInArrow(_members, "id long, container long")
+
+
+def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by file, line, spans before points, and spans of one start by falling end."""
+    file, held = None, []  # open spans [start, end, id], innermost last, ends falling
+    for batch in batches:
+        files, lines, owners = [], [], []
+        for f, line, end, which, role in zip(*(batch.column(c).to_pylist() for c in ("file_id", "line", "end_line", "id", "role")), strict=True):
+            if f != file:
+                file, held = f, []
+            if role:
+                while held and held[-1][1] < line:
+                    held.pop()
+                files.append(f)
+                lines.append(line)
+                owners.append(held[-1][2] if held else None)
+            elif held and held[-1][:2] == [line, end]:
+                held[-1][2] = None  # two equal spans
+            else:
+                while held and held[-1][1] <= end and held[-1][0] < line:
+                    held.pop()
+                held.append([line, end, which])
+        yield pa.RecordBatch.from_arrays([pa.array(files, pa.int64()), pa.array(lines, pa.int64()), pa.array(owners, pa.int64())], ["file_id", "line", "owner"])
 
 
 def attribute(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """points(file_id, line) with owner: the innermost span (file_id, id, start_line, end_line) that holds the line; null if two equal spans do."""
-    s = spans.select("file_id", "id", "start_line", "end_line")
-    places = points.select("file_id", "line").distinct()
-    held = places.join(s, "file_id").where("start_line <= line and line <= end_line")
-    best = held.groupBy("file_id", "line").agg(F.max(F.struct("start_line", -F.col("end_line"))).alias("top"))
-    tied = held.join(best, ["file_id", "line"]).where("start_line = top.start_line and end_line = -top.col2").groupBy("file_id", "line").agg(F.when(F.count("*") == 1, F.min("id")).alias("owner"))
-    return points.join(tied, ["file_id", "line"], "left")
-
-
-def seed_neighbours(edges: DataFrame, seeds: DataFrame, symbols: DataFrame, fanout: int = 10, few: bool = True) -> DataFrame:
-    """(seed, side, id, place): up to ``fanout`` callers and callees of each seed in canonical order; ``few`` seeds are broadcast."""
-    s = seeds.select(F.col("id").alias("seed"))
-    s = F.broadcast(s) if few else s
-    up = edges.join(s, edges.dst == s.seed).select("seed", F.lit("caller").alias("side"), F.col("src").alias("id"))
-    down = edges.join(s, edges.src == s.seed).select("seed", F.lit("callee").alias("side"), F.col("dst").alias("id"))
+    """points(file_id, line) with owner: the innermost span (file_id, id, start_line, end_line) that holds the line, i.e. the last to begin and of these the first to end; null if two equal spans do.
+
+    One sort and one sweep per file.
+    """
+    long = lambda c, name: F.col(c).cast("long").alias(name)
+    s = spans.select(long("file_id", "file_id"), long("start_line", "line"), long("end_line", "end_line"), long("id", "id"), F.lit(0).alias("role"))
+    p = points.select(long("file_id", "file_id"), long("line", "line"), F.lit(None).cast("long").alias("end_line"), F.lit(None).cast("long").alias("id"), F.lit(1).alias("role")).distinct()
+    swept = s.unionByName(p).where("file_id is not null and line is not null").repartition("file_id").sortWithinPartitions("file_id", "line", "role", F.desc("end_line"), "id").mapInArrow(_owners, "file_id long, line long, owner long")
+    return points.join(swept, ["file_id", "line"], "left")
+
+
+def seed_neighbours(edges: DataFrame | Adjacency, seeds: DataFrame, symbols: DataFrame, fanout: int = 10) -> DataFrame:
+    """(seed, side, id, place): up to ``fanout`` callers and callees of each seed in canonical order."""
+    adjacent = adjacency(edges)
+    s = seeds.select(F.col("id").alias("seed")).distinct()
+    if s.limit(SEEDS + 1).count() <= SEEDS:
+        s = F.broadcast(s)
+    up = adjacent.by_dst.join(s, F.col("dst") == F.col("seed")).select("seed", F.lit("caller").alias("side"), F.col("src").alias("id"))
+    down = adjacent.by_src.join(s, F.col("src") == F.col("seed")).select("seed", F.lit("callee").alias("side"), F.col("dst").alias("id"))
     near = up.unionByName(down).distinct().join(symbols.select("id", "qualified_name", "start_line"), "id")
     order = Window.partitionBy("seed", "side").orderBy("qualified_name", "start_line", "id")
     return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= fanout).select("seed", "side", "id", "place")

@@ -698,7 +698,7 @@ def symbols_for_refs_whole(g, spark, folder):
 
 @_query()
 def seed_neighbours_whole(g, spark, folder):
-    return graph.seed_neighbours(g.edges, g.symbols, g.symbols, 10, few=False)
+    return graph.seed_neighbours(g.edges, g.symbols, g.symbols, 10)
 
 
 @_query()

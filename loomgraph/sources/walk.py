@@ -49,6 +49,11 @@ def walk(spark: SparkSession, root: str, patterns: list[str] | None = None, max_
     return rows.withColumn("skip", denied(F.col("path")) | (F.col("size") > max_bytes)).withColumn("sha256", F.sha2("content", 256))
 
 
+def scoped(found: DataFrame, paths: DataFrame) -> DataFrame:
+    """The files at explicit paths (path); a path that is not there has no row, so against what is stored it is a delete."""
+    return found.join(paths.select("path").distinct(), "path", "left_semi")
+
+
 def classify_changes(stored: DataFrame, found: DataFrame) -> DataFrame:
     """(path, action): replace, touch, mark_seen, skip_only or delete, from (path, size, modified, sha256[, skip])."""
     a = stored.select("path", F.col("size").alias("old_size"), F.col("modified").alias("old_modified"), F.col("sha256").alias("old_sha"))

@@ -36,7 +36,7 @@ var x = outside()
 def test_go_calls_with_their_functions():
     rows = list(parsers.parse_go("a/db.go", SOURCE))
     assert [(r[2], r[4], r[5], r[6], r[7]) for r in rows if r[1] == "symbol"] == [
-        ("type", "store.DB", "store", 9, 9), ("function", "store.helper", "store", 11, 15), ("method", "store.*DB.Run", "*DB", 17, 25), ("method", "store.*DB.close", "*DB", 27, 27)
+        ("type", "store.DB", "store", 9, 9), ("function", "store.helper", "store", 11, 15), ("function", "store.*DB.Run", "*DB", 17, 25), ("function", "store.*DB.close", "*DB", 27, 27), ("value", "store.x", "store", 28, 28)
     ]
     assert [r[3] for r in rows if r[1] == "import"] == ["fmt", "example.com/x/query"]
     assert [(r[3], r[4], r[6]) for r in rows if r[1] == "call"] == [

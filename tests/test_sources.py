@@ -44,10 +44,10 @@ def test_python_facts(spark):
     assert symbols == {("x.K", "class", 4, 7), ("x.K.one", "method", 5, 7), ("x.top", "function", 9, 12), ("x.top.inner", "function", 10, 11)}
     assert {(r.name, r.qualified_name) for r in rows if r.fact == "call"} == {("helper", "x.K.one"), ("os.path.join", "x.K.one"), ("inner", "x.top"), ("top", "")}
     assert {r.name for r in rows if r.fact == "import"} == {"os", "a.b", "fmt"}
-    assert {(r.name, r.kind) for r in rows if r.path == "y.go" and r.fact == "symbol"} == {("Run", "method"), ("Main", "function")}
+    assert {(r.name, r.kind) for r in rows if r.path == "y.go" and r.fact == "symbol"} == {("Run", "function"), ("Main", "function")}
 
 
-@pytest.mark.parametrize(("path", "line", "want"), [("a.java", "public class Foo {", ("Foo", "class")), ("a.kt", "fun go(x: Int) {", ("go", "function")), ("a.rs", "pub fn run() {", ("run", "function")), ("a.rb", "  def hi?", ("hi?", "method")), ("a.ts", "export const go = async (x) => {", ("go", "function")), ("a.swift", "protocol P {", ("P", "protocol")), ("a.php", "function f($x) {", ("f", "function")), ("a.cc", "int ns::run(int x) {", ("run", "function")), ("a.cs", "  public interface I {", ("I", "interface"))])
+@pytest.mark.parametrize(("path", "line", "want"), [("a.java", "public class Foo {", ("Foo", "type")), ("a.kt", "fun go(x: Int) {", ("go", "function")), ("a.rs", "pub fn run() {", ("run", "function")), ("a.rb", "  def hi?", ("hi?", "function")), ("a.ts", "export const go = async (x) => {", ("go", "function")), ("a.swift", "protocol P {", ("P", "protocol")), ("a.php", "function f($x) {", ("f", "function")), ("a.cc", "int ns::run(int x) {", ("run", "function")), ("a.cs", "  public interface I {", ("I", "type"))])
 def test_heuristic_parsers(path, line, want):
     assert [(r[3], r[2]) for r in parsers.parse_heuristic(path, line)] == [want]
 
