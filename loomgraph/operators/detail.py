@@ -19,12 +19,13 @@ def level(raw: str | None, default: str = "card") -> str:
     return raw
 
 
-def skeletons(wanted: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(id, member_count, members) of the first CONTAINERS containers of ``wanted`` (a page, by id): the first MEMBERS symbols inside their lines, in the order of lines.
+def skeletons(wanted: DataFrame, symbols: DataFrame, most: int | None = CONTAINERS) -> DataFrame:
+    """(id, member_count, members) of the first ``most`` containers of ``wanted`` (a page, by id), or of all: the first MEMBERS symbols inside their lines, in the order of lines.
 
     Members are in the same file, within the container's lines and not the container itself.
     """
-    page = wanted.where(F.col("kind").isin(*CONTAINER_KINDS)).orderBy("id").limit(CONTAINERS).select("id", "file_id", "start_line", "end_line")
+    page = wanted.where(F.col("kind").isin(*CONTAINER_KINDS))
+    page = (page if most is None else page.orderBy("id").limit(most)).select("id", "file_id", "start_line", "end_line")
     inside = symbols.select(F.col("id").alias("m_id"), "file_id", F.col("start_line").alias("m_start"), F.col("end_line").alias("m_end"), "name", "kind")
     held = page.join(inside, "file_id").where("m_start >= start_line and m_end <= end_line and m_id <> id")
     turn = held.withColumn("turn", F.row_number().over(Window.partitionBy("id").orderBy("m_start", "m_id")))

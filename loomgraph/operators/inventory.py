@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text
+from loomgraph.operators.store import live
 
 
 def page(df: DataFrame, order: list, limit: int = 20, offset: int = 0) -> DataFrame:
@@ -15,6 +16,31 @@ def page(df: DataFrame, order: list, limit: int = 20, offset: int = 0) -> DataFr
     return (ordered.offset(offset) if offset else ordered).limit(limit)
 
 
+def late_page(df: DataFrame, order: list[str], limit: int = 20, offset: int = 0, key: str = "id") -> DataFrame:
+    """As ``page``, for wide rows: the page is cut on the key and the order's columns alone, then its few rows are fetched by their keys."""
+    ids = [r[0] for r in page(df.select(key, *[c for c in order if c != key]), order, limit, offset).select(key).collect()]  # a page at most
+    return df.where(F.col(key).isin(ids)).orderBy(*order)
+
+
+def keyset_page(df: DataFrame, order: list[str], after: tuple | None, limit: int = 500) -> DataFrame:
+    """The rows behind ``after``, the last row's values of the order's columns: no row before them is read twice, and no offset is counted."""
+    if after is not None:
+        behind = F.lit(False)
+        for k, column in enumerate(order):
+            same = F.lit(True)
+            for j in range(k):
+                same = same & (F.col(order[j]) == F.lit(after[j]))
+            behind = behind | (same & (F.col(column) > F.lit(after[k])))
+        df = df.where(behind)
+    return df.orderBy(*order).limit(limit)
+
+
+def top_with_ties(df: DataFrame, score: str, identity: list, k: int) -> DataFrame:
+    """The ``k`` best rows; of those with the last one's score the first by identity. The cut score comes from a top-k of the scores alone."""
+    cut = df.select(score).orderBy(F.desc(score)).limit(k).agg(F.min(score).alias("cut")).first()["cut"]
+    return df.where(F.col(score) >= F.lit(cut)).orderBy(F.desc(score), *identity).limit(k)
+
+
 def stats(files: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """(metric, value): counts of the graph's tables and of files by language."""
     rows = [files.agg(F.count("*").alias("value")).select(F.lit("files").alias("metric"), "value"), symbols.agg(F.count("*").alias("value")).select(F.lit("symbols").alias("metric"), "value"), edges.agg(F.count("*").alias("value")).select(F.lit("edges").alias("metric"), "value")]
@@ -48,8 +74,9 @@ def top_degree(edges: DataFrame, symbols: DataFrame, side: str, limit: int = 15)
 
 
 def list_files(files: DataFrame, prefix: str = "", limit: int = 20, offset: int = 0) -> DataFrame:
-    """Files whose path begins with ``prefix`` (ASCII case aside, % and _ as in LIKE), by path."""
-    return page(files.where(F.lower("path").like(prefix.lower() + "%")), ["path", "id"], limit, offset)
+    """Live files whose path begins with ``prefix`` (ASCII case aside, % and _ as in LIKE), by path."""
+    rows = live(files).select("id", "path", "language", "size_bytes")
+    return page(rows.where(F.lower("path").like(prefix.lower() + "%")), ["path", "id"], limit, offset)
 
 
 def dead_code(symbols: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
@@ -110,6 +137,32 @@ def overview(files: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFram
     return out
 
 
+def most_linked_test_file(test_links: DataFrame) -> DataFrame:
+    """(test_file_id, n): the test file with most links; of several the first."""
+    return test_links.groupBy("test_file_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "test_file_id").limit(1)
+
+
+def usage(calls: DataFrame, by: list[str], size: str, keys: int = 512, limit: int | None = None) -> DataFrame:
+    """calls, bytes and tokens by ``by``, costliest first; what is beyond the ``keys`` costliest keys is one row named overflow.
+
+    calls(by..., size): a row per call with the bytes of its answer.
+    """
+    summed = calls.groupBy(*by).agg(F.count("*").alias("calls"), F.sum(size).alias("bytes"))
+    order = [F.desc("bytes"), *by]
+    kept = summed.orderBy(*order).limit(keys)
+    over = summed.join(kept.select(*[F.col(c).alias(f"k_{c}") for c in by]), [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in by], "left_anti")
+    over = over.agg(F.sum("calls").alias("calls"), F.sum("bytes").alias("bytes")).where("calls is not null")
+    names = [(F.lit("overflow") if k == 0 else F.lit(None)).cast(calls.schema[c].dataType).alias(c) for k, c in enumerate(by)]
+    every = kept.unionByName(over.select(*names, "calls", "bytes")).withColumn("tokens", text.estimated_tokens(F.col("bytes")))
+    return every if limit is None else every.orderBy(*order).limit(limit)
+
+
+def language_coverage(files: DataFrame, indexed: Column) -> DataFrame:
+    """(language, seen, indexed, skipped) of files."""
+    counted = files.groupBy("language").agg(F.count("*").alias("seen"), F.count_if(indexed).alias("indexed"))
+    return counted.withColumn("skipped", F.col("seen") - F.col("indexed"))
+
+
 def extreme_degree(edges: DataFrame, symbols: DataFrame, side: str) -> DataFrame:
     """The one symbol of highest degree; of several, the first by qualified name and id."""
     degree = edges.where(F.col(side).isNotNull()).groupBy(F.col(side).alias("id")).agg(F.count("*").alias("degree"))

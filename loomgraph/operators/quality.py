@@ -139,6 +139,36 @@ def audit(edges: DataFrame, symbols: DataFrame, files: DataFrame, examples: int
     return counts.join(first, "code", "left").select("code", severity[F.col("code")].alias("severity"), "n", F.coalesce("examples", F.array().cast("array<long>")).alias("examples"))
 
 
+def summary(files: DataFrame, symbols: DataFrame, calls: DataFrame, test_links: DataFrame) -> DataFrame:
+    """(metric, n): files, deleted ones, symbols, edges, bound and unbound ones, test links, and unbound calls by a name that some symbol bears."""
+    deleted = F.count_if(F.coalesce("is_deleted", F.lit(False))) if "is_deleted" in files.columns else F.lit(0).cast("long")
+    named = symbols.select(F.col("name").alias("dst_name")).distinct().withColumn("known", F.lit(True))
+    parts = [
+        files.agg(F.count("*").alias("files"), F.coalesce(deleted, F.lit(0)).cast("long").alias("deleted")), symbols.agg(F.count("*").alias("symbols")), test_links.agg(F.count("*").alias("test_links")),
+        calls.join(named, "dst_name", "left").agg(F.count("*").alias("edges"), F.count_if(F.col("dst").isNotNull()).alias("resolved"), F.count_if(F.col("dst").isNull()).alias("unresolved"), F.count_if(F.col("dst").isNull() & F.col("known")).alias("unresolved_named")),
+    ]
+    out = None
+    for one in parts:
+        long = one.select(F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in one.columns]), F.array(*[F.col(c).cast("long") for c in one.columns]))).alias("metric", "n"))
+        out = long if out is None else out.unionByName(long)
+    return out
+
+
+def unresolved_classes(classified: DataFrame) -> DataFrame:
+    """(target, n) of unbound calls, with a zero for each of builtin, stdlib, external and unknown that does not occur."""
+    zero = classified.sparkSession.createDataFrame([(t, 0) for t in ("builtin", "stdlib", "external", "unknown")], "target string, n long")
+    counted = classified.where("dst is null").groupBy("target").agg(F.count("*").alias("n"))
+    return counted.unionByName(zero).groupBy("target").agg(F.sum("n").alias("n"))
+
+
+def fails(status: str, fail_on: str = "error") -> bool:
+    """Whether a status is bad enough: ``fail_on`` is none, warning or error."""
+    rank = {"ok": 0, "warning": 1, "error": 2}
+    if fail_on not in ("none", "warning", "error"):
+        raise ValueError("fail_on must be none, warning or error")
+    return fail_on != "none" and rank[status] >= rank[fail_on]
+
+
 def worst(findings: DataFrame) -> DataFrame:
     """One row: error, warning or ok."""
     return findings.agg(F.when(F.count_if(F.col("severity") == "error") > 0, "error").when(F.count("*") > 0, "warning").otherwise("ok").alias("status"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph import tools
 from loomgraph.functions import text
-from loomgraph.operators import accuracy, detail, graph, identity, inventory, quality, resolve, scans, search
+from loomgraph.operators import accuracy, detail, graph, identity, inventory, quality, resolve, scans, search, store
 from loomgraph.plans import fixture
 from loomgraph.sources import sinks, walk
 from loomgraph.streaming import sessions
@@ -21,11 +21,11 @@ ORACLES: dict[str, str] = {}
 PART, SUPPLIER, SEED = "lib.brand1.red_widget", "suppliers.Supplier_000000001", 2_000_001
 
 
-def _query(sql: str | None = None, raw: bool = False, every_part: bool = False):
+def _query(sql: str | None = None, raw: bool = False):
     """Register a query of (graph, spark, folder) under its name; sql sees the projection's tables unless raw."""
 
     def keep(f):
-        QUERIES[f.__name__] = lambda spark, folder: f(None if raw else fixture.load(spark, folder, every_part), spark, folder)
+        QUERIES[f.__name__] = lambda spark, folder: f(None if raw else fixture.load(spark, folder), spark, folder)
         if sql:
             ORACLES[f.__name__] = sql if raw else f"WITH RECURSIVE {fixture.SQL}{',' if sql.lstrip().startswith(',') is False and sql.lstrip()[:6].upper() != 'SELECT' else ''} {sql}"
         return f
@@ -68,7 +68,7 @@ def top_out_degree(g, spark, folder):
     return inventory.top_degree(g.edges, g.symbols, "src")
 
 
-@_query("SELECT id, path, language, size_bytes FROM files WHERE path ILIKE 'lib/brand1%' ORDER BY path, id LIMIT 20 OFFSET 5")
+@_query("SELECT id, path, language, size_bytes FROM files WHERE path ILIKE 'lib/brand1%' AND NOT is_deleted ORDER BY path, id LIMIT 20 OFFSET 5")
 def list_files(g, spark, folder):
     return inventory.list_files(g.files, "lib/brand1", 20, 5)
 
@@ -107,7 +107,8 @@ def name_multiplicity(g, spark, folder):
     return inventory.count_by(g.symbols, F.col("name"), "name").where("n > 1")
 
 
-@_query(raw=True)
+@_query("""SELECT * FROM (VALUES ('cpp', '.c .cc .cpp .cxx .h .hh .hpp'), ('csharp', '.cs'), ('go', '.go'), ('java', '.java'), ('kotlin', '.kt .kts'), ('php', '.php'), ('python', '.py .pyi'), ('ruby', '.rb'), ('rust', '.rs'),
+('swift', '.swift'), ('typescript', '.cjs .cts .js .jsx .mjs .mts .ts .tsx')) t(language, extensions)""", raw=True)
 def supported_languages(g, spark, folder):
     return inventory.supported_languages(spark)
 
@@ -115,7 +116,7 @@ def supported_languages(g, spark, folder):
 @_query("""f AS (SELECT language, count(*) AS seen, count(*) FILTER (id % 3 = 0) AS indexed FROM files GROUP BY language)
 SELECT language, seen, indexed, seen - indexed AS skipped FROM f""")
 def language_coverage(g, spark, folder):
-    return g.files.groupBy("language").agg(F.count("*").alias("seen"), F.count_if(F.col("id") % 3 == 0).alias("indexed")).withColumn("skipped", F.col("seen") - F.col("indexed"))
+    return inventory.language_coverage(g.files, F.col("id") % 3 == 0)
 
 
 # graph
@@ -193,9 +194,8 @@ def files_on_cycles(g, spark, folder):
 @_query(f"""{_BOTH}, n AS (SELECT DISTINCT b AS id FROM u WHERE a = {SEED})
 SELECT src, dst, count(*) AS n FROM edges WHERE src IN (SELECT id FROM n) OR dst IN (SELECT id FROM n) GROUP BY ALL""")
 def graph_snapshot(g, spark, folder):
-    nodes = graph.closure(g.edges, g.symbols.where(F.col("id") == SEED), 1).select("id")
-    pairs = g.edges.groupBy("src", "dst").agg(F.count("*").alias("n"))
-    return pairs.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").unionByName(pairs.join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")).distinct()
+    nodes = graph.closure(g.edges, g.symbols.where(F.col("id") == SEED), 1)
+    return graph.snapshot(g.edges, nodes)
 
 
 @_query("""h AS (SELECT s.id, c.id AS container, c.end_line - c.start_line AS span FROM symbols s JOIN symbols c USING (file_id) WHERE s.id <> c.id AND c.start_line <= s.start_line AND s.end_line <= c.end_line AND (c.start_line < s.start_line OR s.end_line < c.end_line))
@@ -212,11 +212,10 @@ def edge_attribution(g, spark, folder):
     return graph.attribute(points, g.symbols).select("file_id", "line", "owner")
 
 
-@_query("""sd AS (SELECT id FROM symbols WHERE id % 100 = 1), nb AS (SELECT DISTINCT sd.id AS seed, 'caller' AS side, src AS id FROM edges JOIN sd ON dst = sd.id UNION SELECT DISTINCT sd.id, 'callee', dst FROM edges JOIN sd ON src = sd.id),
+@_query("""nb AS (SELECT DISTINCT dst AS seed, 'caller' AS side, src AS id FROM edges UNION SELECT DISTINCT src, 'callee', dst FROM edges),
 pl2 AS (SELECT seed, side, id, row_number() OVER (PARTITION BY seed, side ORDER BY qualified_name, start_line, id) AS place FROM nb JOIN symbols USING (id)) SELECT * FROM pl2 WHERE place <= 10""")
 def seed_neighbours(g, spark, folder):
-    # the seeds are a query's (at most 30); every hundredth symbol stands for them here
-    return graph.seed_neighbours(g.edges, g.symbols.where("id % 100 = 1"), g.symbols, 10)
+    return graph.seed_neighbours(g.edges, g.symbols, g.symbols, 10)
 
 
 # search
@@ -256,10 +255,9 @@ def hybrid_search(g, spark, folder):
     return search.fuse({"text": words, "vector": near}, "qualified_name")
 
 
-@_query("""rf AS (SELECT DISTINCT path, qualified_name FROM symbols JOIN files f ON file_id = f.id WHERE symbols.id % 5 = 0)
-SELECT path, qualified_name, arg_min(s.id, (start_line, s.id)) AS id FROM symbols s JOIN files f ON file_id = f.id JOIN rf USING (path, qualified_name) GROUP BY ALL""")
+@_query("""SELECT path, qualified_name, arg_min(s.id, (stable_key = '', stable_key, start_line, s.id)) AS id FROM symbols s JOIN files f ON file_id = f.id GROUP BY ALL""")
 def symbols_for_refs(g, spark, folder):
-    refs = g.symbols.where("id % 5 = 0").join(g.files.select(F.col("id").alias("file_id"), "path"), "file_id").select("path", "qualified_name").distinct()
+    refs = g.symbols.join(g.files.select(F.col("id").alias("file_id"), "path"), "file_id").select("path", "qualified_name").distinct()
     return search.symbols_for_refs(refs, g.symbols, g.files)
 
 
@@ -309,23 +307,34 @@ def test_links(g, spark, folder):
     return resolve.bind_test_links(g.test_links, g.symbols, g.files, g.test_files)
 
 
-@_query(f"""{_LINKS}, ev AS (SELECT test_symbol_id AS id, reason, score, 2 AS rank FROM bl WHERE target_symbol_id % 3 = 0 UNION ALL SELECT src, 'test_calls', 0.9::DOUBLE, 3 FROM test_calls WHERE dst % 3 = 0)
+@_query(f"""{_LINKS}, ev AS (SELECT test_symbol_id AS id, reason, score, 2 AS rank FROM bl WHERE target_symbol_id IS NOT NULL UNION ALL SELECT src, 'test_calls', 0.9::DOUBLE, 3 FROM test_calls)
 SELECT path, qualified_name AS symbol, arg_max(reason, round(score * 1000) * 4 + rank) AS reason, arg_max(score, round(score * 1000) * 4 + rank) AS score FROM ev JOIN tests USING (id) JOIN test_files f ON f.id = file_id GROUP BY ALL""")
 def related_tests(g, spark, folder):
     bound = resolve.bind_test_links(g.test_links, g.symbols, g.files, g.test_files)
-    return resolve.related_tests(bound, g.test_calls, g.tests, g.test_files, g.symbols.where("id % 3 = 0"))
+    return resolve.related_tests(bound, g.test_calls, g.tests, g.test_files, g.symbols)
 
 
-@_query("""br2 AS (SELECT DISTINCT x.id AS src_file, y.id AS dst_file FROM files x JOIN files y ON x.language = 'python' AND y.language = 'go' AND x.id < 2000 AND y.id = x.id + 10),
+_SPEC = "im AS (SELECT id AS file_id, '../' || regexp_replace(split_part(path, '/', 2), '[0-9]+$', '') || (br + 1) || '/./' || split_part(split_part(path, '/', 3), '.', 1) AS import_path, language, br FROM (SELECT *, CAST(regexp_extract(path, '([0-9]+)/', 1) AS INTEGER) AS br FROM files WHERE path LIKE 'lib/%'))"
+_BRIDGES = f"""{_SPEC}, bf AS (SELECT im.file_id AS src_file, f.id AS dst_file, im.language AS a, f.language AS b FROM im JOIN files f ON f.path LIKE 'lib/%' AND split_part(f.path, '.', 1) = 'lib/brand' || (br + 1) || '/' || split_part(im.import_path, '/', 4)),
+br2 AS (SELECT src_file, dst_file FROM bf WHERE a <> b)"""
+
+
+def _bridges(g) -> DataFrame:
+    """Every part file imports the file of the same type of the next brand by a relative path."""
+    f = g.files.where("path like 'lib/%'").withColumn("br", F.regexp_extract("path", "([0-9]+)/", 1).cast("int"))
+    part = F.split("path", "/")
+    spec = F.concat(F.lit("../"), F.regexp_replace(F.get(part, 1), "[0-9]+$", ""), (F.col("br") + 1).cast("string"), F.lit("/./"), F.substring_index(F.get(part, 2), ".", 1))
+    return resolve.import_bridges(f.select(F.col("id").alias("file_id"), spec.alias("import_path")), g.files)
+
+
+@_query(f"""{_BRIDGES},
 sn AS (SELECT src_file, dst_file, a.id AS src, b.id AS dst FROM br2 JOIN symbols a ON a.file_id = src_file JOIN symbols b ON b.file_id = dst_file AND a.name = b.name),
 one AS (SELECT src_file, dst_file, src, min(dst) AS dst, 'cross_language_shared_name' AS strategy FROM sn GROUP BY ALL HAVING count(*) = 1),
 sl AS (SELECT file_id, min(id) AS id FROM symbols GROUP BY 1 HAVING count(*) = 1),
 ln AS (SELECT src_file, dst_file, x.id AS src, y.id AS dst, 'cross_language_import_path' AS strategy FROM br2 JOIN sl x ON x.file_id = src_file JOIN sl y ON y.file_id = dst_file WHERE NOT EXISTS (SELECT 1 FROM sn WHERE sn.src_file = br2.src_file AND sn.dst_file = br2.dst_file)),
 ev AS (SELECT * FROM one UNION ALL SELECT * FROM ln) SELECT src, dst, strategy FROM ev WHERE src IN (SELECT src FROM ev GROUP BY src HAVING count(*) = 1)""")
 def cross_language_links(g, spark, folder):
-    a, b = g.files.where("language = 'python' and id < 2000").select(F.col("id").alias("src_file")), g.files.where("language = 'go'").select(F.col("id").alias("dst_file"))
-    bridges = a.join(b, F.col("dst_file") == F.col("src_file") + 10)
-    return resolve.cross_language_links(bridges, g.symbols)
+    return resolve.cross_language_links(_bridges(g), g.symbols)
 
 
 # quality
@@ -355,10 +364,11 @@ _DAMAGED = f"""{_RESOLVE}, dm AS (SELECT row_number() OVER () * 0 + src * 10 + l
 
 
 @_query(f"""{_DAMAGED}, mp(strategy, good) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in resolve.CONFIDENCE.items())}),
-x AS (SELECT dm.*, s.id IS NULL AS no_src, t.id IS NULL AS no_dst, s.language AS sl, t.language AS tl, good, coalesce(dm.strategy, '') AS st, coalesce(confidence, '') AS cf FROM dm LEFT JOIN symbols s ON s.id = dm.src LEFT JOIN symbols t ON t.id = dm.dst LEFT JOIN mp ON mp.strategy = dm.strategy),
+x AS (SELECT dm.*, s.id IS NULL AS no_src, t.id IS NULL AS no_dst, s.language AS sl, t.language AS tl, coalesce(tf.is_deleted, false) AS td, good, coalesce(dm.strategy, '') AS st, coalesce(confidence, '') AS cf FROM dm LEFT JOIN symbols s ON s.id = dm.src LEFT JOIN symbols t ON t.id = dm.dst LEFT JOIN files tf ON tf.id = t.file_id LEFT JOIN mp ON mp.strategy = dm.strategy),
 f AS (SELECT 'dangling_edge_target' AS code, 'error' AS severity FROM x WHERE dst IS NOT NULL AND no_dst UNION ALL SELECT 'dangling_edge_source', 'error' FROM x WHERE no_src
  UNION ALL SELECT 'invalid_resolution_metadata', 'error' FROM x WHERE (dst IS NULL AND (st <> '' OR cf <> '')) OR (st <> '' AND good IS NULL) OR ((st = '') <> (cf = '')) OR (st <> '' AND cf <> good)
  UNION ALL SELECT 'implicit_cross_language_binding', 'error' FROM x WHERE dst IS NOT NULL AND st <> '' AND sl <> tl
+ UNION ALL SELECT 'resolved_target_deleted_file', 'error' FROM x WHERE dst IS NOT NULL AND td
  UNION ALL SELECT 'resolved_missing_metadata', 'warning' FROM x WHERE dst IS NOT NULL AND st = '' AND cf = '' UNION ALL SELECT 'low_confidence_resolution', 'warning' FROM x WHERE dst IS NOT NULL AND cf = 'low')
 SELECT code, severity, count(*) AS n FROM f GROUP BY ALL""")
 def audit(g, spark, folder):
@@ -368,12 +378,12 @@ def audit(g, spark, folder):
         (F.col("src") * 10 + F.col("line")).alias("id"), F.when(m == 1, -1).otherwise(F.col("src")).alias("src"), F.when((m == 2) & F.col("dst").isNotNull(), -2).otherwise(F.col("dst")).alias("dst"), F.lit("calls").alias("kind"),
         F.when(m == 3, "bogus").otherwise(F.col("strategy")).alias("strategy"), F.when(m == 4, "low").otherwise(F.col("confidence")).alias("confidence"),
     )
-    return quality.audit(damaged, g.symbols, g.files.withColumn("is_deleted", F.lit(False))).select("code", "severity", "n")
+    return quality.audit(damaged, g.symbols, g.files).select("code", "severity", "n")
 
 
 # context
 
-_CANDIDATES = """cd AS (SELECT CASE s.id % 4 WHEN 0 THEN 'direct' WHEN 1 THEN 'caller' WHEN 2 THEN 'callee' ELSE 'test' END AS class, path, qualified_name, s.id, (s.id % 97)::DOUBLE AS signal FROM symbols s JOIN files f ON f.id = file_id WHERE s.id % 7 = 0),
+_CANDIDATES = """cd AS (SELECT CASE s.id % 4 WHEN 0 THEN 'direct' WHEN 1 THEN 'caller' WHEN 2 THEN 'callee' ELSE 'test' END AS class, path, qualified_name, s.id, (s.id % 97)::DOUBLE AS signal FROM symbols s JOIN files f ON f.id = file_id),
 sc AS (SELECT *, CASE class WHEN 'direct' THEN 0 WHEN 'caller' THEN 1 WHEN 'callee' THEN 2 ELSE 3 END AS place, round(CASE class WHEN 'direct' THEN 0.6 WHEN 'caller' THEN 0.35 WHEN 'callee' THEN 0.3 ELSE 0.1 END::DOUBLE + CASE class WHEN 'direct' THEN 0.4 WHEN 'test' THEN 0.15 ELSE 0.3 END::DOUBLE * (signal / (SELECT max(signal) FROM cd)), 6) AS base FROM cd),
 bs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path, qualified_name ORDER BY base DESC, place, id) AS r FROM sc) WHERE r = 1),
 fi AS (SELECT *, round(base + 0.01 * least(5, count(*) OVER (PARTITION BY path)), 6) AS score FROM bs),
@@ -383,7 +393,7 @@ fr AS (SELECT path, CAST(row_number() OVER (ORDER BY min(o)) AS INTEGER) AS file
 
 def _candidates(g) -> DataFrame:
     m = F.col("id") % 4
-    named = g.symbols.where("id % 7 = 0").join(g.files.select(F.col("id").alias("file_id"), "path"), "file_id")
+    named = g.symbols.join(g.files.select(F.col("id").alias("file_id"), "path"), "file_id")
     return named.select(F.when(m == 0, "direct").when(m == 1, "caller").when(m == 2, "callee").otherwise("test").alias("class"), "path", "qualified_name", "id", (F.col("id") % 97).cast("double").alias("signal"))
 
 
@@ -487,19 +497,18 @@ def session_hot_files(g, spark, folder):
     return sessions.hot_keys(sessions.session_table(spark.read.parquet(f"{folder}/events.parquet")), ("view", "click")).select("key", "n")
 
 
-@_query(f"{_EVENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY created_at DESC, id DESC) AS n FROM s WHERE event_type IN ('signup', 'purchase', 'error')) SELECT event_type, id, key FROM r WHERE n <= 10", raw=True)
+@_query(f"{_EVENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY created_at DESC, id DESC) AS n FROM s WHERE event_type IN ('signup', 'purchase', 'error')), h AS (SELECT key, count(*) AS n FROM s WHERE event_type IN ('view', 'click') GROUP BY key ORDER BY n DESC, key LIMIT 10) SELECT event_type, id, key FROM r WHERE n <= 10 UNION ALL SELECT 'hot_file', n, key FROM h", raw=True)
 def session_context(g, spark, folder):
-    return sessions.context(sessions.session_table(spark.read.parquet(f"{folder}/events.parquet")), None, ("signup", "purchase", "error"))
+    return sessions.context(sessions.session_table(spark.read.parquet(f"{folder}/events.parquet")), None, ("signup", "purchase", "error"), used=("view", "click"))
 
 
 @_query("SELECT event_type AS tool, user_id % 2 AS via, count(*) AS calls, CAST(sum(length(props)) AS BIGINT) AS bytes, CAST(ceil(sum(length(props)) / 4) AS BIGINT) AS tokens FROM events GROUP BY ALL", raw=True)
 def usage_stats(g, spark, folder):
-    events = spark.read.parquet(f"{folder}/events.parquet")
-    used = events.groupBy(F.col("event_type").alias("tool"), (F.col("user_id") % 2).alias("via")).agg(F.count("*").alias("calls"), F.sum(F.length("props")).alias("bytes"))
-    return used.withColumn("tokens", text.estimated_tokens(F.col("bytes")))
+    events = spark.read.parquet(f"{folder}/events.parquet").select(F.col("event_type").alias("tool"), (F.col("user_id") % 2).alias("via"), F.length("props").alias("size"))
+    return inventory.usage(events, ["tool", "via"], "size")
 
 
-@_query(raw=True)
+@_query("SELECT * FROM (VALUES ('search_symbols', CAST(110 AS BIGINT)), ('find_symbol', CAST(70 AS BIGINT)), ('search_semantic', CAST(70 AS BIGINT)), ('graph_analytics', CAST(60 AS BIGINT)), ('graph_stats', CAST(50 AS BIGINT))) t(tool, score)", raw=True)
 def tool_search(g, spark, folder):
     return spark.createDataFrame(tools.search("graph symbol search"), "tool string, score long")
 
@@ -523,41 +532,44 @@ def hub_symbol(g, spark, folder):
 
 @_query("SELECT test_file_id, count(*) AS n FROM test_links GROUP BY 1 ORDER BY n DESC, test_file_id LIMIT 1")
 def most_linked_test_file(g, spark, folder):
-    return g.test_links.groupBy("test_file_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "test_file_id").limit(1)
+    return inventory.most_linked_test_file(g.test_links)
 
 
-_SPEC = "im AS (SELECT id AS file_id, '../' || regexp_replace(split_part(path, '/', 2), '[0-9]+$', '') || (br + 1) || '/./' || split_part(split_part(path, '/', 3), '.', 1) AS import_path, language, br FROM (SELECT *, CAST(regexp_extract(path, '([0-9]+)/', 1) AS INTEGER) AS br FROM files WHERE path LIKE 'lib/%'))"
+@_query(f"{_BRIDGES} SELECT src_file, dst_file FROM br2")
+def import_bridges(g, spark, folder):
+    return _bridges(g)
 
 
-@_query(f"""{_SPEC}, bf AS (SELECT im.file_id AS src_file, f.id AS dst_file, im.language AS a, f.language AS b FROM im JOIN files f ON f.path LIKE 'lib/%' AND split_part(f.path, '.', 1) = 'lib/brand' || (br + 1) || '/' || split_part(im.import_path, '/', 4))
-SELECT src_file, dst_file FROM bf WHERE a <> b""")
-def import_bridges(g, spark, folder):
-    f = g.files.where("path like 'lib/%'").withColumn("br", F.regexp_extract("path", "([0-9]+)/", 1).cast("int"))
-    part = F.split("path", "/")
-    spec = F.concat(F.lit("../"), F.regexp_replace(F.get(part, 1), "[0-9]+$", ""), (F.col("br") + 1).cast("string"), F.lit("/./"), F.substring_index(F.get(part, 2), ".", 1))
-    return resolve.import_bridges(f.select(F.col("id").alias("file_id"), spec.alias("import_path")), g.files)
+_BOTH_KINDS = "ec AS (SELECT src, dst, CAST(NULL AS VARCHAR) AS dst_name FROM edges UNION ALL SELECT src, NULL, dst_name FROM calls)"
+
+
+def _bound_and_unbound(g) -> DataFrame:
+    return g.edges.select("src", "dst", F.lit(None).cast("string").alias("dst_name")).unionByName(g.calls.select("src", F.lit(None).cast("long").alias("dst"), "dst_name"))
 
 
-@_query("""SELECT 'files' AS metric, count(*) AS n FROM files UNION ALL SELECT 'symbols', count(*) FROM symbols UNION ALL SELECT 'resolved', count(*) FROM edges UNION ALL SELECT 'unresolved', count(*) FROM calls UNION ALL SELECT 'test_links', count(*) FROM test_links
-UNION ALL SELECT 'unresolved_named', count(*) FROM calls WHERE dst_name IN (SELECT name FROM symbols)""")
+@_query(f"""{_BOTH_KINDS} SELECT 'files' AS metric, count(*) AS n FROM files UNION ALL SELECT 'deleted', count(*) FROM files WHERE is_deleted UNION ALL SELECT 'symbols', count(*) FROM symbols UNION ALL SELECT 'edges', count(*) FROM ec
+UNION ALL SELECT 'resolved', count(*) FROM ec WHERE dst IS NOT NULL UNION ALL SELECT 'unresolved', count(*) FROM ec WHERE dst IS NULL UNION ALL SELECT 'test_links', count(*) FROM test_links
+UNION ALL SELECT 'unresolved_named', count(*) FROM ec WHERE dst_name IN (SELECT name FROM symbols)""")
 def audit_summary(g, spark, folder):
-    named = g.calls.join(g.symbols.select(F.col("name").alias("dst_name")).distinct(), "dst_name", "left_semi")
-    parts = [("files", g.files), ("symbols", g.symbols), ("resolved", g.edges), ("unresolved", g.calls), ("test_links", g.test_links), ("unresolved_named", named)]
-    out = None
-    for name, df in parts:
-        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("metric"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return quality.summary(g.files, g.symbols, _bound_and_unbound(g), g.test_links)
 
 
-@_query(f"""{_LINKS}, wa AS (SELECT id AS file_id, row_number() OVER (ORDER BY id DESC) AS place FROM files WHERE id < 2000 AND id % 2 = 0), t AS (SELECT s.id, place FROM symbols s JOIN wa USING (file_id)),
+@_query(f"""{_BOTH_KINDS} SELECT 'unresolved' AS metric, count(*) AS n FROM ec WHERE dst IS NULL UNION ALL SELECT 'unresolved_named', count(*) FROM ec WHERE dst IS NULL AND dst_name IN (SELECT name FROM symbols)
+UNION ALL SELECT 'dangling', count(*) FROM ec WHERE dst % 7 = 3""")
+def unbound_name_counts(g, spark, folder):
+    # every seventh symbol is gone from the side that targets are looked up in
+    there = g.symbols.withColumn("id", F.when(F.col("id") % 7 != 3, F.col("id")))
+    return resolve.unbound_name_counts(_bound_and_unbound(g), there)
+
+
+@_query(f"""{_LINKS}, wa AS (SELECT id AS file_id, row_number() OVER (ORDER BY id DESC) AS place FROM files), t AS (SELECT s.id, place FROM symbols s JOIN wa USING (file_id)),
 ev AS (SELECT place, test_symbol_id AS tid, reason, score, 2 AS rank FROM bl JOIN t ON t.id = target_symbol_id UNION ALL SELECT place, src, 'test_calls', 0.9::DOUBLE, 3 FROM test_calls JOIN t ON t.id = dst),
 be AS (SELECT place, path, qualified_name AS symbol, arg_max(reason, round(score * 1000) * 4 + rank) AS reason, arg_max(score, round(score * 1000) * 4 + rank) AS score FROM ev JOIN tests ON tests.id = tid JOIN test_files f ON f.id = file_id GROUP BY ALL),
 pg AS (SELECT *, row_number() OVER (PARTITION BY place ORDER BY score DESC, path, symbol) AS n FROM be)
 SELECT path, symbol, arg_min(reason, place) AS reason, arg_min(score, place) AS score FROM pg WHERE n <= 50 GROUP BY ALL""")
 def related_tests_of_files(g, spark, folder):
     bound = resolve.bind_test_links(g.test_links, g.symbols, g.files, g.test_files)
-    wanted = g.files.where("id < 2000 and id % 2 = 0").select(F.col("id").alias("file_id"), F.row_number().over(Window.orderBy(F.desc("id"))).alias("place"))
+    wanted = g.files.select(F.col("id").alias("file_id"), F.row_number().over(Window.orderBy(F.desc("id"))).alias("place"))
     return resolve.related_tests_of_files(bound, g.test_calls, g.tests, g.test_files, g.symbols, wanted)
 
 
@@ -580,16 +592,14 @@ def scan_coverage(g, spark, folder):
     return scans.select(F.col("id").alias("scan_id"), F.explode("coverage").alias("language", "seen"))
 
 
-@_query("""fa AS (SELECT path, min(s.id) AS first FROM symbols s JOIN files f ON f.id = file_id GROUP BY path) SELECT path, CAST(dense_rank() OVER (ORDER BY first) AS INTEGER) AS file_rank, round(greatest(0.1::DOUBLE, 1 - 0.05::DOUBLE * (dense_rank() OVER (ORDER BY first) - 1)), 2) AS relevance FROM fa ORDER BY 2 LIMIT 30""")
+@_query("""fa AS (SELECT path, min(s.id) AS first FROM symbols s JOIN files f ON f.id = file_id GROUP BY path) SELECT path, CAST(dense_rank() OVER (ORDER BY first) AS INTEGER) AS file_rank, round(greatest(0.1::DOUBLE, 1 - 0.05::DOUBLE * (dense_rank() OVER (ORDER BY first) - 1)), 2) AS relevance FROM fa""")
 def file_relevance(g, spark, folder):
-    first = g.symbols.groupBy("file_id").agg(F.min("id").alias("first")).orderBy("first").limit(30)  # a page of files
-    ranked = first.join(g.files.select(F.col("id").alias("file_id"), "path"), "file_id").withColumn("file_rank", F.dense_rank().over(Window.orderBy("first")))
-    return ranked.select("path", "file_rank", F.round(F.greatest(F.lit(0.1), 1 - 0.05 * (F.col("file_rank") - 1)), 2).alias("relevance"))
+    return search.file_relevance(g.symbols, g.files)
 
 
 # names, detail, scans, accuracy
 
-_SPELLED = "sp AS (SELECT DISTINCT dst_name AS name, language FROM calls UNION SELECT DISTINCT 'x.' || dst_name, language FROM calls WHERE dst_name LIKE 'brand%' UNION SELECT name, 'python' FROM symbols WHERE kind = 'class' UNION SELECT 'q/' || name, language FROM symbols WHERE id % 3 = 0)"
+_SPELLED = "sp AS (SELECT DISTINCT dst_name AS name, language FROM calls UNION SELECT DISTINCT 'x.' || dst_name, language FROM calls WHERE dst_name LIKE 'brand%' UNION SELECT name, 'python' FROM symbols WHERE kind = 'class' UNION SELECT 'q/' || name, language FROM symbols)"
 _TAILS = "tl AS (SELECT id, language, kind, unnest([lower(array_to_string(list_slice(string_split(qualified_name, '.'), CAST(k AS BIGINT), len(string_split(qualified_name, '.'))), '.')) FOR k IN range(2, len(string_split(qualified_name, '.')) + 1)]) AS key FROM symbols)"
 
 
@@ -605,7 +615,7 @@ SELECT name, language, stage, id FROM ht QUALIFY stage = min(stage) OVER (PARTIT
 def identity_cascade(g, spark, folder):
     calls = g.calls.select(F.col("dst_name").alias("name"), "language").distinct()
     names = calls.unionByName(calls.where("name like 'brand%'").select(F.concat(F.lit("x."), "name").alias("name"), "language"))
-    names = names.unionByName(g.symbols.where("kind = 'class'").select("name", F.lit("python").alias("language"))).unionByName(g.symbols.where("id % 3 = 0").select(F.concat(F.lit("q/"), "name").alias("name"), "language"))
+    names = names.unionByName(g.symbols.where("kind = 'class'").select("name", F.lit("python").alias("language"))).unionByName(g.symbols.select(F.concat(F.lit("q/"), "name").alias("name"), "language"))
     return identity.identity_cascade(names, g.symbols)
 
 
@@ -615,11 +625,11 @@ def extending_callers(g, spark, folder):
     return identity.extending_callers(g.calls.withColumn("dst_name", F.concat(F.lit("vendor/"), "dst_name")), g.symbols)
 
 
-@_query("""ct AS (SELECT id, file_id, start_line, end_line FROM symbols WHERE kind = 'class' ORDER BY id LIMIT 200),
+@_query("""ct AS (SELECT id, file_id, start_line, end_line FROM symbols WHERE kind = 'class'),
 mb AS (SELECT ct.id, s.kind || ' ' || s.name AS m, row_number() OVER (PARTITION BY ct.id ORDER BY s.start_line, s.id) AS turn FROM ct JOIN symbols s USING (file_id) WHERE s.start_line >= ct.start_line AND s.end_line <= ct.end_line AND s.id <> ct.id)
 SELECT ct.id, count(m) AS member_count, coalesce(string_agg(m, ',' ORDER BY turn) FILTER (turn <= 40), '') AS members FROM ct LEFT JOIN mb USING (id) GROUP BY ct.id""")
 def symbol_skeletons(g, spark, folder):
-    return detail.skeletons(g.symbols, g.symbols).withColumn("members", F.array_join("members", ","))
+    return detail.skeletons(g.symbols, g.symbols, None).withColumn("members", F.array_join("members", ","))
 
 
 def _windows(most: int) -> str:
@@ -687,56 +697,234 @@ def resolver_accuracy(g, spark, folder):
     return accuracy.metrics(accuracy.case_outcomes(cases, out.select(F.lit(0).alias("run"), case, "target").distinct()))
 
 
-# over every symbol, where the queries above and their SQL take a subset; tested against that SQL without its filters
+# rows as they are stored, and the write path
 
 
-@_query()
-def symbols_for_refs_whole(g, spark, folder):
-    refs = g.symbols.join(g.files.select(F.col("id").alias("file_id"), "path"), "file_id").select("path", "qualified_name").distinct()
-    return search.symbols_for_refs(refs, g.symbols, g.files)
+@_query("SELECT s.*, path FROM symbols s JOIN files f ON f.id = file_id")
+def symbol_projection(g, spark, folder):
+    return g.symbols.join(g.files.select(F.col("id").alias("file_id"), "path"), "file_id")
 
 
-@_query()
-def seed_neighbours_whole(g, spark, folder):
-    return graph.seed_neighbours(g.edges, g.symbols, g.symbols, 10)
+@_query("SELECT s.id, qualified_name FROM symbols s JOIN files f ON f.id = file_id WHERE NOT is_deleted")
+def live_symbols(g, spark, folder):
+    return store.of_live_files(g.symbols, g.files).select("id", "qualified_name")
 
 
-@_query()
-def identity_cascade_whole(g, spark, folder):
-    calls = g.calls.select(F.col("dst_name").alias("name"), "language").distinct()
-    names = calls.unionByName(calls.where("name like 'brand%'").select(F.concat(F.lit("x."), "name").alias("name"), "language"))
-    names = names.unionByName(g.symbols.where("kind = 'class'").select("name", F.lit("python").alias("language"))).unionByName(g.symbols.select(F.concat(F.lit("q/"), "name").alias("name"), "language"))
-    return identity.identity_cascade(names, g.symbols)
+@_query("SELECT id, path, qualified_name, kind FROM symbols s JOIN (SELECT id AS file_id, path FROM files) USING (file_id) ORDER BY qualified_name, start_line, id LIMIT 25 OFFSET 100")
+def late_symbol_page(g, spark, folder):
+    wide = g.symbols.join(g.files.select(F.col("id").alias("file_id"), "path"), "file_id")
+    return inventory.late_page(wide, ["qualified_name", "start_line", "id"], 25, 100).select("id", "path", "qualified_name", "kind")
 
 
-@_query()
-def file_relevance_whole(g, spark, folder):
-    first = g.symbols.groupBy("file_id").agg(F.min("id").alias("first"))
-    ranked = first.join(g.files.select(F.col("id").alias("file_id"), "path"), "file_id").withColumn("file_rank", F.dense_rank().over(Window.orderBy("first")))  # a row per file
-    return ranked.select("path", "file_rank", F.round(F.greatest(F.lit(0.1), 1 - 0.05 * (F.col("file_rank") - 1)), 2).alias("relevance"))
+@_query("SELECT id, qualified_name FROM symbols WHERE (qualified_name, id) > ('lib.brand2', 0) ORDER BY qualified_name, id LIMIT 500")
+def keyset_symbol_page(g, spark, folder):
+    return inventory.keyset_page(g.symbols, ["qualified_name", "id"], ("lib.brand2", 0), 500).select("id", "qualified_name")
+
+
+@_query("""nm AS (SELECT name, count(*) AS n FROM symbols GROUP BY name) SELECT name, n FROM nm ORDER BY n DESC, name LIMIT 10""")
+def most_borne_names(g, spark, folder):
+    return inventory.top_with_ties(inventory.count_by(g.symbols, F.col("name"), "name"), "n", ["name"], 10)
+
+
+_TOKENS_OF = "tk AS (SELECT file_id, qualified_name, unnest(regexp_extract_all(translate(name || ' ' || qualified_name || ' ' || signature || ' ' || doc_summary, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9_./\\-]{2,}')) AS token FROM symbols)"
+
+
+@_query(f"{_TOKENS_OF} SELECT path, qualified_name, CAST(count(*) AS DOUBLE) AS score, 'token_overlap' AS why FROM tk JOIN files f ON f.id = file_id WHERE token IN ('brand1', 'red_widget') GROUP BY ALL ORDER BY score DESC, path, qualified_name LIMIT 40")
+def semantic_hits(g, spark, folder):
+    return search.semantic(g.symbols, g.files, "Brand1 red_widget", 40).withColumn("why", F.array_join("why", ","))
+
+
+@_query("SELECT id, round(1 - (row_number() OVER (ORDER BY path, qualified_name, id) - 1) / count(*) OVER ()::DOUBLE, 6) AS signal FROM symbols s JOIN (SELECT id AS file_id, path FROM files) USING (file_id) WHERE kind = 'class'")
+def signals_by_rank(g, spark, folder):
+    named = g.symbols.where("kind = 'class'").join(g.files.select(F.col("id").alias("file_id"), "path"), "file_id")
+    return search.normalised(named.select("path", "qualified_name", "id", F.lit(0.0).alias("signal"))).select("id", F.round("signal", 6).alias("signal"))
+
+
+@_query(f"""{_BOTH}, fs AS (SELECT id FROM symbols WHERE file_id = 2001), l1 AS (SELECT DISTINCT b AS id FROM u WHERE a IN (SELECT id FROM fs) OR a = {SEED}), l2 AS (SELECT DISTINCT b AS id FROM u JOIN l1 ON a = l1.id WHERE b NOT IN (SELECT id FROM l1))
+SELECT id, min(depth) AS depth FROM (SELECT id, 0 AS depth FROM fs UNION ALL SELECT id, 1 FROM l1 UNION ALL SELECT id, 2 FROM l2) GROUP BY id""")
+def impact_of_files(g, spark, folder):
+    return graph.impact(g.edges, g.symbols, g.symbols.where(F.col("id") == SEED), 2, g.files.where("id = 2001").select(F.col("id").alias("file_id"))).select("id", "depth")
 
 
 @_query()
-def context_for_task_whole(g, spark, folder):
+def cycle_paths(g, spark, folder):
+    return graph.cycle_paths(g.edges, g.symbols, g.files, 20)
+
+
+@_query("""t AS (SELECT DISTINCT language, qualified_name FROM symbols WHERE name = 'red_widget'),
+n AS (SELECT language, 'red_widget' AS dst_name FROM t UNION SELECT language, qualified_name FROM t UNION SELECT language, split_part(qualified_name, '.', 2) || '.' || split_part(qualified_name, '.', 3) FROM t UNION SELECT language, split_part(qualified_name, '.', 3) FROM t)
+SELECT DISTINCT id, qualified_name FROM (SELECT c.src AS id FROM calls c JOIN n USING (language, dst_name) UNION SELECT e.src FROM edges e JOIN symbols t ON e.dst = t.id WHERE t.name = 'red_widget') JOIN symbols USING (id)""")
+def all_callers(g, spark, folder):
+    return graph.all_callers(g.edges, g.calls, g.symbols, g.symbols.where("name = 'red_widget'"), "red_widget").select("id", "qualified_name")
+
+
+@_query("""cl AS (SELECT DISTINCT dst_name, language FROM calls WHERE src = 3000001),
+mt AS (SELECT cl.dst_name, s.id, CASE WHEN s.qualified_name = dst_name THEN 1 WHEN s.name = dst_name THEN 2 ELSE 3 END AS stage FROM cl JOIN symbols s ON s.language = cl.language AND (s.qualified_name = dst_name OR s.name = dst_name OR ends_with(lower(s.qualified_name), '.' || lower(dst_name)))),
+fi AS (SELECT id FROM mt QUALIFY stage = min(stage) OVER (PARTITION BY dst_name)) SELECT DISTINCT id, qualified_name FROM (SELECT id FROM fi UNION SELECT dst FROM edges WHERE src = 3000001) JOIN symbols USING (id)""")
+def all_callees(g, spark, folder):
+    return graph.all_callees(g.edges, g.calls, g.symbols, g.symbols.where("id = 3000001")).select("id", "qualified_name")
+
+
+_STORED = "sf AS (SELECT id, path, language, size_bytes AS size, id AS modified, sha256(path) AS sha256, 'indexed' AS parse_state, CAST(1 AS BIGINT) AS last_scan_id, is_deleted FROM files WHERE id % 5 <> 0)"
+
+
+def _stored_files(g) -> DataFrame:
+    return g.files.where("id % 5 <> 0").select("id", "path", "language", F.col("size_bytes").alias("size"), F.col("id").alias("modified"), F.sha2("path", 256).alias("sha256"), F.lit("indexed").alias("parse_state"), F.lit(1).cast("long").alias("last_scan_id"), "is_deleted")
+
+
+def _found_files(g) -> DataFrame:
     m = F.col("id") % 4
-    named = g.symbols.join(g.files.select(F.col("id").alias("file_id"), "path"), "file_id")
-    kind = F.when(m == 0, "direct").when(m == 1, "caller").when(m == 2, "callee").otherwise("test").alias("class")
-    return search.rank_context(named.select(kind, "path", "qualified_name", "id", (F.col("id") % 97).cast("double").alias("signal")), 10)
+    return g.files.where("id % 7 <> 0").select("path", "language", (F.col("size_bytes") + (m == 1).cast("int")).alias("size"), (F.col("id") + (m >= 1).cast("int")).alias("modified"), F.when(m == 1, "new").otherwise(F.sha2("path", 256)).alias("sha256"), (F.col("id") % 11 == 0).alias("skip"))
 
 
-@_query(every_part=True)
-def test_links_whole(g, spark, folder):
-    return resolve.bind_test_links(g.test_links, g.symbols, g.files, g.test_files)
+@_query("SELECT path, size_bytes AS size, sha256(path) AS sha256 FROM files WHERE id % 5 <> 0 AND NOT is_deleted AND id % 3 = 0")
+def existing_files(g, spark, folder):
+    return store.existing(_stored_files(g), g.files.where("id % 3 = 0").select("path")).select("path", "size", "sha256")
 
 
-@_query(every_part=True)
-def related_tests_whole(g, spark, folder):
-    bound = resolve.bind_test_links(g.test_links, g.symbols, g.files, g.test_files)
-    return resolve.related_tests(bound, g.test_calls, g.tests, g.test_files, g.symbols)
+#: Live rows against what is found: the live ones alone are known to a scan.
+_SCANNED = f"""{_STORED}, fo AS (SELECT path, language, size_bytes + (id % 4 = 1)::INT AS size, id + (id % 4 >= 1)::INT AS modified, CASE WHEN id % 4 = 1 THEN 'new' ELSE sha256(path) END AS sha256, id % 11 = 0 AS skip FROM files WHERE id % 7 <> 0),
+ca AS (SELECT coalesce(o.path, w.path) AS path, CASE WHEN w.path IS NULL THEN 'delete' WHEN skip THEN 'skip_only' WHEN w.size = o.size AND w.modified = o.modified THEN 'mark_seen' WHEN w.sha256 = o.sha256 THEN 'touch' WHEN length(coalesce(o.path, w.path)) % 2 = 0 THEN 'parse_failed' ELSE 'replace' END AS action
+ FROM (SELECT * FROM sf WHERE NOT is_deleted) o FULL JOIN fo w ON o.path = w.path),
+mk AS (SELECT path, CASE WHEN action IN ('replace', 'parse_failed') THEN fo.language ELSE sf.language END AS language, CASE WHEN action IN ('touch', 'replace', 'parse_failed') THEN fo.size ELSE sf.size END AS size, CASE WHEN action IN ('touch', 'replace', 'parse_failed') THEN fo.modified ELSE sf.modified END AS modified,
+ CASE WHEN action IN ('replace', 'parse_failed') THEN fo.sha256 ELSE sf.sha256 END AS sha256, CASE WHEN action = 'replace' THEN 'indexed' WHEN action = 'parse_failed' THEN 'parse_failed' WHEN action IN ('delete', 'skip_only') THEN 'deleted' ELSE parse_state END AS parse_state,
+ CASE WHEN action IS NOT NULL THEN 2 ELSE last_scan_id END AS last_scan_id, CASE WHEN action IN ('delete', 'skip_only') THEN true WHEN action IN ('replace', 'parse_failed') THEN false ELSE is_deleted END AS is_deleted
+ FROM sf FULL JOIN ca USING (path) LEFT JOIN fo USING (path) WHERE sf.id IS NOT NULL OR action IN ('replace', 'parse_failed'))"""
+
+
+def _marked(g) -> DataFrame:
+    stored, found = _stored_files(g), _found_files(g)
+    changes = walk.classify_changes(store.existing(stored), found)
+    changes = store.with_failures(changes, changes.where(F.length("path") % 2 == 0).select("path"))
+    return store.mark(stored, changes, found, 2)
+
+
+@_query(f"{_SCANNED} SELECT * FROM mk")
+def marked_files(g, spark, folder):
+    return _marked(g).drop("id")
+
+
+@_query(f"{_SCANNED} SELECT path, CASE WHEN NOT is_deleted AND last_scan_id <> 2 THEN 'deleted' ELSE parse_state END AS parse_state, is_deleted OR last_scan_id <> 2 AS is_deleted FROM mk")
+def unseen_files_deleted(g, spark, folder):
+    return store.delete_unseen(_marked(g), 2).select("path", "parse_state", "is_deleted")
+
+
+@_query(f"{_SCANNED} SELECT path FROM mk WHERE NOT is_deleted")
+def purged_files(g, spark, folder):
+    return store.purge(_marked(g)).select("path")
+
+
+_GONE = "cf AS (SELECT id AS file_id FROM files WHERE id % 4 = 1), gn AS (SELECT id FROM symbols WHERE file_id IN (SELECT file_id FROM cf) AND id % 3 = 0)"
+
 
+def _gone(g) -> tuple[DataFrame, DataFrame]:
+    """A quarter of the files has changed, and a third of their symbols is not there any more."""
+    changed = g.files.where("id % 4 = 1").select(F.col("id").alias("file_id"))
+    return changed, store.gone_symbols(g.symbols, changed, g.symbols.where("id % 3 <> 0"))
 
-@_query(every_part=True)
-def related_tests_of_files_whole(g, spark, folder):
+
+@_query(f"""{_GONE} SELECT src, file_id, line, CASE WHEN dst NOT IN (SELECT id FROM gn) THEN dst END AS dst, CASE WHEN dst NOT IN (SELECT id FROM gn) THEN 'exact_name' END AS strategy, count(*) AS n FROM edges WHERE file_id NOT IN (SELECT file_id FROM cf) GROUP BY ALL""")
+def unbound_after_change(g, spark, folder):
+    changed, gone = _gone(g)
+    calls = g.edges.withColumn("strategy", F.lit("exact_name")).withColumn("confidence", F.lit("high"))
+    kept = store.unbind(store.replace_rows(calls, changed), gone)
+    return kept.groupBy("src", "file_id", "line", "dst", "strategy").agg(F.count("*").alias("n"))
+
+
+@_query(f"""{_GONE}, {_LINKS.replace("so AS", "so AS")} SELECT test_symbol_id, CASE WHEN target_symbol_id NOT IN (SELECT id FROM gn) THEN target_symbol_id END AS target_symbol_id, CASE WHEN target_file_id NOT IN (SELECT file_id FROM cf) THEN target_file_id END AS target_file_id FROM bl WHERE test_file_id NOT IN (SELECT file_id FROM cf)""")
+def test_links_after_change(g, spark, folder):
+    changed, gone = _gone(g)
     bound = resolve.bind_test_links(g.test_links, g.symbols, g.files, g.test_files)
-    wanted = g.files.select(F.col("id").alias("file_id"), F.row_number().over(Window.orderBy(F.desc("id"))).alias("place"))  # a row per file
-    return resolve.related_tests_of_files(bound, g.test_calls, g.tests, g.test_files, g.symbols, wanted)
+    return store.unbind_tests(bound, gone, changed).select("test_symbol_id", "target_symbol_id", "target_file_id")
+
+
+@_query("od AS (SELECT name, qualified_name FROM symbols WHERE file_id % 4 = 1), nw AS (SELECT name, qualified_name FROM symbols WHERE file_id % 4 = 1 AND id % 3 <> 0) SELECT name FROM (SELECT name FROM od UNION SELECT qualified_name FROM od) WHERE name NOT IN (SELECT name FROM nw UNION ALL SELECT qualified_name FROM nw)")
+def removed_names(g, spark, folder):
+    before = g.symbols.where("file_id % 4 = 1")
+    return resolve.removed_names(before, before.where("id % 3 <> 0"))
+
+
+@_query("bn AS (SELECT DISTINCT id, language, unnest([name, qualified_name]) AS name FROM symbols) SELECT name, language, count(*) AS n FROM bn GROUP BY ALL HAVING count(*) > 1")
+def contested_names(g, spark, folder):
+    return resolve.contested_names(g.symbols, resolve.changed_names(g.symbols, g.symbols))
+
+
+_QUEUE = "WITH s AS (SELECT regexp_extract(props, '\"k\": *([0-9]+)', 1) AS path, event_id AS stamp, event_type AS reason FROM events), q AS (SELECT path, arg_max(reason, stamp) AS reason, max(stamp) AS stamp FROM s GROUP BY path)"
+
+
+def _queue(spark, folder) -> DataFrame:
+    events = sessions.session_table(spark.read.parquet(f"{folder}/events.parquet")).select(F.col("key").alias("path"), F.col("event_type").alias("reason"), F.col("id").alias("stamp"))
+    none = spark.createDataFrame([], "path string, reason string, stamp long, claim long")
+    return store.enqueue(none, events)
+
+
+@_query(f"{_QUEUE} SELECT *, CASE WHEN row_number() OVER (ORDER BY stamp, path) <= 20 THEN CAST(99 AS BIGINT) END AS claim FROM q", raw=True)
+def claimed_queue(g, spark, folder):
+    return store.claim(_queue(spark, folder), 99, 20)
+
+
+@_query(f"{_QUEUE} SELECT path, reason, stamp FROM q WHERE stamp % 3 <> 0", raw=True)
+def finished_queue(g, spark, folder):
+    # a third is done at its last request, a third at one before, and a third not at all
+    queue = store.claim(_queue(spark, folder), 99, 1000)
+    done = queue.where("stamp % 3 <> 1").select("path", F.when(F.col("stamp") % 3 == 0, F.col("stamp")).otherwise(F.col("stamp") - 1).alias("stamp"))
+    return store.finish(queue, done).select("path", "reason", "stamp")
+
+
+@_query("SELECT canonical_path, root_path FROM (SELECT '/src/' || lower(n_name) AS canonical_path, CASE WHEN n_nationkey = 3 THEN '/moved' ELSE '/src/' || lower(n_name) END AS root_path FROM nation)", raw=True)
+def upserted_repos(g, spark, folder):
+    root = F.concat(F.lit("/src/"), F.lower("n_name"))
+    nation = spark.read.parquet(f"{folder}/nation.parquet")
+    repos = nation.select(F.col("n_nationkey").cast("long").alias("id"), root.alias("root_path"), root.alias("canonical_path"), F.lit(None).cast("timestamp").alias("updated_at"))
+    third = repos.where("id = 3").first()["canonical_path"]
+    again = store.upsert_repo(repos.where("id <> 4"), "/moved", third, F.current_timestamp())
+    fourth = repos.where("id = 4").first()["canonical_path"]
+    return store.upsert_repo(again, fourth, fourth, F.current_timestamp()).select("canonical_path", "root_path")
+
+
+@_query(f"""{_CLASSIFIED}, cl AS (SELECT CASE WHEN dst_name = 'len' THEN CASE WHEN evidence <> '' THEN 'unknown' ELSE 'builtin' END WHEN dst_name LIKE 'os.%' AND EXISTS (SELECT 1 FROM imports i WHERE i.file_id = ci.file_id AND import_path = 'os') THEN 'stdlib' ELSE 'unknown' END AS target FROM ci)
+SELECT t.target, count(cl.target) AS n FROM (VALUES ('builtin'), ('stdlib'), ('external'), ('unknown')) t(target) LEFT JOIN cl USING (target) GROUP BY t.target""")
+def unresolved_classes(g, spark, folder):
+    name = F.when(F.col("line") % 3 == 0, "len").when(F.col("line") % 3 == 1, "os.path.join").otherwise(F.col("dst_name"))
+    calls = g.calls.select("src", "file_id", "language", name.alias("dst_name"), F.lit(None).cast("long").alias("dst"), F.when(F.col("line") == 6, "x.len()").otherwise("").alias("evidence"))
+    return quality.unresolved_classes(quality.classify(calls, g.symbols, g.imports))
+
+
+# strategies that the calls above never reach: a symbol per part, spelled so that one strategy alone binds it
+
+_FORMS = """pf AS (SELECT p_partkey AS k, brand, br % 2 = 1 AND p_partkey % 8 = 0 AS in_go FROM p),
+ex AS (SELECT k, in_go, k % 8 AS form, CASE WHEN in_go THEN 'go' ELSE 'python' END AS language FROM pf)"""
+
+
+def _spelled(spark, folder):
+    """(symbols, calls, files, imports, modules): form k % 8 of part k. 0 package scope and import in Go, elsewhere the qualified name; 1 slash, 2 two and 3 three segments, 4 a suffix, 5 a receiver's method, 6 a sole name, 7 a name of a test."""
+    part = spark.read.parquet(f"{folder}/part.parquet")
+    ranks = part.select("p_brand").distinct().withColumn("br", F.dense_rank().over(Window.orderBy("p_brand")) - 1)  # 25 brands
+    rows = part.join(F.broadcast(ranks), "p_brand").select(F.col("p_partkey").alias("k"), F.lower(F.translate("p_brand", "#", "")).alias("brand"), "br")
+    rows = rows.withColumn("form", F.col("k") % 8).withColumn("in_go", (F.col("br") % 2 == 1) & (F.col("form") == 0)).withColumn("fn", F.concat(F.lit("fn_"), "k"))
+    form, k = F.col("form"), F.col("k")
+    dotted = lambda *parts: F.concat_ws(".", *[F.lit(x) if isinstance(x, str) else x for x in parts])
+    brand, fn = F.col("brand"), F.col("fn")
+    qualified = F.when(form == 0, dotted(brand, fn)).when(form == 1, F.concat(F.lit("pkg/"), dotted(brand, fn))).when(form == 2, dotted("top", brand, fn)).when(form == 3, dotted("x", "top", brand, fn)).when(form == 4, dotted("w", "x", "top", brand, F.upper(fn))).when(form == 5, dotted("k", fn)).when(form == 6, dotted("solo", fn)).otherwise(dotted("t", fn))
+    file_id = F.when(F.col("in_go"), 100 + F.col("br")).when(form == 7, 300 + F.col("br")).otherwise(200 + F.col("br")).cast("long")
+    language = F.when(F.col("in_go"), "go").otherwise("python")
+    rows = rows.withColumn("file_id", file_id).withColumn("language", language).withColumn("id", 7_000_000 + k)
+    symbols = rows.select("id", "file_id", "language", F.when(form == 5, "declaration").otherwise("function").alias("kind"), F.when(form == 4, F.upper(fn)).otherwise(fn).alias("name"), qualified.alias("qualified_name"), F.when(form == 5, "K").otherwise("").alias("container_name"))
+    path = F.when(F.col("in_go"), F.concat(F.lit("gopkg/"), brand, F.lit("/a.go"))).when(form == 7, F.concat(F.lit("tests/"), brand, F.lit(".py"))).otherwise(F.concat(F.lit("py/"), brand, F.lit(".py")))
+    files = rows.select(F.col("file_id").alias("id"), path.alias("path"), "language").distinct()
+    spelled = F.when(F.col("in_go"), fn).when(form.isin(0, 1, 2), dotted(brand, fn)).when(form == 3, dotted("top", brand, fn)).when(form == 4, dotted("x", "top", brand, fn)).otherwise(fn)
+    home = F.when(F.col("in_go"), F.col("file_id")).otherwise(200 + F.col("br")).cast("long").alias("file_id")
+    calls = rows.select(F.col("id").alias("src"), home, k.alias("line"), "language", spelled.alias("dst_name"))
+    go = rows.where("in_go")
+    far = go.select(F.col("id").alias("src"), F.lit(99).cast("long").alias("file_id"), k.alias("line"), "language", F.concat(F.lit("ex.org/m/gopkg/"), brand, F.lit("."), fn).alias("dst_name"))
+    imports = go.select(F.lit(99).cast("long").alias("file_id"), F.concat(F.lit("ex.org/m/gopkg/"), brand).alias("import_path")).distinct()
+    files = files.unionByName(spark.createDataFrame([(99, "cmd/main.go", "go")], "id long, path string, language string"))
+    return symbols, calls.unionByName(far), files, imports, spark.createDataFrame([("ex.org/m", "")], "module string, folder string")
+
+
+@_query(f"""{_FORMS} SELECT 7000000 + k AS src, language, strategy, 'bound' AS outcome, CASE WHEN strategy IS NOT NULL THEN 7000000 + k END AS dst, CAST(1 AS BIGINT) AS n FROM (SELECT k, language, CASE form WHEN 0 THEN CASE WHEN in_go THEN 'go_package_scope' ELSE 'exact_qualified' END WHEN 1 THEN 'slash_suffix' WHEN 2 THEN 'dot_tail2' WHEN 3 THEN 'dot_tail3' WHEN 4 THEN 'dot_suffix' WHEN 5 THEN 'receiver_method' ELSE 'exact_name' END AS strategy FROM ex WHERE form <> 7
+ UNION ALL SELECT k, language, 'module_import' FROM ex WHERE in_go) UNION ALL SELECT 7000000 + k, language, NULL, 'test_shadow', NULL, 1 FROM ex WHERE form = 7""")
+def resolve_strategies(g, spark, folder):
+    symbols, calls, files, imports, modules = _spelled(spark, folder)
+    out = resolve.resolve(calls, symbols, files, imports, modules)
+    return out.groupBy("src", "language", "strategy", F.coalesce("blocked", F.lit("bound")).alias("outcome"), "dst").agg(F.count("*").alias("n"))

@@ -34,23 +34,25 @@ def hashing(dims: int = 64) -> Provider:
 
 
 def embed(rows: DataFrame, provider: Provider | None, batch: int = 64) -> DataFrame:
-    """rows(id, text) with embedding; without a provider, or where it fails for a batch, there is none for these rows."""
+    """rows(id, text) with embedding and error; where the provider fails for a batch its rows have a null embedding and say why. Without a provider there are no rows."""
     if provider is None:
-        return rows.limit(0).select("id").withColumn("embedding", F.lit(None).cast("array<float>"))
+        return rows.limit(0).select("id").withColumn("embedding", F.lit(None).cast("array<float>")).withColumn("error", F.lit(None).cast("string"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for lo in range(0, len(frame), batch):
                 part = frame.iloc[lo : lo + batch]
                 try:
-                    found = provider([t or "" for t in part["text"]])
-                except (OSError, ValueError):  # best effort: the next run tries again
-                    continue
-                yield pd.DataFrame({"id": part["id"].to_numpy(), "embedding": [np.asarray(v, np.float32) for v in found]})
+                    found, error = [np.asarray(v, np.float32) for v in provider([t or "" for t in part["text"]])], None
+                    if len(found) != len(part):
+                        raise ValueError(f"{len(found)} vectors for {len(part)} texts")
+                except (OSError, ValueError) as e:  # the next run tries again
+                    found, error = [None] * len(part), f"{type(e).__name__}: {e}"[:200]
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "embedding": found, "error": [error] * len(part)})
 
-    return rows.select("id", "text").mapInPandas(run, "id long, embedding array<float>")
+    return rows.select("id", "text").mapInPandas(run, "id long, embedding array<float>, error string")
 
 
 def refresh(stored: DataFrame, rows: DataFrame, provider: Provider | None) -> DataFrame:
-    """The stored embeddings with those of ``rows`` anew."""
-    return upsert(stored, embed(rows, provider), "id")
+    """The stored embeddings (id, embedding) with those of ``rows`` anew; where the provider failed the stored ones stay."""
+    return upsert(stored.select("id", "embedding"), embed(rows, provider).where("error is null").select("id", "embedding"), "id")

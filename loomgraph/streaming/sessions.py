@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,13 +29,14 @@ def hot_keys(events: DataFrame, kinds: tuple[str, ...] = ("read", "edit"), sessi
     return counted.orderBy(F.desc("n"), "key").limit(limit)
 
 
-def context(events: DataFrame, session_id=None, kinds: tuple[str, ...] = ("decision", "fact", "task"), last: int = 10) -> DataFrame:
-    """(event_type, id, key) of the last events of each kind."""
+def context(events: DataFrame, session_id=None, kinds: tuple[str, ...] = ("decision", "fact", "task"), last: int = 10, used: tuple[str, ...] = ("read", "edit")) -> DataFrame:
+    """(event_type, id, key) of the last events of each kind, and of the files used most: hot_file, how often, path."""
     out = None
     for kind in kinds:
         part = history(events, session_id, kind, last).select("event_type", "id", "key")
         out = part if out is None else out.unionByName(part)
-    return out
+    hot = hot_keys(events, used, session_id, last).select(F.lit("hot_file").alias("event_type"), F.col("n").alias("id"), "key")
+    return out.unionByName(hot)
 
 
 def session_table(events: DataFrame) -> DataFrame:
@@ -95,9 +97,9 @@ LOG = "id long, session_id string, event_type string, key string, value string,
 
 
 def log(spark: SparkSession, folder: str, event_type: str, key: str = "", value: str = "", metadata: str = "{}", session_id: str = "") -> None:
-    """Append one event; ids are microseconds, so later events have larger ones."""
+    """Append one event. Ids are microseconds with ten random bits behind, so later events have larger ones and those of two drivers differ."""
     now = datetime.now(UTC)
-    row = (int(now.timestamp() * 1e6), session_id, event_type, key, value, metadata, now.replace(microsecond=0))
+    row = ((int(now.timestamp() * 1e6) << 10) + secrets.randbelow(1 << 10), session_id, event_type, key, value, metadata, now.replace(microsecond=0))
     spark.createDataFrame([row], LOG).coalesce(1).write.mode("append").parquet(folder)
 
 

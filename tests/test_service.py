@@ -77,7 +77,7 @@ def test_related_tests_and_context(service):
 def test_sessions(service):
     assert [(r["key"], r["n"]) for r in service.call("session_hot_files", session_id="s")["data"]] == [("a.py", 2), ("b.py", 1)]
     assert [r["key"] for r in service.call("session_history", event_type="decision")["data"]] == ["use joins"]
-    assert [r["key"] for r in service.call("session_context")["data"]] == ["use joins"]
+    assert [(r["event_type"], r["key"]) for r in service.call("session_context")["data"]] == [("decision", "use joins"), ("hot_file", "a.py"), ("hot_file", "b.py")]
 
 
 def test_requests(service):

@@ -114,6 +114,8 @@ def test_embeddings(spark):
     def broken(texts):
         raise OSError("no server")
 
-    assert embed.embed(rows, broken).count() == 0
+    failed = embed.embed(rows, broken).collect()
+    assert len(failed) == 3 and all(r.embedding is None and r.error == "OSError: no server" for r in failed)
+    assert embed.refresh(embed.embed(rows, embed.hashing(8)), rows, broken).where("size(embedding) = 8").count() == 3
     stored = embed.embed(rows, embed.hashing(8))
     assert embed.refresh(stored, rows.where("id = 1"), embed.hashing(4)).where("size(embedding) = 4").count() == 1
