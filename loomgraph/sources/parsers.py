@@ -127,7 +127,8 @@ def parse_python(path: str, source: str) -> Iterator[tuple]:
     stack: list[tuple[int, str, str, int]] = []  # indent, name, kind, place in rows
     rows: list[Fact] = []
     last, depth, goes_on = 0, 0, False
-    for number, line in enumerate(code.split("\n"), 1):
+    lines = code.split("\n")
+    for number, line in enumerate(lines, 1):
         if not line.strip():
             continue
         follows = depth > 0 or goes_on or number in inside
@@ -144,7 +145,13 @@ def parse_python(path: str, source: str) -> Iterator[tuple]:
             kind = "class" if found[2] == "class" else "method" if stack and stack[-1][2] == "class" else "function"
             box = outer[-1] if outer else module
             key = f"class:{module}:{found[3]}" if kind == "class" else f"func:{module}:{box if outer else ''}:{found[3]}"
-            doc = re.match(r"\s*(?i:[rbuf]{0,2})(?:\"\"\"(.*?)\"\"\"|'''(.*?)'''|\"([^\"\n]*)\"|'([^'\n]*)')", "\n".join(raw[number : number + 40]), re.S)
+            after, open_ = number - 1, 0  # the line that ends the head
+            while after < len(lines):
+                open_ += sum(lines[after].count(c) for c in "([{") - sum(lines[after].count(c) for c in ")]}")
+                after += 1
+                if open_ <= 0:
+                    break
+            doc = re.match(r"\s*(?i:[rbuf]{0,2})(?:\"\"\"(.*?)\"\"\"|'''(.*?)'''|\"([^\"\n]*)\"|'([^'\n]*)')", "\n".join(raw[after : after + 40]), re.S)
             summary = next((g for g in doc.groups() if g is not None), "") if doc else ""
             rows.append(Fact(path, "symbol", kind, found[3], ".".join([module, *outer, found[3]]), box, number, number, indent + 1, len(raw[number - 1]) + 1, _words(raw[number - 1]).removesuffix(":"), "module" if found[3].startswith("_") else "public", _words(summary), key))
             stack.append((indent, found[3], kind, len(rows) - 1))
@@ -310,8 +317,8 @@ _LANGUAGES = {
     ".swift": ("c", "swift", [(None, rf"\b(?P<kind>class|struct|enum|protocol|actor)\s+(?!func\b|var\b|let\b){_NAME}"), ("function", rf"\bfunc\s+{_NAME}")], rf"^[ \t]*(?:\w+\s+)*extension\s+{_NAME}", [r"^\s*import\s+(\w+)"]),
     ".php": ("php", "php", [("type", rf"\b(?:class|interface|trait|enum)\s+{_NAME}"), ("function", rf"\bfunction\s+&?{_NAME}\s*(?=\()")], None, [r"^\s*use\s+([\w\\]+)", r"^\s*require(?:_once)?\s*\(?\s*['\"]([^'\"]+)['\"]"]),
     ".cpp": ("c", "cpp", [
-        (None, rf"^[ \t]*(?:template\s*<[^>]*>\s*)?(?:typedef\s+)?(?P<kind>class|struct|enum)\s+(?:class\s+)?{_NAME}\s*(?:final\s*)?(?::[^;{{]*)?(?=\{{)"),
-        ("function", rf"^[ \t]*(?:template\s*<[^>]*>\s*)?(?:[\w:<>,*&~\[\]]+[ \t*&]+)+(?P<name>(?:\w+::)*~?[A-Za-z_]\w*)\s*{_ARGS}\s*(?:const|noexcept|override|final|\s)*(?::[^;{{}}]*)?(?=[{{;])"),
+        (None, rf"(?:^|(?<=[{{;}}]))[ \t]*(?:template\s*<[^>]*>\s*)?(?:typedef\s+)?(?P<kind>class|struct|enum)\s+(?:class\s+)?{_NAME}\s*(?:final\s*)?(?::[^;{{]*)?(?=\{{)"),
+        ("function", rf"(?:^|(?<=[{{;}}]))[ \t]*(?:template\s*<[^>]*>\s*)?(?:[\w:<>,*&~\[\]]+[ \t*&]+)+(?P<name>(?:\w+::)*~?[A-Za-z_]\w*)\s*{_ARGS}\s*(?:const|noexcept|override|final|\s)*(?::[^;{{}}]*)?(?=[{{;])"),
     ], r"^[ \t]*(?:inline\s+)?namespace\s+(?P<name>[A-Za-z_][\w:]*)\s*(?=\{)", [r"^\s*#\s*include\s+[<\"]([^>\"]+)[>\"]"]),
 }
 _SAME = {".tsx": ".ts", ".js": ".ts", ".jsx": ".ts", ".mjs": ".ts", ".cjs": ".ts", ".mts": ".ts", ".cts": ".ts", ".kts": ".kt", ".c": ".cpp", ".cc": ".cpp", ".cxx": ".cpp", ".h": ".cpp", ".hh": ".cpp", ".hpp": ".cpp", ".hxx": ".cpp", ".ipp": ".cpp"}
