@@ -19,6 +19,45 @@ def edited(a, b):
     return a[: len(a) - k] + b[:k]
 
 
+def slow_digests(raw):
+    """Chunks found byte by byte: the gear hash of the last 32 bytes, and for the place where a chunk begins its sizes and masks."""
+    gear, h, ends, begin, chunks = [int(x) for x in fp._gear], 0, [], 0, {}
+    hashes = []
+    for byte in raw:
+        h = ((h << 1) + gear[byte]) & 0xFFFFFFFF
+        hashes.append(h)
+
+    def sizes(at):
+        if len(raw) >= fp.SHORT:
+            return 64, 256, 1024
+        return next((least, average, most) for until, least, average, most in fp.FINE if at < until)
+
+    while begin < len(raw):
+        least, average, most = sizes(begin)
+        bits = average.bit_length() - 1
+        end = begin
+        while end < len(raw):
+            end += 1
+            size = end - begin
+            if size >= most:
+                break
+            mask = bits + 2 if size <= average else bits - 2
+            if size >= least and hashes[end - 1] >> (32 - mask) == 0:
+                break
+        ends.append(end)
+        chunks[fp.xxhash.xxh3_64_intdigest(raw[begin:end])] = end - begin
+        begin = end
+    return chunks
+
+
+def test_chunks_against_a_loop_over_bytes(spark):
+    draw = random.Random(6)
+    texts = [r.text.encode() for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()[:250]]
+    texts += [bytes(draw.randrange(256) for _ in range(n)) for n in (0, 1, 7, 8, 9, 63, 64, 65, 255, 256, 257, 1023, 1024, 1025, 5000, fp.SHORT - 1, fp.SHORT, fp.SHORT + 1)] + [b"a" * 5000, b"ab" * 40_000]
+    for raw in texts:
+        assert fp.chunk_digests(raw) == slow_digests(raw)
+
+
 def test_fingerprints_against_a_plain_loop(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
     got = {r.doc_id: r for r in fp.fingerprint_neighbours(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
@@ -48,6 +87,16 @@ def test_neighbours_across_ranges(spark, rows):
     assert flat == sorted((str(want[k]), want[(k + 1) % len(want)]) for k in range(len(want)))
 
 
+def test_rows_without_ids_and_long_texts_spread_over_ranges(spark):
+    rows = spark.range(6000).selectExpr("if(id % 3 = 0, null, id % 2) as doc_id", "concat('t', id % 50) as text")
+    placed = fp.in_order(rows, 100)
+    assert placed.groupBy("range").count().agg({"count": "max"}).first()[0] <= 101 and placed.where("own").count() == 6000
+    long = " ".join(f"word{k * 7919 % 10007}" for k in range(40_000))
+    got = {r.doc_id: r for r in fp.fingerprint_neighbours(spark.createDataFrame([(1, long), (2, long + "x"), (3, "é" * 100_000)], "doc_id long, text string")).collect()}
+    assert got[1].n_chars == len(long) and got[1].near_next > 0.9 and got[3].n_chars == 100_000
+    assert got[1].edited_sha256 == hashlib.sha256(edited(long, long + "x").encode()).hexdigest()
+
+
 def test_fingerprint_edge_cases(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "é" * 7)], "doc_id long, text string").selectExpr("*", "'x' as fingerprint", "1 as own")
     got = {r.doc_id: r for r in fp.fingerprint_neighbours(df).collect()}
@@ -88,6 +137,35 @@ def slow_adpcm(block):
     return out
 
 
+def slow_resampled(pcm, rate, to):
+    out = []
+    for k in range(max(1, len(pcm) * to // rate)):
+        at, part = divmod(k * rate, to)
+        a, b = int(pcm[at]), int(pcm[min(at + 1, len(pcm) - 1)])
+        out.append(a + (b - a) * part // to)
+    return out
+
+
+def test_expanding_and_resampling_against_plain_loops(spark):
+    def mulaw(code):
+        code = ~code & 0xFF
+        size = (((code & 15) << 3) + 132 << (code >> 4 & 7)) - 132
+        return -size if code & 128 else size
+
+    def alaw(code):
+        code ^= 0x55
+        e, m = code >> 4 & 7, (code & 15) << 4
+        size = m + 8 if e == 0 else m + 0x108 << e - 1
+        return size if code & 128 else -size
+
+    assert media.MULAW_PCM.tolist() == [mulaw(k) for k in range(256)] and media.ALAW_PCM.tolist() == [alaw(k) for k in range(256)]
+    for r in media.text_audio(spark.read.parquet(f"{SF}/documents.parquet").limit(25)).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), "doc_id").collect():
+        raw = r.text.encode()
+        payload = raw + b"\0" * (-len(raw) % 64 if raw else 64)
+        want = slow_resampled([mulaw(b) for b in payload], 8000, 16000)
+        assert bytes(r.pcm) == struct.pack(f"<{len(want)}h", *want)
+
+
 def test_tables_and_adpcm():
     # corner values of G.711
     assert media.MULAW_PCM[[0x00, 0x80, 0x7F, 0xFF]].tolist() == [-32124, 32124, 0, 0]
@@ -155,5 +233,33 @@ def test_reader_rejects_damage():
             warc.parse(bad)
 
 
+def test_every_record_has_an_id_of_its_own(spark, tmp_path):
+    rows = [(None, "u", "a"), (None, "u", "a"), (1, "u", "b"), (1, "u", "b"), (2, None, "c" * 5000), (3, "v", "c" * 5000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).selectExpr("*", "cast(null as long) as refers_to")
+    files = warc.write_archives(df, f"file://{tmp_path}/w").collect()
+    ids = []
+    for f in files:
+        with open(f.path.removeprefix("file://"), "rb") as stream:
+            ids += [warc.parse(raw)["fields"]["warc-record-id"] for raw in warc.frames(stream)]
+    assert len(ids) == len(set(ids)) == len(rows)
+
+
+def test_damaged_heads_and_lengths_are_warc_errors(monkeypatch):
+    good = warc.record(3, "http://h/", b"payload")
+    for bad in (good.replace(b"Content-Length: 7", b"Content-Length: x"), good.replace(b"Content-Length: ", b"Content-Length: -"), good.replace(b"WARC-Date", b"WARC-\xff\xfe"), good.replace(b"Content-Length: 8", b"Content-Length: \xc2\xb2")):
+        with pytest.raises(warc.WarcError):
+            warc.parse(bad)
+    for bad in ("<urn:page:3>", "<urn:uuid:1>", "<urn:page:x:1>"):
+        with pytest.raises(warc.WarcError):
+            warc._page(bad)
+    assert warc._page("<urn:page::1>") is None and warc._page("<urn:page:-5:1-2>") == -5
+    whole = warc.archive([warc.record(k, None, b"z" * 5000) for k in range(3)])
+    monkeypatch.setattr(warc, "MOST_RECORD", 1000)
+    with pytest.raises(warc.WarcError):
+        list(warc.frames(io.BytesIO(whole)))
+    with pytest.raises(ValueError):
+        warc._open("unheard-of://bucket/folder")
+
+
 def test_registered_names():
     assert [n.split("_")[0] for n in queries()] == [f"op{k}" for k in range(1, 11)]

@@ -27,17 +27,18 @@ def brute(rows, size, percent):
             x = parent[x]
         return x
 
+    at = dict(sets)
+    place = {i: k for k, (i, _) in enumerate(sets)}
     by = {}
     for i, s in sets:
         for x in s:
-            by.setdefault(x, []).append(i)
-    at = dict(sets)
+            by.setdefault(x, []).append(place[i])
+    by = {x: np.array(v) for x, v in by.items()}
     seen = set()
-    for same in by.values():
-        for a in same[1:] if len(same) > 400 else []:
-            seen.add((same[0], a))
-        if len(same) <= 400:
-            seen.update((a, b) for k, a in enumerate(same) for b in same[k + 1 :])
+    for i, s in sets:  # every pair that shares a shingle, however many documents have it
+        if s:
+            common = np.bincount(np.concatenate([by[x] for x in s]), minlength=len(sets))
+            seen.update((i, sets[k][0]) for k in np.flatnonzero(common) if k > place[i])
     for a, b in seen:
         common = len(at[a] & at[b])
         if 100 * common >= percent * (len(at[a]) + len(at[b]) - common):
@@ -107,3 +108,27 @@ def test_word_hashes_over_block_borders():
     assert words[0] == words[at[5]]
     assert len(np.unique(words)) == 5
     assert len(shingle_sets(words, at, 3)[0]) == 2
+
+
+def test_hot_copies_hubs_and_clashing_columns(spark, monkeypatch):
+    from loomgraph import skew
+
+    monkeypatch.setattr(skew.hot_keys, "__defaults__", (5,))
+    base = [f"w{k}" for k in range(80)]
+    rows = [(k, " ".join(base)) for k in range(60)] + [(100 + k, " ".join([*base[:k], f"x{k}", *base[k + 1 :]])) for k in range(40)] + [(200 + k, f"alone {k} with words of its own") for k in range(20)] + [(300, None), (301, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(nd.near_duplicates(df, 3, 85)) == brute(rows, 3, 85)
+    odd = df.selectExpr("*", "1 as __gone", "2 as __turn", "3 as at", "4 as row", "5 as n_shingles")
+    kept = nd.keep_one(odd.unionByName(odd.selectExpr("cast(null as long) as doc_id", "text", "__gone", "__turn", "at", "row", "n_shingles")), 3, 85)
+    assert kept.columns == odd.columns
+    ids = [r.doc_id for r in kept.collect()]
+    want = sorted(d for d, (_, _, k) in brute(rows, 3, 85).items() if k)
+    assert sorted(i for i in ids if i is not None) == want
+    # of the rows without an id one more stays per group, and all that have no words
+    assert sum(i is None for i in ids) == len(want)
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"t{k % 5000}u{k % 7}" for k in range(60_000))
+    rows = [(1, long), (2, long + " end"), (3, "x" * 200_000), (4, long.upper())]
+    assert result(nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85)) == brute(rows, 3, 85)

@@ -126,3 +126,43 @@ def test_pieces_add_up_for_awkward_texts():
         cut = token_counts.pieces(text)
         assert cut is None or sum(map(lengths.__getitem__, cut)) == len(whole.encode(text, add_special_tokens=False).ids), repr(text)
         assert ids.of(text) == ids.whole(text), repr(text)
+
+
+def test_pre_tokens_are_those_of_the_pattern():
+    import public_tokenizers as public
+    import regex
+
+    parts = [" ", " ", "  ", "\n", "\t", "\x85", "\xa0", "a", "Bc", "é", "ß", "'s", "'re", "'T", "'", " '", "1", "23", "½", "!", "--", "Ж", "’", "\u2003", "€"]
+    draw, pattern = random.Random(8), regex.compile(public.PATTERN)
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 12))) for _ in range(5000)]
+    cut = token_counts.Cut(texts, ())
+    assert not cut.others
+    for k, t in enumerate(texts):
+        assert [cut.text(j) for j in range(cut.begin[k], cut.begin[k + 1])] == pattern.findall(t), repr(t)
+
+
+def test_every_known_character_has_the_librarys_class():
+    texts = [f"{chr(c)}a{chr(c)}1{chr(c)}!{chr(c)} {chr(c)}" for lo, hi in token_counts._BLOCKS for c in range(lo, hi)]
+    assert token_counts.count_texts(texts, token_counts._lengths(BYTES), token_counts.compact_table(BYTES, [" a", "1"])) == [len(x) for x in whole(BYTES, texts)]
+
+
+def test_long_texts_are_cut_at_safe_places(spark, monkeypatch):
+    long = ["ab cd's  x " * 20_000 + " tail", "日本 x " * 20_000, "z" * 100_000, "a b<|endoftext|> " * 9_000, " " * 50_000, "don't " * 30_000]
+    want = [len(x) for x in whole(BYTES, long)]
+    monkeypatch.setattr(token_counts, "BLOCK", 5000)
+    assert token_counts.count_texts(long, token_counts._lengths(BYTES), token_counts.compact_table(BYTES, [])) == want
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(frame(spark, long), BYTES).collect()}
+    assert [got[k] for k in range(len(long))] == want
+    check_packing(packing.pack_documents(frame(spark, long), WORDS).collect(), {k: [*ids, 1] for k, ids in enumerate(whole(WORDS, long))})
+
+
+def test_null_and_repeated_ids_share_no_place(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 500)
+    rows = spark.range(10_000).selectExpr("cast(null as long) as doc_id", "'a b c' as text").unionByName(spark.range(5_000).selectExpr("3L as doc_id", "concat('a b ', id % 9) as text"))
+    got = packing.pack_documents(rows, WORDS).collect()
+    assert len(got) == 15_000 and len({(r.sequence_id, r.offset) for r in got}) == 15_000
+    ends = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert ends.get(r.sequence_id, 0) == r.offset
+        ends[r.sequence_id] = r.offset + r.length
+    assert max(ends.values()) <= 4096 and len(ends) <= 1 + sum(r.length for r in got) // 4096 + 1
