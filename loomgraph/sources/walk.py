@@ -38,14 +38,23 @@ def ignored(path: Column, patterns: list[str]) -> Column:
     return out
 
 
+def relative(path: Column, root: str) -> Column:
+    """A file's URI as its path below ``root``."""
+    base = "file:" + root.rstrip("/") if "://" not in root else root.rstrip("/")
+    return F.regexp_replace(path, "^" + re.escape(base).replace("file:", "file:(//)?") + "/", "")
+
+
+def unwanted(path: Column, patterns: list[str]) -> Column:
+    """Whether a path lies in a skipped or dot folder or is ignored."""
+    folders = F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - 1)
+    return F.exists(folders, lambda d: d.startswith(".") | d.isin(*SKIPPED_FOLDERS)) | ignored(path, patterns)
+
+
 def walk(spark: SparkSession, root: str, patterns: list[str] | None = None, max_bytes: int = 1 << 20) -> DataFrame:
     """(path, size, modified, sha256, content, skip) of the files below ``root`` that are not in skipped or dot folders."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = "file:" + root.rstrip("/") if "://" not in root else root.rstrip("/")
-    path = F.regexp_replace(F.col("path"), "^" + re.escape(base).replace("file:", "file:(//)?") + "/", "")
-    rows = files.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
-    folders = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
-    rows = rows.where(~F.exists(folders, lambda d: d.startswith(".") | d.isin(*SKIPPED_FOLDERS)) & ~ignored(F.col("path"), patterns or []))
+    rows = files.select(relative(F.col("path"), root).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
+    rows = rows.where(~unwanted(F.col("path"), patterns or []))
     return rows.withColumn("skip", denied(F.col("path")) | (F.col("size") > max_bytes)).withColumn("sha256", F.sha2("content", 256))
 
 
