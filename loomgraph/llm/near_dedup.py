@@ -40,6 +40,8 @@ MINOR, MEMBERS = 512, 2048
 CELLS = 1 << 25
 #: Members that meet their hub in one group of the verification.
 TOGETHER = 64
+#: The largest filter of wanted ids has 2**SIEVE bits, 32 MB: enough for 27 million ids.
+SIEVE = 28
 #: Set in every hash of a difference, so that none is taken for a place in the hub's set.
 ADDED = np.uint64(1 << 63)
 
@@ -94,19 +96,55 @@ def _profiles(size: int, rows: int, bands: int):
     return run
 
 
-def _sets(size: int):
+def sieve(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of ids(doc_id) as 64-bit words: ten bits an id in three places, in all at most 2**SIEVE bits.
+
+    Bits are put together by a sum over words, so what the driver takes in is the filter itself.
+    Beyond 2**SIEVE / 10 ids more and more others pass, until it holds nothing back; it
+    never holds back one of its own.
+    """
+    n = ids.count()
+    bits = min(SIEVE, max(10, (10 * n).bit_length()))
+    place = lambda k: F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(k)), 64 - bits)
+    at = ids.select(F.explode(F.array(*[place(k) for k in range(3)])).alias("at"))
+    words = at.groupBy(F.expr("at div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _sets(size: int, shared):
+    """Sets of the texts whose places (three of a row) are all in the filter."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            words, may = shared.value, np.ones(len(batch), bool)
+            bits = np.uint64(len(words) * 64 - 1).item().bit_length()
+            for k in range(3):
+                at = batch.column(f"h{k}").to_numpy().view(np.uint64) >> np.uint64(64 - bits)
+                may &= (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+            batch = batch.select(["doc_id", "text"]).filter(pa.array(may))
             data, at = utf8(batch.column("text"))
             for lo, hi in row_blocks(at):
                 sets = [s.tobytes() for s in shingle_sets(*word_hashes(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]), size)]
-                ids, want = batch.column("doc_id").slice(lo, hi - lo).to_pylist(), batch.column("digest").slice(lo, hi - lo).to_pylist()
-                took = [k for k, s in enumerate(sets) if hashlib.blake2b(s, digest_size=16).digest() == want[k]]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in took], pa.int64()), pa.array([sets[k] for k in took], pa.binary())], ["doc_id", "shingles"])
+                digests = [hashlib.blake2b(s, digest_size=16).digest() if s else None for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "digest", "shingles"])
 
     return run
 
 
+def sets_of(source: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(doc_id, shingles) for wanted(doc_id, digest), a row for each, from the texts of ``source``.
+
+    The scan itself leaves out what the filter of wanted ids holds back, so only sets, and of few
+    others, are shuffled to meet the wanted rows, which decide exactly.
+    """
+    shared = source.sparkSession.sparkContext.broadcast(sieve(wanted.select("doc_id")))  # 2**SIEVE bits at most
+    marked = source.select("doc_id", "text", *[F.xxhash64("doc_id", F.lit(k)).alias(f"h{k}") for k in range(3)])
+    found = marked.where("doc_id is not null").mapInArrow(_sets(size, shared), "doc_id long, digest binary, shingles binary")
+    return found.hint("merge").join(wanted.hint("merge"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "shingles")
+
+
 def _with_hub(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by (hub, salt, member): a group's first row, without member, is the hub's own set."""
@@ -304,7 +342,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
 
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     wanted = stash(own.select("doc_id", "digest").hint("merge").join(wanted.hint("merge"), "doc_id"), "wanted")
-    sets = stash(source.hint("merge").join(wanted.hint("merge"), "doc_id").mapInArrow(_sets(words), "doc_id long, shingles binary"), "sets")
+    sets = stash(sets_of(source, wanted, words), "sets")
     stars = stash(with_hub(pairs, sets, percent), "stars")
     links = stars.where("linked").select("a", "b")
     labels = connected_components(links)
