@@ -84,7 +84,12 @@ def _spans(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, A-Z lower-cased, and where each text's words begin (one more entry than texts)."""
-    found, begun = [], []
+    return sized_words(data, offsets)[::2]
+
+
+def sized_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, their bytes, and where each text's words begin."""
+    found, sizes, begun = [], [], []
     for lo, hi in _spans(data, offsets):
         part = data[lo:hi]
         solid = ~_space[part]
@@ -101,10 +106,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         np.cumsum(_lower[part] * up[: len(part)], out=total[1:])
         h = (total[ends] - total[starts]) * down[starts]
         found.append(mix(h + (ends - starts).astype(np.uint64)))
+        sizes.append(ends - starts)
         begun.append(starts + lo)
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    return np.concatenate(found), np.searchsorted(np.concatenate(begun), offsets)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+    return np.concatenate(found), np.concatenate(sizes), np.searchsorted(np.concatenate(begun), offsets)
 
 
 def shingle_sets(words: np.ndarray, at: np.ndarray, size: int) -> list[np.ndarray]:

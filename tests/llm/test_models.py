@@ -96,10 +96,17 @@ def test_whole_table_against_a_slow_forward_pass_whatever_the_partitions(spark):
     rare = net.tokens - net.buckets
     assert all(len(v) == 1 for i, v in by_id.items() if i < rare)
     for doc, ids in texts.items():
-        want = 0.0
+        want, own, own_bucket = 0.0, {}, {}
+        for w, i in zip(words[doc], ids, strict=True):
+            own[w] = own.get(w, 0) + 1
+            own_bucket[int(i)] = own_bucket.get(int(i), 0) + 1
         for k, w in enumerate(words[doc]):
-            share = np.log(counts[w] / sum(by_id[int(ids[k])].values())) if ids[k] >= rare else 0.0
-            want += slow_log_probability(net, model.weights, ids, k) + share
+            want += slow_log_probability(net, model.weights, ids, k)
+            if (i := int(ids[k])) >= rare:
+                every = sum(by_id[i].values())
+                new = (sum(n == 1 for n in by_id[i].values()) + 1) / (every + 2)
+                others = counts[w] - own[w]
+                want += np.log((1 - new) * others / max(1, every - own_bucket[i])) if others else np.log(new) - (len(w.encode()) + 1) * np.log(32)
         assert abs(got[doc].log_likelihood - want) < 1e-3 * max(1, len(ids))
     for parts in (1, 8, 32):
         again = {r.doc_id: r.per_token for r in lm.score_words(docs.repartition(parts), net).collect()}
