@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph import tools
 from loomgraph.functions import text
-from loomgraph.operators import accuracy, detail, graph, identity, inventory, quality, resolve, scans, search, store
+from loomgraph.operators import accuracy, context, detail, graph, identity, inventory, quality, resolve, scans, search, store
 from loomgraph.plans import fixture
 from loomgraph.sources import sinks, walk
 from loomgraph.streaming import sessions
@@ -765,6 +765,27 @@ def all_callees(g, spark, folder):
     return graph.all_callees(g.edges, g.calls, g.symbols, g.symbols.where("id = 3000001")).select("id", "qualified_name")
 
 
+@_query(f"""{_TOKENS_OF}, {_LINKS}, sp AS (SELECT s.*, path FROM symbols s JOIN files f ON f.id = file_id),
+hi AS MATERIALIZED (SELECT path, qualified_name, CAST(count(*) AS DOUBLE) AS signal FROM tk JOIN files f ON f.id = file_id WHERE token IN ('brand1', 'red_widget', 'supplier', 'of', 'or') GROUP BY ALL ORDER BY signal DESC, path, qualified_name LIMIT 30),
+di AS MATERIALIZED (SELECT path, qualified_name, signal, arg_min(sp.id, (stable_key = '', stable_key, start_line, sp.id)) AS id FROM hi JOIN sp USING (path, qualified_name) GROUP BY ALL),
+nb AS MATERIALIZED (SELECT DISTINCT di.id AS seed, 'caller' AS side, src AS id FROM edges JOIN di ON dst = di.id UNION SELECT DISTINCT di.id, 'callee', dst FROM edges JOIN di ON src = di.id),
+nr AS MATERIALIZED (SELECT DISTINCT side AS class, id FROM (SELECT side, id, row_number() OVER (PARTITION BY seed, side ORDER BY qualified_name, start_line, id) AS n FROM nb JOIN symbols USING (id)) WHERE n <= 10),
+ts AS (SELECT test_symbol_id AS id, reason, score, 2 AS rank FROM bl WHERE target_symbol_id IN (SELECT id FROM di) UNION ALL SELECT src, 'test_calls', 0.9::DOUBLE, 3 FROM test_calls WHERE dst IN (SELECT id FROM di)),
+rt AS MATERIALIZED (SELECT path, qualified_name, arg_max(score, round(score * 1000) * 4 + rank) AS score FROM ts JOIN tests USING (id) JOIN test_files f ON f.id = file_id GROUP BY ALL ORDER BY score DESC, path, qualified_name LIMIT 100),
+cd AS MATERIALIZED (SELECT 'direct' AS class, path, qualified_name, id, signal / max(signal) OVER () AS signal FROM di UNION ALL SELECT class, path, qualified_name, id, 1.0::DOUBLE FROM nr JOIN sp USING (id) UNION ALL SELECT 'test', path, qualified_name, NULL, score / max(score) OVER () FROM rt),
+sc AS MATERIALIZED (SELECT cd.*, CASE WHEN coalesce(stable_key, '') <> '' THEN stable_key ELSE cd.qualified_name || chr(1) || coalesce(name, '') END AS same, CASE class WHEN 'direct' THEN 0 WHEN 'caller' THEN 1 WHEN 'callee' THEN 2 ELSE 3 END AS place,
+ round(CASE class WHEN 'direct' THEN 0.6 WHEN 'caller' THEN 0.35 WHEN 'callee' THEN 0.3 ELSE 0.1 END::DOUBLE + CASE class WHEN 'direct' THEN 0.4 WHEN 'test' THEN 0.15 ELSE 0.3 END::DOUBLE * signal, 6) AS base FROM cd LEFT JOIN symbols s ON s.id = cd.id),
+bs AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY path, same ORDER BY base DESC, place, id IS NULL, id) = 1),
+fi AS MATERIALIZED (SELECT *, round(base + 0.01 * least(5, count(*) OVER (PARTITION BY path)), 6) AS score FROM bs), ld AS (SELECT path, row_number() OVER (ORDER BY score DESC, place, path, qualified_name) AS o FROM fi),
+fr AS (SELECT path, CAST(row_number() OVER (ORDER BY min(o)) AS INTEGER) AS file_rank FROM ld GROUP BY path)
+SELECT path, qualified_name, id, class, score, file_rank FROM fi JOIN fr USING (path) WHERE file_rank <= 10""")
+def task_context(g, spark, folder):
+    direct = context.direct_hits(search.semantic(g.symbols, g.files, "Red_widget of brand1 or supplier", 30), g.symbols, g.files)
+    bound = resolve.bind_test_links(g.test_links, g.symbols, g.files, g.test_files)
+    related = resolve.related_tests(bound, g.test_calls, g.tests, g.test_files, direct.select("id"))
+    return search.rank_context(context.candidates(direct, g.symbols, g.files, g.edges, related), 10)
+
+
 _STORED = "sf AS (SELECT id, path, language, size_bytes AS size, id AS modified, sha256(path) AS sha256, 'indexed' AS parse_state, CAST(1 AS BIGINT) AS last_scan_id, is_deleted FROM files WHERE id % 5 <> 0)"
 
 
@@ -928,3 +949,12 @@ def resolve_strategies(g, spark, folder):
     symbols, calls, files, imports, modules = _spelled(spark, folder)
     out = resolve.resolve(calls, symbols, files, imports, modules)
     return out.groupBy("src", "language", "strategy", F.coalesce("blocked", F.lit("bound")).alias("outcome"), "dst").agg(F.count("*").alias("n"))
+
+
+@_query(f"""{_STORED}, fo AS (SELECT path, size_bytes + (id % 4 = 1)::INT AS size, id + (id % 4 >= 1)::INT AS modified, CASE WHEN id % 4 = 1 THEN 'new' ELSE sha256(path) END AS sha256, id % 11 = 0 AS skip FROM files WHERE id % 7 <> 0 AND id % 2 = 0)
+SELECT coalesce(o.path, w.path) AS path, CASE WHEN w.path IS NULL THEN 'delete' WHEN skip THEN 'skip_only' WHEN w.size = o.size AND w.modified = o.modified THEN 'mark_seen' WHEN w.sha256 = o.sha256 THEN 'touch' ELSE 'replace' END AS action
+FROM (SELECT * FROM sf WHERE NOT is_deleted AND id % 2 = 0) o FULL JOIN fo w ON o.path = w.path""")
+def scoped_changes(g, spark, folder):
+    # explicit paths alone are looked at; those of them that are not there are deletes
+    paths = g.files.where("id % 2 = 0").select("path")
+    return walk.classify_changes(store.existing(_stored_files(g), paths), walk.scoped(_found_files(g), paths))

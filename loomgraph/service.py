@@ -15,14 +15,12 @@ from pyspark.sql import functions as F
 from loomgraph import agent, tools
 from loomgraph.functions import text
 from loomgraph.operators import detail as levels
-from loomgraph.operators import graph, inventory, quality, resolve, scans, search, store
+from loomgraph.operators import context, graph, inventory, quality, resolve, scans, search, store
 from loomgraph.plans import ingest
 from loomgraph.sources import sinks
 from loomgraph.streaming import sessions
 
 ORDER = ["qualified_name", "start_line", "id"]
-#: Seeds whose neighbours a context takes in, neighbours a side, and related tests a file. Fixed values.
-SEEDS, FANOUT, TESTS = 30, 10, 10
 SCAN = "id long, scan_kind string, status string, started double, finished double, files_seen long, files_changed long, files_deleted long, error_text string"
 
 
@@ -275,21 +273,9 @@ class Service:
             raise ValueError("max_tokens must be 1 to 200000")
         tools.check("context", max_symbols)
         scan = self.g.scan_id
-        path = self.g.files.select(F.col("id").alias("file_id"), "path")
-        hits = self._hits(task, max(1, max_symbols)).select("path", "qualified_name", F.col("score").alias("signal"))
-        direct = search.symbols_for_refs(hits.select("path", "qualified_name"), self.g.symbols, self.g.files).join(hits, ["path", "qualified_name"])
-        named = self.g.symbols.select("id", "name", "stable_key")
-        every = direct.select(F.lit("direct").alias("class"), "path", "qualified_name", "id", "signal")
-        if include_callers:
-            seeds = direct.orderBy(F.desc("signal"), "path", "qualified_name").limit(SEEDS)
-            near = graph.seed_neighbours(self.g.adjacent, seeds, self.g.symbols, FANOUT).select(F.col("side").alias("class"), "id").distinct()
-            every = every.unionByName(near.join(self.g.symbols, "id").join(path, "file_id").select("class", "path", "qualified_name", "id", F.lit(1.0).alias("signal")))
-        if include_tests:
-            related = self._related(direct.select("id")).limit(TESTS * max(1, max_files))
-            tests = related.select(F.col("path"), F.col("symbol").alias("qualified_name"), F.col("score").alias("signal"))
-            ids = search.symbols_for_refs(tests.select("path", "qualified_name"), self.g.symbols, self.g.files)
-            every = every.unionByName(tests.join(ids, ["path", "qualified_name"], "left").select(F.lit("test").alias("class"), "path", "qualified_name", "id", "signal"))
-        every = self._scaled(every.join(named, "id", "left"))
+        direct = context.direct_hits(self._hits(task, max(1, max_symbols)), self.g.symbols, self.g.files)
+        related = self._related(direct.select("id")) if include_tests else None
+        every = context.candidates(direct, self.g.symbols, self.g.files, self.g.adjacent if include_callers else None, related, max_files)
         ranked = search.rank_context(every, max(1, max_files)).orderBy(F.desc("score"), "path", "qualified_name").limit(max_symbols)
         rows = [r.asDict() | {"relevance": round(max(0.1, 1 - 0.05 * (r["file_rank"] - 1)), 2)} for r in ranked.collect()]
         if self.g.scan_id != scan:
@@ -300,12 +286,6 @@ class Service:
         kept, more = self._within(rows, offset, state, max_tokens)
         return Page(kept, len(rows), more is not None, next_cursor=more)
 
-    @staticmethod
-    def _scaled(every: DataFrame) -> DataFrame:
-        """Signals over the largest of their own class, as lists of different origin have different scales."""
-        top = every.groupBy("class").agg(F.max("signal").alias("top"))
-        return every.join(F.broadcast(top), "class").withColumn("signal", F.when(F.col("top") > 0, F.col("signal") / F.col("top")).otherwise(F.col("signal"))).drop("top")
-
     @staticmethod
     def _within(rows: list[dict], offset: int, state: dict, budget: int) -> tuple[list[dict], str | None]:
         """The greedy prefix of the rows from ``offset`` whose answer, envelope and cursor included, measures at most ``budget`` tokens; ValueError if not one fits."""
