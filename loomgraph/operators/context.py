@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators import graph, search
-from loomgraph.storage import stash
+from loomgraph.storage import settle
 
 #: Seeds whose neighbours are taken in, neighbours a side, and related tests a file. Fixed values.
 SEEDS, FANOUT, TESTS = 30, 10, 10
@@ -14,8 +14,8 @@ SEEDS, FANOUT, TESTS = 30, 10, 10
 
 def direct_hits(hits: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
     """(path, qualified_name, id, signal) for hits(path, qualified_name, score): the symbol that each names."""
-    signal = stash(hits.select("path", "qualified_name", F.col("score").alias("signal")), "hits")
-    return stash(search.symbols_for_refs(signal.select("path", "qualified_name"), symbols, files).join(signal, ["path", "qualified_name"]), "direct")
+    signal = settle(hits.select("path", "qualified_name", F.col("score").alias("signal")), "hits")
+    return settle(search.symbols_for_refs(signal.select("path", "qualified_name"), symbols, files).join(signal, ["path", "qualified_name"]), "direct")
 
 
 def candidates(direct: DataFrame, symbols: DataFrame, files: DataFrame, edges: DataFrame | graph.Adjacency | None, related: DataFrame | None, max_files: int = 10) -> DataFrame:
@@ -34,7 +34,7 @@ def candidates(direct: DataFrame, symbols: DataFrame, files: DataFrame, edges: D
         tests = first.groupBy("path", F.col("symbol").alias("qualified_name")).agg(F.max("score").alias("signal"))
         ids = search.symbols_for_refs(tests.select("path", "qualified_name"), symbols, files)
         every = every.unionByName(tests.join(ids, ["path", "qualified_name"], "left").select(F.lit("test").alias("class"), "path", "qualified_name", "id", "signal"))
-    every = stash(every, "candidates")
+    every = settle(every, "candidates")
     top = every.groupBy("class").agg(F.max("signal").alias("top"))  # a row per class
     scaled = every.join(F.broadcast(top), "class").withColumn("signal", F.when(F.col("top") > 0, F.col("signal") / F.col("top")).otherwise(F.col("signal"))).drop("top")
     return scaled.join(symbols.select("id", "name", "stable_key"), "id", "left")

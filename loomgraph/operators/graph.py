@@ -19,7 +19,9 @@ from loomgraph.storage import stash, stash_by
 MAX_DEPTH = 10
 #: Up to so many ids are looked up by a filter that reaches the files' statistics; more by a join.
 FEW = 1000
-#: Seeds of a context, at most, that are broadcast. Fixed value.
+#: Up to so many ids of a closure are kept by the driver, 2 MB; more in the shared folder.
+LOCAL_IDS = 200_000
+#: Seeds of a context, at most, whose edges are looked up by their ids. Fixed value.
 SEEDS = 200
 #: Pairs of files that one task takes in; what is left of a larger graph is reduced by joins first.
 LOCAL_PAIRS = 2_000_000
@@ -94,27 +96,55 @@ def all_callees(edges: DataFrame | Adjacency, unbound: DataFrame, symbols: DataF
     return symbols.join(callees(edges, sources, symbols).select("id").unionByName(meant).distinct(), "id", "left_semi")
 
 
+def _found(edges: DataFrame, column: str, ids: DataFrame | list[int], other: str) -> DataFrame:
+    """(id): the other ends of the edges whose ``column`` is one of ``ids``."""
+    if isinstance(ids, list) and len(ids) > FEW:
+        ids = F.broadcast(_ids(edges, ids))  # LOCAL_IDS at most
+        hit = edges.join(ids.select(F.col("id").alias(column)), column, "left_semi")
+    elif isinstance(ids, list):
+        hit = edges.where(F.col(column).isin(ids))
+    else:
+        hit = _touching(edges, column, ids)
+    return hit.select(F.col(other).alias("id"))
+
+
+def _ids(like: DataFrame, ids: list[int], depths: list[int] | None = None) -> DataFrame:
+    columns = {"id": pa.array(ids, pa.int64())} | ({} if depths is None else {"depth": pa.array(depths, pa.int32())})
+    schema = "id long" if depths is None else "id long, depth int"
+    return like.sparkSession.createDataFrame(pa.table(columns), schema) if ids else like.sparkSession.createDataFrame([], schema)
+
+
 def closure(edges: DataFrame | Adjacency, seeds: DataFrame, depth: int, both: bool = True) -> DataFrame:
     """(id, depth): what is reached from seeds (id) within ``depth`` steps, at its least depth; seeds only if reached again (depth 0 rows are left out).
 
-    A level's frontier is looked up in the edges; what was seen before drops out. Levels are
-    written to the shared folder, so plans stay short and lost executors cost one level. Small
-    frontiers are looked up by their ids, which prunes edges that are stored in order.
+    A level's frontier is looked up in the edges; what was seen before drops out. While no more
+    than LOCAL_IDS are reached the driver keeps them; beyond, levels are written to the shared
+    folder, so plans stay short and lost executors cost one level. Small frontiers are looked
+    up by their ids, which prunes edges that are stored in order.
     """
     if not 0 <= depth <= MAX_DEPTH:
         raise ValueError(f"depth must be 0 to {MAX_DEPTH}")
     adjacent = adjacency(edges)
-    frontier = seeds.select("id").distinct()
+    frontier: DataFrame | list[int] = seeds.select(F.col("id").cast("long").alias("id")).distinct()
+    held: dict[int, int] | None = {}
     seen = None
     for level in range(1, depth + 1):
-        near = _touching(adjacent.by_src, "src", frontier).select(F.col("dst").alias("id"))
+        near = _found(adjacent.by_src, "src", frontier, "dst")
         if both:
-            near = near.unionByName(_touching(adjacent.by_dst, "dst", frontier).select(F.col("src").alias("id")))
-        fresh = near.distinct() if seen is None else near.distinct().join(seen, "id", "left_anti")
-        fresh = stash(fresh.withColumn("depth", F.lit(level)), "level")
-        seen = fresh if seen is None else seen.unionByName(fresh)
-        frontier = fresh.select("id")
-    return seen if seen is not None else frontier.withColumn("depth", F.lit(0)).limit(0)
+            near = near.unionByName(_found(adjacent.by_dst, "dst", frontier, "src"))
+        near = near.distinct()
+        if held is not None:
+            found = near.limit(LOCAL_IDS + 1).toArrow()["id"].to_pylist()
+            fresh = [i for i in found if i not in held]
+            if len(found) <= LOCAL_IDS and len(held) + len(fresh) <= LOCAL_IDS:
+                held.update(dict.fromkeys(fresh, level))
+                frontier = fresh
+                continue
+            seen, held = stash(_ids(near, list(held), list(held.values())), "level"), None
+        fresh_ids = stash(near.join(seen, "id", "left_anti").withColumn("depth", F.lit(level)), "level")
+        seen = seen.unionByName(fresh_ids)
+        frontier = fresh_ids.select("id")
+    return F.broadcast(_ids(adjacent.by_src, list(held), list(held.values()))) if held is not None else seen
 
 
 def impact(edges: DataFrame | Adjacency, symbols: DataFrame, seeds: DataFrame, depth: int = 2, files: DataFrame | None = None) -> DataFrame:
@@ -420,11 +450,14 @@ def attribute(points: DataFrame, spans: DataFrame) -> DataFrame:
 def seed_neighbours(edges: DataFrame | Adjacency, seeds: DataFrame, symbols: DataFrame, fanout: int = 10) -> DataFrame:
     """(seed, side, id, place): up to ``fanout`` callers and callees of each seed in canonical order."""
     adjacent = adjacency(edges)
-    s = seeds.select(F.col("id").alias("seed")).distinct()
-    if s.limit(SEEDS + 1).count() <= SEEDS:
-        s = F.broadcast(s)
-    up = adjacent.by_dst.join(s, F.col("dst") == F.col("seed")).select("seed", F.lit("caller").alias("side"), F.col("src").alias("id"))
-    down = adjacent.by_src.join(s, F.col("src") == F.col("seed")).select("seed", F.lit("callee").alias("side"), F.col("dst").alias("id"))
+    few = [r[0] for r in seeds.select("id").distinct().limit(SEEDS + 1).collect()]
+    if len(few) <= SEEDS:
+        into, out = adjacent.by_dst.where(F.col("dst").isin(few)), adjacent.by_src.where(F.col("src").isin(few))
+    else:
+        s = seeds.select("id").distinct()
+        into, out = adjacent.by_dst.join(s.withColumnRenamed("id", "dst"), "dst", "left_semi"), adjacent.by_src.join(s.withColumnRenamed("id", "src"), "src", "left_semi")
+    up = into.select(F.col("dst").alias("seed"), F.lit("caller").alias("side"), F.col("src").alias("id"))
+    down = out.select(F.col("src").alias("seed"), F.lit("callee").alias("side"), F.col("dst").alias("id"))
     near = up.unionByName(down).distinct().join(symbols.select("id", "qualified_name", "start_line"), "id")
     order = Window.partitionBy("seed", "side").orderBy("qualified_name", "start_line", "id")
     return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= fanout).select("seed", "side", "id", "place")

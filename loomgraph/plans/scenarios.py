@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.operators import graph, inventory, resolve, search
+from loomgraph.operators import context, graph, inventory, resolve, search
 from loomgraph.plans import fixture, ingest
 from loomgraph.storage import stash
 
@@ -39,16 +39,13 @@ def scenarios(g: fixture.Graph) -> dict[str, Callable[[], DataFrame]]:
     at = targets(g)
     adjacent = graph.Adjacency(ingest.in_order(g.edges, "src"), ingest.in_order(g.edges, "dst"))
     one = lambda which: g.symbols.where(F.col("id") == which)
-    path = g.files.select(F.col("id").alias("file_id"), "path")
     bound = stash(resolve.bind_test_links(g.test_links, g.symbols, g.files, g.test_files), "bound-links")
     order = ["qualified_name", "start_line", "id"]
 
-    def context() -> DataFrame:
-        hits = search.semantic(g.symbols, g.files, "red_widget brand1", 30).select("path", "qualified_name", F.col("score").alias("signal"))
-        direct = search.symbols_for_refs(hits.select("path", "qualified_name"), g.symbols, g.files).join(hits, ["path", "qualified_name"])
-        near = graph.seed_neighbours(adjacent, direct, g.symbols, 10).select(F.col("side").alias("class"), "id").distinct().join(g.symbols, "id").join(path, "file_id")
-        every = direct.select(F.lit("direct").alias("class"), "path", "qualified_name", "id", "signal").unionByName(near.select("class", "path", "qualified_name", "id", F.lit(1.0).alias("signal")))
-        return search.rank_context(every, 10)
+    def task() -> DataFrame:
+        direct = context.direct_hits(search.semantic(g.symbols, g.files, "red_widget brand1", 30), g.symbols, g.files)
+        related = resolve.related_tests(bound, g.test_calls, g.tests, g.test_files, direct.select("id"))
+        return search.rank_context(context.candidates(direct, g.symbols, g.files, adjacent, related), 10)
 
     return {
         "graph_stats": lambda: inventory.stats(g.files, g.symbols, g.edges),
@@ -61,7 +58,7 @@ def scenarios(g: fixture.Graph) -> dict[str, Callable[[], DataFrame]]:
         "impact_radius": lambda: graph.impact(adjacent, g.symbols, one(at["hub"]), 2),
         "trace_dependencies": lambda: graph.trace(adjacent, one(at["source"]), "downstream", 3),
         "dead_code": lambda: inventory.dead_code(g.symbols, g.edges, g.files),
-        "context_for_task": context,
+        "context_for_task": task,
         "architecture_overview": lambda: inventory.overview(g.files, g.symbols, g.edges),
         "search_semantic": lambda: search.semantic(g.symbols, g.files, "red_widget brand1", 20),
     }

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 _made: dict[str, tuple[SparkSession, str]] = {}
@@ -43,6 +44,14 @@ def stash(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle(df: DataFrame, label: str, most: int = 10_000) -> DataFrame:
+    """``df`` as rows that are there: up to ``most`` are kept by the driver and marked for broadcast, more are stashed."""
+    found = df.limit(most + 1).toArrow()
+    if found.num_rows > most:
+        return stash(df, label)
+    return F.broadcast(df.sparkSession.createDataFrame(found, df.schema) if found.num_rows else df.sparkSession.createDataFrame([], df.schema))
+
+
 def stash_by(df: DataFrame, label: str, column: str) -> DataFrame:
     """As ``stash``, in as many buckets by ``column`` as shuffles have partitions, so that joins and sums by it need not move the rows again."""
     spark = df.sparkSession
