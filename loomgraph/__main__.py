@@ -1,4 +1,4 @@
-"""python -m loomgraph ROOT: index a tree, then answer JSON-RPC requests from standard input, one a line or framed by Content-Length."""
+"""python -m loomgraph COMMAND ROOT ...: a command of ``cli``; serve ROOT, or ROOT alone, indexes a tree and answers JSON-RPC requests from standard input, one a line or framed by Content-Length."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from typing import IO
 
 from pyspark.sql import SparkSession
 
-from loomgraph import tools
+from loomgraph import cli, tools
 from loomgraph.plans import ingest
 from loomgraph.service import Service
 
@@ -54,11 +54,16 @@ def answers(service: Service, lines: Iterable[str]) -> Iterator[str]:
             yield json.dumps(out, default=str)
 
 
-def main() -> None:
+def main() -> int:
     spark = SparkSession.builder.appName("loomgraph").getOrCreate()
-    for line in answers(Service(ingest.index(spark, sys.argv[1]), root=sys.argv[1]), requests(sys.stdin.buffer)):
+    given = sys.argv[1:]
+    if len(given) != 1 and given[:1] != ["serve"]:
+        return cli.run(spark, given)
+    root = given[-1]
+    for line in answers(Service(ingest.index(spark, root), root=root), requests(sys.stdin.buffer)):
         print(line, flush=True)
+    return 0
 
 
 if __name__ == "__main__":
-    main()
+    sys.exit(main())

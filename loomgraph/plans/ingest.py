@@ -55,6 +55,57 @@ class Index:
         return graph.Adjacency(self.by_src, self.by_dst)
 
 
+#: The tables of an index that are kept.
+TABLES = ("files", "symbols", "imports", "calls", "test_links", "modules")
+
+
+def _filesystem(spark: SparkSession, folder: str):
+    """Hadoop's file system of a folder, and its Path class."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return path(folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path
+
+
+def save(found: Index, folder: str) -> str:
+    """Keep an index as tables below ``folder``/scan=number, which is whole once its last file, DONE, is there; the place."""
+    spark = found.files.sparkSession
+    place = f"{folder.rstrip('/')}/scan={found.scan_id:010d}"
+    for name in TABLES:
+        table = getattr(found, name)
+        (spark.createDataFrame([], "module string, folder string") if table is None else table).write.mode("overwrite").option("compression", "zstd").parquet(f"{place}/{name}")
+    files, path = _filesystem(spark, place)
+    files.create(path(f"{place}/DONE"), True).close()
+    return place
+
+
+def load(spark: SparkSession, folder: str) -> Index:
+    """The newest whole index below ``folder``; ValueError if there is none."""
+    files, path = _filesystem(spark, folder)
+    found = []
+    if files.exists(path(folder)):
+        for status in files.listStatus(path(folder)):
+            name = status.getPath().getName()
+            if name.startswith("scan=") and files.exists(path(status.getPath(), "DONE")):
+                found.append(int(name.removeprefix("scan=")))
+    if not found:
+        raise ValueError("repo not indexed")
+    place = f"{folder.rstrip('/')}/scan={max(found):010d}"
+    return Index(**{name: spark.read.parquet(f"{place}/{name}") for name in TABLES}, scan_id=max(found))
+
+
+def clean(spark: SparkSession, folder: str, keep: int = 1) -> int:
+    """Remove all but the newest ``keep`` whole indexes below ``folder``, and those that never got whole; how many went."""
+    files, path = _filesystem(spark, folder)
+    if not files.exists(path(folder)):
+        return 0
+    every = sorted((s.getPath() for s in files.listStatus(path(folder)) if s.getPath().getName().startswith("scan=")), key=lambda p: p.getName())
+    whole = [p for p in every if files.exists(path(p, "DONE"))]
+    stay = {p.toString() for p in whole[max(0, len(whole) - keep) :]} if keep else set()
+    gone = [p for p in every if p.toString() not in stay]
+    for p in gone:
+        files.delete(p, True)
+    return len(gone)
+
+
 def in_order(edges: DataFrame, column: str) -> DataFrame:
     """Edges written in ranges of ``column``, sorted by it, so that a lookup reads the row groups that can hold its ids."""
     return stash(edges.select("src", "dst").repartitionByRange(column).sortWithinPartitions(column), f"by-{column}")

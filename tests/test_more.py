@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph import agent
+from loomgraph import agent, cli
 from loomgraph.__main__ import answers, requests
 from loomgraph.operators import inventory, quality, search, store
 from loomgraph.plans import ingest, maintenance, scenarios
@@ -206,3 +206,24 @@ def test_usage_beyond_the_keys_is_one_row(spark):
     calls = spark.createDataFrame([(f"t{k}", k) for k in range(1, 21)], "tool string, size long")
     got = {r.tool: r.bytes for r in inventory.usage(calls, ["tool"], "size", keys=18).collect()}
     assert len(got) == 19 and got["overflow"] == 3
+
+
+def test_commands_over_a_kept_index(spark, tmp_path):
+    tree(tmp_path, {"a.py": "def one():\n    two()\n\ndef two():\n    pass\n", "tests/test_a.py": "def test_two():\n    two()\n"})
+    root, said = str(tmp_path), []
+    go = lambda *argv: (cli.run(spark, list(argv), said.append), said[-1])
+    assert go("version") == (0, cli.VERSION) and go("help")[0] == 0
+    assert go("find_callers", root, "--symbol", "two")[0] == 1 and json.loads(said[-1])["error"] == "repo not indexed"
+    assert go("index", root)[0] == 0 and json.loads(said[-1])["files_seen"] == 2
+    code, out = go("find_callers", root, "--symbol=two", "--limit", "5")
+    assert code == 0 and [r["qualified_name"] for r in json.loads(out)["data"]] == ["a.one", "test_a.test_two"]
+    (tmp_path / "a.py").write_text("def two():\n    pass\n")
+    assert go("update-graph", root)[0] == 0 and json.loads(said[-1])["files_changed"] == 1
+    assert [r["qualified_name"] for r in json.loads(go("find_callers", root, "--symbol", "two")[1])["data"]] == ["test_a.test_two"]
+    assert json.loads(go("affected_tests", root, "--files", "a.py", "--files", "b.py")[1])["data"][0]["symbol"] == "test_a.test_two"
+    assert go("audit", root, "--fail-on", "warning")[0] in (0, 1) and go("doctor", root)[0] == 0 and go("stats", root)[0] == 0
+    assert "digraph" in go("graph", root, "--format", "dot")[1] and go("graph", root, "--symbol", "two")[0] == 0 and "canvas" in go("visualize", root)[1]
+    assert json.loads(go("clean", root)[1]) == {"removed": 1} and go("stats", root)[0] == 0
+    assert go("stats", root, "--nothing", "1")[0] == 1
+    with pytest.raises(ValueError):
+        cli.parse(["x", "--y"])
