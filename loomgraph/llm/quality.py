@@ -136,7 +136,12 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranking:
-    """Fit on the documents of at most ``sample`` labelled rows that are not held out; rows with a null id or label are no labels."""
+    """Fit on the documents of at most ``sample`` labelled rows that are not held out, those with the least hashes of their ids.
+
+    Rows with a null id or label are no labels; of a doc_id that is labelled twice the last by id and
+    label counts, and of one that several documents have the least label and features. Null texts
+    count as empty. Without labels or documents, or with labels of one kind, every text has the same score.
+    """
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
         .where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~is_held_out(F.col("doc_id")))
@@ -179,7 +184,11 @@ def score_quality(docs: DataFrame, ranking: Ranking) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, ranking: Ranking) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores at least the ranking's cut."""
+    """The rows of ``docs``, all columns whatever their names, whose text scores at least the ranking's cut.
+
+    Null texts are judged as empty ones; null ids and repeated rows are rows like any other; an
+    empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(ranking)
     at = docs.columns.index("text")
 

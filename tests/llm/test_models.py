@@ -7,6 +7,7 @@ from pyspark.sql import Row
 import corpus_pipeline
 from loomgraph.llm import lm_scoring as lm
 from loomgraph.llm import quality
+from tests.llm.test_native import water
 from tests.llm.test_near_dedup import brute
 from tests.llm.test_tokens import WORDS, check_packing, whole
 
@@ -200,6 +201,16 @@ def test_pipeline_stages_against_brute_force(spark):
     for r in mixed.collect():
         copies[r.doc_id] = copies.get(r.doc_id, 0) + 1
     assert max(copies.values()) <= 3
+    # each source's words come near the target that its share of this stage's input gives
+    sizes = {r.doc_id: (r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in single.collect()}
+    by_source = {}
+    for s, n in sizes.values():
+        by_source[s] = by_source.get(s, 0) + n
+    goal = water(by_source, (1.0, 2.0, 3.0), 3.0)
+    for s in by_source:
+        rate = goal[s] / by_source[s] if by_source[s] else 0
+        off = sum(n * n for x, n in sizes.values() if x == s) * (rate % 1) * (1 - rate % 1)
+        assert abs(sum(n * copies.get(d, 0) for d, (x, n) in sizes.items() if x == s) - goal[s]) <= 4.5 * off**0.5 + 1
     packed = corpus_pipeline.STAGES[3][1](spark, mixed, folder).collect()
     rows = mixed.select("doc_id", "text").distinct().collect()
     length = {r.doc_id: len(ids) + 1 for r, ids in zip(rows, whole(WORDS, [r.text for r in rows]), strict=True)}
