@@ -734,9 +734,9 @@ def semantic_hits(g, spark, folder):
     return search.semantic(g.symbols, g.files, "Brand1 red_widget", 40).withColumn("why", F.array_join("why", ","))
 
 
-@_query("SELECT id, round(1 - (row_number() OVER (ORDER BY path, qualified_name, id) - 1) / count(*) OVER ()::DOUBLE, 6) AS signal FROM symbols s JOIN (SELECT id AS file_id, path FROM files) USING (file_id) WHERE kind = 'class'")
+@_query("SELECT id, round(1 - (row_number() OVER (ORDER BY path, qualified_name, id) - 1) / count(*) OVER ()::DOUBLE, 6) AS signal FROM symbols s JOIN (SELECT id AS file_id, path FROM files) USING (file_id)")
 def signals_by_rank(g, spark, folder):
-    named = g.symbols.where("kind = 'class'").join(g.files.select(F.col("id").alias("file_id"), "path"), "file_id")
+    named = g.symbols.join(g.files.select(F.col("id").alias("file_id"), "path"), "file_id")
     return search.normalised(named.select("path", "qualified_name", "id", F.lit(0.0).alias("signal"))).select("id", F.round("signal", 6).alias("signal"))
 
 
