@@ -20,8 +20,8 @@ from loomgraph.storage import stash
 
 RATE, UNIT = 8000, 64
 PCM, ALAW, MULAW, IMA_ADPCM = 1, 6, 7, 0x11
-#: Samples that are decoded at once.
-WINDOW = 1 << 20
+#: Bytes of media that are decoded together, and samples that are worked on at once within a long file.
+WINDOW, CHUNK = 1 << 19, 1 << 17
 
 
 def _mulaw_table() -> np.ndarray:
@@ -116,8 +116,8 @@ def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
         return pcm.astype(np.int16)
     n = max(1, len(pcm) * to // rate)
     out = np.empty(n, np.int16)
-    for lo in range(0, n, WINDOW):
-        at = np.arange(lo, min(n, lo + WINDOW), dtype=np.int64) * rate
+    for lo in range(0, n, CHUNK):
+        at = np.arange(lo, min(n, lo + CHUNK), dtype=np.int64) * rate
         k, part = at // to, at % to
         a, b = pcm[k].astype(np.int64), pcm[np.minimum(k + 1, len(pcm) - 1)].astype(np.int64)
         out[lo : lo + len(at)] = a + (b - a) * part // to
@@ -137,8 +137,8 @@ def low_pass(pcm: np.ndarray, rate: int, to: int, half: int = 16) -> np.ndarray:
     taps /= taps.sum()
     out = np.empty(len(pcm), np.int16)
     room = np.concatenate([np.full(reach, pcm[0]), pcm, np.full(reach, pcm[-1])]).astype(np.float64)
-    for lo in range(0, len(pcm), WINDOW):
-        part = room[lo : min(len(pcm), lo + WINDOW) + 2 * reach]
+    for lo in range(0, len(pcm), CHUNK):
+        part = room[lo : min(len(pcm), lo + CHUNK) + 2 * reach]
         out[lo : lo + len(part) - 2 * reach] = np.clip(np.rint(np.convolve(part, taps, "valid")), -32768, 32767)
     return out
 
@@ -151,8 +151,13 @@ def describe(pcm: np.ndarray) -> str:
     """Length, peak, root mean square and sign changes of samples, in whole numbers."""
     if not len(pcm):
         return "0/0/0/0"
-    wide = pcm.astype(np.int64)
-    return f"{len(pcm)}/{int(np.abs(wide).max())}/{int(np.sqrt(float(np.dot(wide, wide)) / len(wide)))}/{int(np.count_nonzero((wide[1:] < 0) != (wide[:-1] < 0)))}"
+    peak, power, turns = 0, 0, 0
+    for lo in range(0, len(pcm), CHUNK):
+        wide = pcm[lo : lo + CHUNK + 1].astype(np.int64)  # one more, for the change of sign between chunks
+        own = wide[:CHUNK]
+        peak, power = max(peak, int(np.abs(own).max())), power + int(np.dot(own, own))
+        turns += int(np.count_nonzero((wide[1:] < 0) != (wide[:-1] < 0)))
+    return f"{len(pcm)}/{peak}/{int(np.sqrt(float(power) / len(pcm)))}/{turns}"
 
 
 def store_media(docs: DataFrame, kind: int = MULAW) -> DataFrame:
@@ -220,6 +225,7 @@ def media_features(table: DataFrame, to: int = 16000) -> DataFrame:
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
                 lo += len(files)
+                pa.default_memory_pool().release_unused()
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names)
 
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm"]
