@@ -288,5 +288,7 @@ def archive_pages(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     again = stash(plan_revisits(rows, least), "revisits").withColumnRenamed("page_id", "__page")
     same = (F.col("page_id") == F.col("__page")) & (F.sha1(F.coalesce("html", F.lit("")).cast("binary")) == F.col("digest"))
-    told = rows.join(again, same, "left").select("page_id", "url", "html", "refers_to")
+    told = rows.where("page_id is not null").join(again, same, "left").select("page_id", "url", "html", "refers_to")
+    # pages without an id refer to nothing and need not meet in one task
+    told = told.unionByName(rows.where("page_id is null").withColumn("refers_to", F.lit(None).cast("long")))
     return read_archives(write_archives(told, work_dir(pages.sparkSession, "warc")))
