@@ -148,10 +148,10 @@ def closure(edges: DataFrame | Adjacency, seeds: DataFrame, depth: int, both: bo
 
 
 def impact(edges: DataFrame | Adjacency, symbols: DataFrame, seeds: DataFrame, depth: int = 2, files: DataFrame | None = None) -> DataFrame:
-    """Symbols within ``depth`` steps either way, with the depth. Seeds are in it only if reached again; the symbols of ``files`` (file_id) are seeds too and always in it, at depth 0."""
+    """Symbols within ``depth`` steps either way, with the depth; all symbols of an id that is reached. Seeds are in it only if reached again; the symbols of ``files`` (file_id) are seeds too and always in it, at depth 0."""
     if files is None:
         return symbols.join(closure(edges, seeds, depth), "id")
-    inside = symbols.join(files.select("file_id").distinct(), "file_id", "left_semi").select("id")
+    inside = symbols.join(files.select("file_id").distinct(), "file_id", "left_semi").select("id").distinct()
     reached = closure(edges, seeds.select("id").unionByName(inside), depth)
     return symbols.join(reached.join(inside, "id", "left_anti").unionByName(inside.withColumn("depth", F.lit(0))), "id")
 

@@ -47,3 +47,7 @@ def test_places_of_repeated_ids(spark, side):
     symbols = spark.createDataFrame([(1, "a", 1), (1, "b", 1), (2, "c", 1), (3, "d", 1)], "id long, qualified_name string, start_line long")
     assert [tuple(r) for r in inventory.top_degree(edges, symbols, side, 3).collect()] == [(1, "a", 3), (1, "a", 3), (1, "b", 3)]
     assert sorted(tuple(r) for r in inventory.busiest(edges, symbols, side, 4).collect()) == [("a", 3), ("b", 3), ("c", 1), ("d", 0)]
+
+
+def test_impact_of_files(spark, folder):
+    check(spark, folder, "impact_of_files")
