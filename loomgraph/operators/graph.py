@@ -367,49 +367,73 @@ def cycle_paths(edges: DataFrame, symbols: DataFrame, files: DataFrame, limit: i
 
 
 class _Inner:
-    """Spans seen so far, of which one holds a later span best: by increasing end, with increasing (length, id); all others are beaten by one of these."""
+    """Spans seen so far, as the two best for each end: by increasing end, the least (length, id) of those that end there or later and the least of those with another id."""
 
     def __init__(self):
-        self.ends, self.keys = [], []
+        self.ends, self.tops = [], []
 
-    def best(self, end: int) -> int | None:
+    def best(self, end: int, own: int) -> tuple[int, int] | None:
+        """(length, id) of the shortest span up to ``end`` or further whose id is not ``own``."""
         at = bisect.bisect_left(self.ends, end)
-        return self.keys[at][1] if at < len(self.ends) else None
+        if at == len(self.ends):
+            return None
+        first, second = self.tops[at]
+        return second if first[1] == own else first
+
+    @staticmethod
+    def _with(top: tuple, key: tuple[int, int]) -> tuple:
+        first, second = top
+        if first is None or key[1] == first[1]:
+            return (key if first is None or key < first else first), second
+        if key < first:
+            return key, first
+        return (first, key) if second is None or key < second else top
 
     def add(self, start: int, end: int, which: int) -> None:
         key, at = (end - start, which), bisect.bisect_left(self.ends, end)
-        if at < len(self.ends) and self.keys[at] <= key:
+        after = self.tops[at] if at < len(self.ends) else (None, None)
+        top = self._with(after, key)
+        if top == after:  # nor does it better any earlier end
             return
         to = at + (at < len(self.ends) and self.ends[at] == end)
-        while at > 0 and self.keys[at - 1] >= key:
+        ends, tops = [end], [top]
+        while at > 0 and (top := self._with(self.tops[at - 1], key)) != self.tops[at - 1]:
             at -= 1
-        self.ends[at:to], self.keys[at:to] = [end], [key]
+            if top != tops[-1]:
+                ends.append(self.ends[at])
+                tops.append(top)
+        if at > 0 and self.tops[at - 1] == tops[-1]:
+            at -= 1
+        self.ends[at:to], self.tops[at:to] = ends[::-1], tops[::-1]
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by file, start, falling end, with the symbols of a span before its containers."""
     file, held = None, _Inner()
     for batch in batches:
-        ids, owners = [], []
+        ids, owners, spans = [], [], []
         for f, start, end, which, role in zip(*(batch.column(c).to_pylist() for c in ("file_id", "start_line", "end_line", "id", "role")), strict=True):
             if f != file:
                 file, held = f, _Inner()
             if role:
                 held.add(start, end, which)
-            elif (owner := held.best(end)) is not None:
+            elif (owner := held.best(end, which)) is not None:
                 ids.append(which)
-                owners.append(owner)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(owners, pa.int64())], ["id", "container"])
+                spans.append(owner[0])
+                owners.append(owner[1])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(spans, pa.int64()), pa.array(owners, pa.int64())], ["id", "span", "container"])
 
 
 def members(symbols: DataFrame, containers: DataFrame) -> DataFrame:
     """(id, container): the innermost container whose span of lines holds a symbol's, in the same file, and is larger; of equally long ones the least id.
 
+    An id that several symbols bear has one row, with the innermost of all their containers, and none of its own spans is one.
     One sort and one sweep per file, whatever its symbols: what a task holds is the spans still open.
     """
     rows = lambda df, role: df.select(F.col("file_id").cast("long").alias("file_id"), F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), F.col("id").cast("long").alias("id"), F.lit(role).alias("role"))
     every = rows(symbols, 0).unionByName(rows(containers, 1)).where("file_id is not null and start_line is not null and end_line is not null")
-    return every.repartition("file_id").sortWithinPartitions("file_id", "start_line", F.desc("end_line"), "role", "id").mapInArrow(_members, "id long, container long")
+    held = every.repartition("file_id").sortWithinPartitions("file_id", "start_line", F.desc("end_line"), "role", "id").mapInArrow(_members, "id long, span long, container long")
+    return held.groupBy("id").agg(F.min(F.struct("span", "container")).alias("best")).select("id", "best.container")
 
 
 def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,12 +1,13 @@
 """Ids that two symbols bear: parts whose keys reach the suppliers' ids, as they do in tables sixty times as large as sf0.1."""
 
 import os
+import random
 
 import duckdb
 import pytest
 
 from loomgraph import queries
-from loomgraph.operators import inventory
+from loomgraph.operators import graph, inventory
 from tests.test_catalogue import SF, plain
 
 SHIFT = {"part": ["p_partkey"], "lineitem": ["l_partkey"]}
@@ -51,3 +52,20 @@ def test_places_of_repeated_ids(spark, side):
 
 def test_impact_of_files(spark, folder):
     check(spark, folder, "impact_of_files")
+
+
+def test_symbol_members(spark, folder):
+    check(spark, folder, "symbol_members")
+
+
+def test_members_by_pairs(spark):
+    """Random spans in which ids come again within a file and across files, against all pairs."""
+    draw = random.Random(3)
+    rows = [(draw.randrange(120), draw.randrange(4), a, a + draw.randrange(1, 40)) for a in (draw.randrange(60) for _ in range(400))]
+    want = {}
+    for i, f, a, b in rows:
+        for j, g, c, d in rows:
+            if f == g and i != j and c <= a and b <= d and (c, d) != (a, b):
+                want[i] = min(want.get(i, (1000, 0)), (d - c, j))
+    symbols = spark.createDataFrame(rows, "id long, file_id long, start_line long, end_line long")
+    assert sorted(tuple(r) for r in graph.members(symbols, symbols).collect()) == sorted((i, j) for i, (_, j) in want.items())
