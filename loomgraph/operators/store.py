@@ -113,8 +113,8 @@ def replace_rows(stored: DataFrame, changed: DataFrame, parsed: DataFrame | None
 
 
 def unbind(calls: DataFrame, gone: DataFrame) -> DataFrame:
-    """``calls`` (dst, strategy, confidence, ...) in which bindings to symbols that are gone (id) and their metadata are cleared."""
-    lost = gone.select(F.col("id").alias("dst"), F.lit(True).alias("__lost"))
+    """``calls`` (dst, strategy, confidence, ...) in which bindings to symbols that are gone (id) and their metadata are cleared; an id may be given more than once."""
+    lost = gone.select(F.col("id").alias("dst"), F.lit(True).alias("__lost")).distinct()
     joined = calls.join(lost, "dst", "left")
     return joined.select(*[F.when(F.col("__lost").isNull(), F.col(c)).alias(c) if c in ("dst", "strategy", "confidence") else F.col(c) for c in calls.columns])
 
@@ -122,7 +122,7 @@ def unbind(calls: DataFrame, gone: DataFrame) -> DataFrame:
 def unbind_tests(links: DataFrame, gone: DataFrame, gone_files: DataFrame) -> DataFrame:
     """Test links without those from files that are gone (file_id), and without targets that are."""
     kept = links.join(gone_files.select(F.col("file_id").alias("test_file_id")).distinct(), "test_file_id", "left_anti")
-    kept = kept.join(gone.select(F.col("id").alias("target_symbol_id"), F.lit(True).alias("__lost")), "target_symbol_id", "left")
+    kept = kept.join(gone.select(F.col("id").alias("target_symbol_id"), F.lit(True).alias("__lost")).distinct(), "target_symbol_id", "left")
     kept = kept.join(gone_files.select(F.col("file_id").alias("target_file_id"), F.lit(True).alias("__away")).distinct(), "target_file_id", "left")
     return kept.withColumn("target_symbol_id", F.when(F.col("__lost").isNull(), F.col("target_symbol_id"))).withColumn("target_file_id", F.when(F.col("__away").isNull(), F.col("target_file_id"))).select(*links.columns)
 

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from loomgraph import queries
-from loomgraph.operators import graph, inventory
+from loomgraph.operators import graph, inventory, store
 from tests.test_catalogue import SF, plain
 
 SHIFT = {"part": ["p_partkey"], "lineitem": ["l_partkey"]}
@@ -69,3 +69,15 @@ def test_members_by_pairs(spark):
                 want[i] = min(want.get(i, (1000, 0)), (d - c, j))
     symbols = spark.createDataFrame(rows, "id long, file_id long, start_line long, end_line long")
     assert sorted(tuple(r) for r in graph.members(symbols, symbols).collect()) == sorted((i, j) for i, (_, j) in want.items())
+
+
+def test_unbound_after_change(spark, folder):
+    check(spark, folder, "unbound_after_change")
+
+
+def test_calls_are_unbound_once(spark):
+    calls = spark.createDataFrame([(1, 5, "x", "high"), (2, 6, "x", "high")], "src long, dst long, strategy string, confidence string")
+    gone = spark.createDataFrame([(5,), (5,)], "id long")
+    assert sorted(tuple(r) for r in store.unbind(calls, gone).collect()) == [(1, None, None, None), (2, 6, "x", "high")]
+    links = spark.createDataFrame([(1, 2, 5, 3)], "test_file_id long, test_symbol_id long, target_symbol_id long, target_file_id long")
+    assert [tuple(r) for r in store.unbind_tests(links, gone, spark.createDataFrame([(9,)], "file_id long")).collect()] == [(1, 2, None, 3)]
