@@ -83,7 +83,7 @@ def all_callers(edges: DataFrame | Adjacency, unbound: DataFrame, symbols: DataF
     near = unbound.join(spelled, ["language", "dst_name"]).join(place, "src", "left")
     bare = text.bare(F.col("dst_name"))
     in_scope = F.when(bare & (F.col("language") == "go"), F.col("package") == F.col("t_package")).when(bare & F.col("is_type") & F.col("language").isin(*identity.GATED), F.col("file_id") == F.col("t_file")).otherwise(True)
-    longer = identity.extending_callers(unbound, target).select(F.col("src").alias("id"))
+    longer = unbound.join(identity.extended_names(unbound, target), ["dst_name", "language"], "left_semi").select(F.col("src").alias("id"))
     hit = near.where(in_scope).select(F.col("src").alias("id")).unionByName(longer).distinct()
     bound = callers(edges, target, symbols).select("id")
     return symbols.join(bound.unionByName(hit).distinct(), "id", "left_semi")

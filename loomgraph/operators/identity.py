@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text
 from loomgraph.operators.resolve import TYPES
+from loomgraph.storage import stash
 
 #: Languages in which a type is seen from another file by import only. Fixed values.
 GATED = ("python", "typescript", "cpp")
@@ -54,10 +55,28 @@ def identity_cascade(names: DataFrame, symbols: DataFrame) -> DataFrame:
     return every.join(first, ["name", "language", "stage"], "left_semi")
 
 
+def extended_names(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(dst_name, language, id): distinct spellings of calls that extend the qualified name of a symbol of their language at a boundary.
+
+    Suffixes of the spellings are exploded and joined, so no pair of a name and a symbol is tried that does not match.
+    """
+    spelled = calls.select("dst_name", "language").distinct().withColumn("key", F.explode(F.array_distinct(text.boundary_suffixes(text.ascii_lower(F.col("dst_name")), slashes=True))))
+    return spelled.join(symbols.select("id", "language", text.ascii_lower(F.col("qualified_name")).alias("key")), ["key", "language"]).select("dst_name", "language", "id").distinct()
+
+
 def extending_callers(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     """(src, dst_name, id): unbound calls whose spelling extends the qualified name of a symbol of the call's language at a boundary.
 
-    Suffixes of the spellings are exploded and joined, so no pair of a call and a symbol is tried that does not match.
+    Names meet symbols before callers meet names, and both sides of the last join are distinct. A
+    caller, spelling and symbol that meet in several languages are kept in the first of these, so the
+    rows, which are far more than either side, are given as they are found and never shuffled.
     """
-    spelled = calls.select("src", "dst_name", "language").distinct().withColumn("key", F.explode(F.array_distinct(text.boundary_suffixes(text.ascii_lower(F.col("dst_name")), slashes=True))))
-    return spelled.join(symbols.select("id", "language", text.ascii_lower(F.col("qualified_name")).alias("key")), ["key", "language"]).select("src", "dst_name", "id").distinct()
+    pairs = stash(calls.select("src", "dst_name", "language").distinct(), "spelled")
+    meant = stash(extended_names(pairs, symbols), "meant")
+    pairs = pairs.join(meant.select("dst_name", "language").distinct(), ["dst_name", "language"], "left_semi")
+    languages = lambda name: F.collect_set("language").alias(name)
+    by = pairs.groupBy("src", "dst_name").agg(languages("by")).withColumn("language", F.explode("by"))
+    of = meant.groupBy("dst_name", "id").agg(languages("of")).withColumn("language", F.explode("of"))
+    # merged: `of` may be large, and a broadcast would be held whole
+    both = by.hint("merge").join(of.hint("merge"), ["dst_name", "language"])
+    return both.where(F.col("language") == F.array_min(F.array_intersect("by", "of"))).select("src", "dst_name", "id")
