@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import text
 from loomgraph.operators import identity
 from loomgraph.operators.resolve import TYPES
-from loomgraph.storage import stash, stash_by
+from loomgraph.storage import stash, stash_by, work_dir
 
 MAX_DEPTH = 10
 #: Up to so many ids are looked up by a filter that reaches the files' statistics; more by a join.
@@ -23,6 +23,12 @@ FEW = 1000
 LOCAL_IDS = 200_000
 #: Seeds of a context, at most, whose edges are looked up by their ids. Fixed value.
 SEEDS = 200
+#: Up to so many nodes have a number at the driver and, sent out, at each worker: 32 MB.
+LOCAL_NODES = 4_000_000
+#: Edges that are packed into one row.
+CHUNK = 1 << 18
+#: Such rows in one file: 16 MB at most.
+ROWS = 8
 #: Pairs of files that one task takes in; what is left of a larger graph is reduced by joins first.
 LOCAL_PAIRS = 2_000_000
 
@@ -174,20 +180,82 @@ def trace(edges: DataFrame | Adjacency, seeds: DataFrame, direction: str = "down
     return reached.join(seeds.select("id"), "id", "left_anti")
 
 
-def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
+def _rows_in(edges: DataFrame, ids) -> DataFrame:
+    """(into, begin, src), all binary: about CHUNK edges a row, grouped by target, each end as its place in the sorted ``ids`` (a broadcast)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+
+        def packed():
+            src, dst = (np.searchsorted(ids.value, np.concatenate([b[k] for b in held])).astype(np.int32) for k in (0, 1))
+            order = np.argsort(dst, kind="stable")
+            into, begin = np.unique(dst[order], return_index=True)
+            return pa.RecordBatch.from_arrays([pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (into, begin, src[order])], ["into", "begin", "src"])
+
+        for batch in batches:
+            held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("src", "dst")])
+            count += batch.num_rows
+            if count >= CHUNK:
+                yield packed()
+                held, count = [], 0
+        if count:
+            yield packed()
+
+    return edges.mapInArrow(run, "into binary, begin binary, src binary")
+
+
+def _pagerank_here(edges: DataFrame, out: DataFrame, nodes: DataFrame, rounds: int, damping: float) -> DataFrame:
+    """(id, rank) of at most LOCAL_NODES nodes: the driver keeps a number for each and sends them out, the edges stay where they are, and each round's sums come back."""
+    spark = edges.sparkSession
+    ids = np.sort(nodes.toArrow()["id"].to_numpy())
+    n, counted = len(ids), out.toArrow()
+    degree = np.ones(n)
+    degree[np.searchsorted(ids, counted["src"].to_numpy())] = counted["out"].to_numpy()
+    at = spark.sparkContext.broadcast(ids)
+    path, packed = work_dir(spark, "rows"), _rows_in(edges, at)
+    packed.write.option("compression", "zstd").option("maxRecordsPerFile", ROWS).parquet(path)  # a reader's batch takes in a file
+    rows = spark.read.schema(packed.schema).parquet(path)
+    rank = np.full(n, 1.0 / n)
+    for _ in range(rounds):
+        share = spark.sparkContext.broadcast(rank / degree)
+
+        def step(batches: Iterator[pa.RecordBatch], share=share) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sums = []
+                for begin, src in zip(batch.column("begin").to_pylist(), batch.column("src").to_pylist(), strict=True):
+                    sums.append(np.add.reduceat(share.value[np.frombuffer(src, np.int32)], np.frombuffer(begin, np.int32)).tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column("into"), pa.array(sums, pa.binary())], ["into", "sums"])
+
+        found = rows.mapInArrow(step, "into binary, sums binary").toArrow()
+        given = np.zeros(n)
+        for into, sums in zip(found["into"].to_pylist(), found["sums"].to_pylist(), strict=True):
+            given[np.frombuffer(into, np.int32)] += np.frombuffer(sums)  # a chunk has a target once
+        rank = (1 - damping) / n + damping * given
+        share.destroy()
+    at.destroy()
+    return stash(spark.createDataFrame(pa.table({"id": ids, "rank": rank}), "id long, rank double"), "ranks")
+
+
+def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, local: int = LOCAL_NODES) -> DataFrame:
     """(id, rank): multi-edges count, nodes without out-edges lose their mass, ranks rounded to six places.
 
-    Edges shrink to distinct pairs with weights first, kept in buckets by source, so a round
-    moves sums by target only: the pairs stay where they are. A node without in-edges has the
+    Edges are written once, by target. Up to ``local`` nodes a round sends a number for each to
+    the edges, which are packed by target, and brings back the sums. Beyond, edges shrink to
+    distinct pairs with weights, kept in buckets by source, so a round moves sums by target
+    only: the pairs stay where they are. A node without in-edges has the
     base rank in every round and needs no row. Ranks are written every fifth round.
     """
-    pairs = edges.where("src is not null and dst is not null").groupBy("src", "dst").agg(F.count("*").alias("n"))
-    pairs = stash(pairs, "pairs")
-    weighted = stash_by(pairs.join(pairs.groupBy("src").agg(F.sum("n").alias("out")), "src").select("src", "dst", (F.col("n") / F.col("out")).alias("w")), "weights", "src")
-    nodes = stash(weighted.select(F.col("src").alias("id")).unionByName(weighted.select(F.col("dst").alias("id"))).distinct(), "nodes")
+    edges = edges.where("src is not null and dst is not null").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
+    edges = stash(edges.repartition("dst"), "by-target")
+    out = stash(edges.groupBy("src").agg(F.count("*").alias("out")), "out")
+    nodes = stash(out.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id")).distinct()).distinct(), "nodes")
     n = nodes.count()
     if not n:
         return nodes.withColumn("rank", F.lit(0.0))
+    if n <= local:
+        return _pagerank_here(edges, out, nodes, rounds, damping).select("id", F.round("rank", 6).alias("rank"))
+    pairs = edges.groupBy("src", "dst").agg(F.count("*").alias("n"))
+    weighted = stash_by(pairs.join(out, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("w")), "weights", "src")
     base, ranks = (1 - damping) / n, None
     for k in range(rounds):
         from_src = F.lit(1.0 / n) if ranks is None else F.coalesce("rank", F.lit(base))
