@@ -54,7 +54,7 @@ class Network:
     buckets: int = 256
     dims: int = 16
     radius: int = 2
-    every: int = 4
+    every: int = 1
     batch: int = 1024
     rate: float = 0.8
     seed: int = 7
