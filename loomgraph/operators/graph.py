@@ -29,6 +29,10 @@ LOCAL_NODES = 4_000_000
 CHUNK = 1 << 18
 #: Such rows in one file: 16 MB at most.
 ROWS = 8
+#: Neighbours that a task holds before it leaves all but the first of each seed: 32 MB a side.
+HELD = 1 << 22
+#: Seeds, as a power of two, whose neighbours are put together at once.
+SEED_BITS = 15
 #: Pairs of files that one task takes in; what is left of a larger graph is reduced by joins first.
 LOCAL_PAIRS = 2_000_000
 
@@ -539,17 +543,220 @@ def attribute(points: DataFrame, spans: DataFrame) -> DataFrame:
     return points.join(swept, ["file_id", "line"], "left")
 
 
-def seed_neighbours(edges: DataFrame | Adjacency, seeds: DataFrame, symbols: DataFrame, fanout: int = 10) -> DataFrame:
-    """(seed, side, id, place): up to ``fanout`` callers and callees of each seed in canonical order."""
-    adjacent = adjacency(edges)
-    few = [r[0] for r in seeds.select("id").distinct().limit(SEEDS + 1).collect()]
-    if len(few) <= SEEDS:
-        into, out = adjacent.by_dst.where(F.col("dst").isin(few)), adjacent.by_src.where(F.col("src").isin(few))
+def _canonical() -> list:
+    """Symbols in their order, nulls behind all others as in the SQL."""
+    return [F.asc_nulls_last(c) for c in ("qualified_name", "start_line", "id")]
+
+
+class _Places:
+    """Numbers of ids: their places in the sorted ``ids``, by a table where these lie close together."""
+
+    def __init__(self, ids: np.ndarray):
+        self.ids, self.table = ids, None
+        if len(ids) and int(ids[-1]) - int(ids[0]) < 4 * len(ids) + 1024:
+            self.table = np.full(int(ids[-1]) - int(ids[0]) + 1, -1, np.int32)
+            self.table[ids - ids[0]] = np.arange(len(ids), dtype=np.int32)
+
+    def __call__(self, found: np.ndarray) -> np.ndarray:
+        """The number of each, or -1."""
+        if not len(self.ids):
+            return np.full(len(found), -1, np.int32)
+        if self.table is not None:
+            inside = (found >= self.ids[0]) & (found <= self.ids[-1])
+            return np.where(inside, self.table[np.where(inside, found, self.ids[0]) - self.ids[0]], -1)
+        at = np.minimum(np.searchsorted(self.ids, found), len(self.ids) - 1)
+        return np.where(self.ids[at] == found, at, -1).astype(np.int32)
+
+
+def _firsts(keys: np.ndarray, fanout: int) -> np.ndarray:
+    """The distinct keys (a seed's number << 32 | a rank) in order, of each seed the first ``fanout``."""
+    keys = np.sort(keys)
+    keys = keys[np.diff(keys, prepend=-1) != 0]
+    seed = keys >> 32
+    return keys[np.r_[np.ones(min(fanout, len(keys)), bool), seed[fanout:] != seed[:-fanout]]]
+
+
+@dataclass
+class _Ranked:
+    """Of the sorted ``ids`` the k-th is borne by the symbols of ``ranks[first[k]:first[k+1]]``; ``wanted`` tells by number which are seeds, None if any end of an edge is one."""
+
+    ids: np.ndarray
+    first: np.ndarray
+    ranks: np.ndarray
+    wanted: np.ndarray | None
+
+    @staticmethod
+    def of(by_rank: np.ndarray, seeds: np.ndarray | None) -> _Ranked:
+        ids = np.unique(by_rank if seeds is None else np.concatenate([by_rank, seeds]))
+        order = np.argsort(by_rank, kind="stable")
+        first = np.searchsorted(by_rank[order], ids)
+        return _Ranked(ids, np.append(first, len(by_rank)).astype(np.int32), order.astype(np.int32), None if seeds is None else np.isin(ids, seeds))
+
+    def spread(self, number: np.ndarray, fanout: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``number``, rank) for the first ``fanout`` symbols of each; -1 has none."""
+        begin = self.first[number]
+        size = np.where(number < 0, 0, np.minimum(self.first[number + 1] - begin, fanout))
+        at = np.repeat(np.arange(len(number)), size)
+        return at, self.ranks[begin[at] + np.arange(len(at)) - (np.cumsum(size) - size)[at]]
+
+
+def _near(edges: DataFrame, shared, fanout: int, parts: int) -> DataFrame:
+    """(side, part, keys, seeds): of what some edges tell of each seed the first ``fanout``, as keys of numbers and ranks.
+
+    A seed that no symbol bears has no number: its id stands in ``seeds`` and its keys are ranks. Null has the number behind the last.
+    """
+    most, bits = HELD, SEED_BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: _Ranked = shared.value
+        places, null = _Places(own.ids), len(own.ids)
+        held, strange = ([], []), ([], [])
+        counts, odd = [0, 0], [0, 0]
+
+        def rows(side: int, found: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+            part, keys, seeds = zip(*found, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array([side] * len(found), pa.int32()), pa.array(part, pa.int32()), pa.array(keys, pa.binary()), pa.array(seeds, pa.binary())], ["side", "part", "keys", "seeds"])
+
+        def cut(side: int, last: bool) -> Iterator[pa.RecordBatch]:
+            keys = _firsts(np.concatenate(held[side]), fanout)
+            held[side][:], counts[side] = [keys], len(keys)
+            if len(keys) and (last or len(keys) > most // 2):
+                at = np.searchsorted(keys, np.arange(parts + 1) << (bits + 32))
+                yield rows(side, [(k, keys[at[k] : at[k + 1]].tobytes(), b"") for k in np.flatnonzero(np.diff(at)).tolist()])
+                held[side][:], counts[side] = [], 0
+
+        def cut_strange(side: int, last: bool) -> Iterator[pa.RecordBatch]:
+            seeds, ranks = _strange_firsts(strange[side], fanout)
+            strange[side][:], odd[side] = [(seeds, ranks)], len(seeds)
+            if len(seeds) and (last or len(seeds) > most // 2):
+                part = seeds % parts
+                yield rows(side, [(k, ranks[part == k].tobytes(), seeds[part == k].tobytes()) for k in np.unique(part).tolist()])
+                strange[side][:], odd[side] = [], 0
+
+        for batch in batches:
+            ends = []
+            for name in ("src", "dst"):
+                column = batch.column(name)
+                values = column.fill_null(0).to_numpy()
+                number = places(values)
+                missing = np.asarray(column.is_null()) if column.null_count else None
+                ends.append((values, number, missing))
+            for side, ((_, near, gone), (values, seed, missing)) in enumerate((ends, ends[::-1])):
+                at, rank = own.spread(near if gone is None else np.where(gone, -1, near), fanout)
+                if missing is not None:
+                    seed = np.where(missing, null if own.wanted is None else -1, seed)
+                seed = seed[at]
+                known = seed >= 0 if own.wanted is None else (seed >= 0) & own.wanted[seed]
+                if not known.all():
+                    if own.wanted is None:
+                        strange[side].append((values[at][~known], rank[~known]))
+                        odd[side] += len(strange[side][-1][0])
+                    seed, rank = seed[known], rank[known]
+                held[side].append(seed.astype(np.int64) << 32 | rank)
+                counts[side] += len(seed)
+                if counts[side] >= most:
+                    yield from cut(side, False)
+                if odd[side] >= most:
+                    yield from cut_strange(side, False)
+        for side in (0, 1):
+            if counts[side]:
+                yield from cut(side, True)
+            if odd[side]:
+                yield from cut_strange(side, True)
+
+    return edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).mapInArrow(run, "side int, part int, keys binary, seeds binary")
+
+
+def _strange_firsts(held: list[tuple[np.ndarray, np.ndarray]], fanout: int) -> tuple[np.ndarray, np.ndarray]:
+    """(seeds, ranks): as ``_firsts`` for seeds without numbers."""
+    seeds, number = np.unique(np.concatenate([s for s, _ in held]), return_inverse=True)
+    keys = _firsts(number.astype(np.int64) << 32 | np.concatenate([r for _, r in held]), fanout)
+    return seeds[keys >> 32], (keys & 0xFFFFFFFF).astype(np.int32)
+
+
+def _placed(shared, fanout: int):
+    most = HELD
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by side and part."""
+        own: _Ranked = shared.value
+        by_rank = np.empty(len(own.ranks), np.int64)
+        by_rank[own.ranks] = np.repeat(own.ids, np.diff(own.first))
+        ids, null = np.append(own.ids, 0), len(own.ids)
+        group, held, strange, count = None, [], [], 0
+
+        def batch_of(seeds: np.ndarray, missing: np.ndarray | None, ranks: np.ndarray, begins: np.ndarray) -> pa.RecordBatch:
+            n = len(seeds)
+            head = np.flatnonzero(begins)
+            place = np.arange(n) - np.repeat(head, np.diff(np.append(head, n))) + 1
+            side = pa.repeat("callee" if group[0] else "caller", n)
+            return pa.RecordBatch.from_arrays([pa.array(seeds, mask=missing), side, pa.array(by_rank[ranks]), pa.array(place.astype(np.int32))], ["seed", "side", "id", "place"])
+
+        def told() -> Iterator[pa.RecordBatch]:
+            if held:
+                keys = _firsts(np.concatenate(held), fanout)
+                seed = keys >> 32
+                yield batch_of(ids[seed], seed == null, keys & 0xFFFFFFFF, np.diff(seed, prepend=-1) != 0)
+            if strange:
+                seeds, ranks = _strange_firsts(strange, fanout)
+                yield batch_of(seeds, None, ranks, np.r_[True, seeds[1:] != seeds[:-1]])
+
+        for batch in batches:
+            for side, part, keys, seeds in zip(batch.column("side").to_pylist(), batch.column("part").to_pylist(), batch.column("keys"), batch.column("seeds"), strict=True):
+                if (side, part) != group:
+                    if group is not None:
+                        yield from told()
+                    group, held, strange, count = (side, part), [], [], 0
+                if len(seeds.as_buffer()):
+                    strange.append((np.frombuffer(seeds.as_buffer(), np.int64), np.frombuffer(keys.as_buffer(), np.int32)))
+                    count += len(strange[-1][0])
+                else:
+                    held.append(np.frombuffer(keys.as_buffer(), np.int64))
+                    count += len(held[-1])
+                if count >= most:
+                    held = [_firsts(np.concatenate(held), fanout)] if held else []
+                    strange = [_strange_firsts(strange, fanout)] if strange else []
+                    count = 0
+        if group is not None:
+            yield from told()
+
+    return run
+
+
+def _neighbours_here(edges: DataFrame, seeds: np.ndarray | None, symbols: DataFrame, fanout: int) -> DataFrame:
+    """(seed, side, id, place) of symbols whose ranks are sent out: the edges are read once, where they are, and what is shuffled are the first ``fanout`` of each seed that a task has seen."""
+    by_rank = symbols.orderBy(*_canonical()).select("id").toArrow()["id"].to_numpy()
+    ranked = _Ranked.of(by_rank, seeds)
+    shared, parts = edges.sparkSession.sparkContext.broadcast(ranked), (len(ranked.ids) >> SEED_BITS) + 1
+    cut = _near(edges, shared, fanout, parts).repartition("side", "part").sortWithinPartitions("side", "part")
+    return cut.select("side", "part", "keys", "seeds").mapInArrow(_placed(shared, fanout), "seed long, side string, id long, place int")
+
+
+def seed_neighbours(edges: DataFrame | Adjacency, seeds: DataFrame | None, symbols: DataFrame, fanout: int = 10, local: int = LOCAL_NODES) -> DataFrame:
+    """(seed, side, id, place): up to ``fanout`` callers and callees of each seed in canonical order, an id for each symbol that bears it.
+
+    Without ``seeds`` every end of an edge is one, null and ids that no symbol bears included. Up to ``local``
+    symbols are sorted once and their ranks sent out to the edges; beyond, all pairs are joined and sorted.
+    """
+    symbols = symbols.select(F.col("id").cast("long").alias("id"), "qualified_name", "start_line").where("id is not null")
+    if seeds is None:
+        both = edges.by_src if isinstance(edges, Adjacency) else edges
+        if symbols.count() <= local:
+            return _neighbours_here(both, None, symbols, fanout)
+        into = out = both
     else:
-        s = seeds.select("id").distinct()
-        into, out = adjacent.by_dst.join(s.withColumnRenamed("id", "dst"), "dst", "left_semi"), adjacent.by_src.join(s.withColumnRenamed("id", "src"), "src", "left_semi")
+        adjacent, s = adjacency(edges), seeds.select(F.col("id").cast("long").alias("id")).where("id is not null").distinct()
+        few = [r[0] for r in s.limit(SEEDS + 1).collect()]
+        if len(few) <= SEEDS:
+            into, out = adjacent.by_dst.where(F.col("dst").isin(few)), adjacent.by_src.where(F.col("src").isin(few))
+        else:
+            if symbols.count() <= local:
+                many = s.limit(local + 1).toArrow()["id"].to_numpy()
+                if len(many) <= local:
+                    return _neighbours_here(adjacent.by_src, many, symbols, fanout)
+            into, out = adjacent.by_dst.join(s.withColumnRenamed("id", "dst"), "dst", "left_semi"), adjacent.by_src.join(s.withColumnRenamed("id", "src"), "src", "left_semi")
     up = into.select(F.col("dst").alias("seed"), F.lit("caller").alias("side"), F.col("src").alias("id"))
     down = out.select(F.col("src").alias("seed"), F.lit("callee").alias("side"), F.col("dst").alias("id"))
-    near = up.unionByName(down).distinct().join(symbols.select("id", "qualified_name", "start_line"), "id")
-    order = Window.partitionBy("seed", "side").orderBy("qualified_name", "start_line", "id")
+    near = up.unionByName(down).distinct().join(symbols, "id")
+    order = Window.partitionBy("seed", "side").orderBy(*_canonical())
     return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= fanout).select("seed", "side", "id", "place")

@@ -64,7 +64,9 @@ def load(spark: SparkSession, folder: str) -> Graph:
     lines = read("lineitem").join(read("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").join(customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("long").alias("nk")), "o_custkey")
     uses = lines.select((3_000_000 + F.col("o_custkey")).alias("src"), (1_000_000 + F.col("l_partkey")).alias("dst"), (3000 + F.col("nk")).alias("file_id"), F.col("l_linenumber").cast("long").alias("line"), "l_partkey")
     made = read("lineitem").select("l_partkey", "l_suppkey").distinct().join(p.select(F.col("p_partkey").alias("l_partkey"), "file_id"), "l_partkey").select((1_000_000 + F.col("l_partkey")).alias("src"), (2_000_000 + F.col("l_suppkey")).alias("dst"), "file_id", F.lit(0).cast("long").alias("line"))
-    sold = supplier.join(customer, (F.col("s_nationkey") == F.col("c_nationkey")) & (F.col("c_custkey") % 10 == F.col("s_suppkey") % 10)).select((2_000_000 + F.col("s_suppkey")).alias("src"), (3_000_000 + F.col("c_custkey")).alias("dst"), (2000 + F.col("s_nationkey")).cast("long").alias("file_id"), F.lit(0).cast("long").alias("line"))
+    # a customer has an edge from every tenth supplier of the nation, and a small file would be one task
+    buyers = customer.select("c_custkey", "c_nationkey").repartition(2 * spark.sparkContext.defaultParallelism, "c_custkey")
+    sold = supplier.join(buyers, (F.col("s_nationkey") == F.col("c_nationkey")) & (F.col("c_custkey") % 10 == F.col("s_suppkey") % 10)).select((2_000_000 + F.col("s_suppkey")).alias("src"), (3_000_000 + F.col("c_custkey")).alias("dst"), (2000 + F.col("s_nationkey")).cast("long").alias("file_id"), F.lit(0).cast("long").alias("line"))
     edges = uses.drop("l_partkey").unionByName(made).unionByName(sold)
     form = F.col("line") % 4
     calls = uses.join(p.select(F.col("p_partkey").alias("l_partkey"), "name", "brand"), "l_partkey").select(

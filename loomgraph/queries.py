@@ -215,7 +215,7 @@ def edge_attribution(g, spark, folder):
 @_query("""nb AS (SELECT DISTINCT dst AS seed, 'caller' AS side, src AS id FROM edges UNION SELECT DISTINCT src, 'callee', dst FROM edges),
 pl2 AS (SELECT seed, side, id, row_number() OVER (PARTITION BY seed, side ORDER BY qualified_name, start_line, id) AS place FROM nb JOIN symbols USING (id)) SELECT * FROM pl2 WHERE place <= 10""")
 def seed_neighbours(g, spark, folder):
-    return graph.seed_neighbours(g.edges, g.symbols, g.symbols, 10)
+    return graph.seed_neighbours(g.edges, None, g.symbols, 10)
 
 
 # search
