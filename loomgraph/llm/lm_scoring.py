@@ -127,29 +127,64 @@ def windows(ids: np.ndarray, at: np.ndarray, radius: int) -> tuple[np.ndarray, n
     return found.targets, found.contexts(slice(None))
 
 
+def _steady(z: np.ndarray) -> np.ndarray:
+    """``z`` as exponents, in place: rows are shifted by their maxima unless all are small."""
+    if z.size and not max(z.max(), -z.min()) < 60:
+        z -= z.max(axis=1, keepdims=True)
+    return z
+
+
+def _sums(z: np.ndarray) -> np.ndarray:
+    return z @ np.ones(z.shape[1], z.dtype)
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    """Of each row, in place."""
+    np.exp(_steady(z), out=z)
+    z /= _sums(z)[:, None]
     return z
 
 
 def _hidden(weights: list[np.ndarray], contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    near = weights[0][contexts]
-    return np.tanh((near * weights[1]).sum(axis=1) + weights[2]), near
+    near = weights[0].take(contexts, axis=0)
+    h = near[:, 0] * weights[1][0]
+    for k in range(1, contexts.shape[1]):
+        h += near[:, k] * weights[1][k]
+    h += weights[2]
+    return np.tanh(h, out=h), near
 
 
-def _by_class(net: Network, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in the order of their targets' classes, and where each class begins."""
+def _by_class(net: Network, targets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Positions in the order of their targets' classes, and (class, begin, end) for each that is there."""
     kind = (targets // net.members).astype(np.uint16)
     order = np.argsort(kind, kind="stable")
-    return order, np.searchsorted(kind[order], np.arange(net.classes + 1))
+    begin = np.searchsorted(kind[order], np.arange(net.classes + 1))
+    return order, [(k, int(begin[k]), int(begin[k + 1])) for k in np.flatnonzero(np.diff(begin)).tolist()]
+
+
+def _with_one(h: np.ndarray) -> np.ndarray:
+    """``h`` with a last column of ones, which the bias goes by."""
+    out = np.ones((len(h), h.shape[1] + 1), h.dtype)
+    out[:, :-1] = h
+    return out
+
+
+def _inner(weights: list[np.ndarray]) -> np.ndarray:
+    """The members of each class with their bias as the last row."""
+    return np.concatenate([weights[5], weights[6][:, None]], axis=1)
+
+
+def _members(inner: np.ndarray, own: np.ndarray, classes: list[tuple[int, int, int]]) -> np.ndarray:
+    """What the members of its class have at each position before the softmax, for positions ``own`` (with ones) in the order of classes."""
+    z = np.empty((len(own), inner.shape[2]), own.dtype)
+    for k, a, e in classes:
+        np.dot(own[a:e], inner[k], out=z[a:e])
+    return z
 
 
 def _log_softmax_at(z: np.ndarray, column: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    at = z[np.arange(len(z)), column]
-    return at - np.log(np.exp(z, out=z).sum(axis=1))
+    at = _steady(z)[np.arange(len(z)), column]
+    return at - np.log(_sums(np.exp(z, out=z)))
 
 
 def log_probabilities(net: Network, weights: list[np.ndarray], targets: np.ndarray, contexts) -> np.ndarray:
@@ -157,17 +192,13 @@ def log_probabilities(net: Network, weights: list[np.ndarray], targets: np.ndarr
     if not callable(contexts):
         every = contexts
         contexts = lambda part: every[part]
-    out = np.empty(len(targets), np.float64)
-    for lo in range(0, len(targets), 8 * net.batch):
-        t = targets[lo : lo + 8 * net.batch]
+    out, inner = np.empty(len(targets), np.float64), _inner(weights)
+    for lo in range(0, len(targets), 2 * net.batch):
+        t = targets[lo : lo + 2 * net.batch]
         h, _ = _hidden(weights, contexts(slice(lo, lo + len(t))))
         p = _log_softmax_at(h @ weights[3] + weights[4], t // net.members)
-        order, begin = _by_class(net, t)
-        own, member, q = h[order], t[order] % net.members, np.empty(len(t), h.dtype)
-        for k in np.flatnonzero(np.diff(begin)).tolist():
-            a, z = begin[k], begin[k + 1]
-            q[a:z] = _log_softmax_at(own[a:z] @ weights[5][k] + weights[6][k], member[a:z])
-        p[order] += q
+        order, classes = _by_class(net, t)
+        p[order] += _log_softmax_at(_members(inner, _with_one(h[order]), classes), t[order] % net.members)
         out[lo : lo + len(t)] = p
     return np.maximum(out, -69.0)
 
@@ -176,39 +207,46 @@ def train_step(net: Network, weights: list[np.ndarray], moments: list[np.ndarray
     """One Adagrad step on the mean of -log P, in place; embeddings only of the tokens that occur."""
     n = len(targets)
 
-    def move(k: int, gradient: np.ndarray, at=slice(None)) -> None:
-        g = gradient / n
-        m = moments[k][at] + g * g
-        moments[k][at] = m
-        weights[k][at] -= net.rate * g / (np.sqrt(m) + 1e-6)
+    def move(k: int, g: np.ndarray, at=None) -> None:
+        g /= n
+        m = moments[k] if at is None else moments[k][at]
+        m += g * g
+        root = np.sqrt(m)
+        root += 1e-6
+        g *= net.rate
+        g /= root
+        if at is None:
+            weights[k] -= g
+        else:
+            moments[k][at] = m
+            weights[k][at] -= g
 
     h, near = _hidden(weights, contexts)
     off = _softmax(h @ weights[3] + weights[4])
     off[np.arange(n), targets // net.members] -= 1
     back = off @ weights[3].T
-    order, begin = _by_class(net, targets)
-    own, member, behind = h[order], targets[order] % net.members, np.empty_like(h)
-    inner, inner_bias = np.zeros_like(weights[5]), np.zeros_like(weights[6])
-    for k in np.flatnonzero(np.diff(begin)).tolist():
-        a, z = begin[k], begin[k + 1]
-        q = _softmax(own[a:z] @ weights[5][k] + weights[6][k])
-        q[np.arange(z - a), member[a:z]] -= 1
-        behind[a:z] = q @ weights[5][k].T
-        inner[k], inner_bias[k] = own[a:z].T @ q, q.sum(axis=0)
+    order, classes = _by_class(net, targets)
+    own, outer = _with_one(h[order]), weights[5].transpose(0, 2, 1)
+    q = _softmax(_members(_inner(weights), own, classes))
+    q[np.arange(n), targets[order] % net.members] -= 1
+    behind, inner = np.empty_like(h), np.zeros((net.classes, net.dims + 1, net.members), h.dtype)
+    for k, a, e in classes:
+        np.dot(q[a:e], outer[k], out=behind[a:e])
+        np.dot(own[a:e].T, q[a:e], out=inner[k])
     back[order] += behind
     back *= 1 - h * h
     place = contexts.reshape(-1)
     by = np.argsort(place, kind="stable")
-    first = np.flatnonzero(np.r_[True, place[by][1:] != place[by][:-1]])
-    spread = (back[:, None, :] * weights[1]).reshape(-1, net.dims)[by]
+    first = np.flatnonzero(np.diff(place[by].astype(np.int32), prepend=-1))
+    spread = (back[:, None, :] * weights[1]).reshape(-1, net.dims).take(by, axis=0)
     across = np.einsum("nd,nkd->kd", back, near)
     move(0, np.add.reduceat(spread, first, axis=0), place[by][first])
     move(1, across)
     move(2, back.sum(axis=0))
     move(3, h.T @ off)
     move(4, off.sum(axis=0))
-    move(5, inner)
-    move(6, inner_bias)
+    move(5, inner[:, :-1])
+    move(6, inner[:, -1])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
