@@ -65,18 +65,18 @@ class Network:
 
     @property
     def shapes(self) -> list[tuple[int, ...]]:
-        """Embeddings, weights of the positions, bias; classes and their bias; members of each class and their bias."""
-        return [(self.tokens, self.dims), (2 * self.radius, self.dims), (self.dims,), (self.dims, self.classes), (self.classes,), (self.classes, self.dims, self.members), (self.classes, self.members)]
+        """Embeddings, weights of the positions, bias; classes and their bias; members of each class with their bias as the last row."""
+        return [(self.tokens, self.dims), (2 * self.radius, self.dims), (self.dims,), (self.dims, self.classes), (self.classes,), (self.classes, self.dims + 1, self.members)]
 
     def first(self, counts: np.ndarray | None = None) -> list[np.ndarray]:
         """Weights to begin with; the biases give every token its share of ``counts`` (tokens by id), so nothing is left to learn but the context."""
         draw = np.random.default_rng(self.seed)
-        weights = [(draw.standard_normal(s) * 0.1).astype(np.float32) for s in self.shapes]
+        weights = [(draw.standard_normal(s) * 0.1).astype(np.float32) for s in [*self.shapes[:-1], (self.classes, self.dims, self.members)]]
         weights[1] += 1
         share = (np.ones(self.tokens) if counts is None else counts + 1.0).reshape(self.classes, self.members)
         weights[2][:] = 0
         weights[4] = np.log(share.sum(axis=1) / share.sum()).astype(np.float32)
-        weights[6] = np.log(share / share.sum(axis=1, keepdims=True)).astype(np.float32)
+        weights[5] = np.concatenate([weights[5], np.log(share / share.sum(axis=1, keepdims=True)).astype(np.float32)[:, None]], axis=1)
         return weights
 
 
@@ -87,7 +87,7 @@ def flat(weights: list[np.ndarray]) -> np.ndarray:
 def importance(net: Network, seen: np.ndarray) -> np.ndarray:
     """How many of the tokens ``seen`` (by id) taught each weight: embeddings by their own token, members by their class, all others by every token."""
     classes = seen.reshape(net.classes, net.members).sum(axis=1)
-    by = [seen, seen.sum(), seen.sum(), seen.sum(), seen.sum(), classes, classes]
+    by = [seen, seen.sum(), seen.sum(), seen.sum(), seen.sum(), classes]
     return np.concatenate([np.repeat(x, int(np.prod(s)) // np.size(x)) for x, s in zip(by, net.shapes, strict=True)])
 
 
@@ -169,11 +169,6 @@ def _with_one(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _inner(weights: list[np.ndarray]) -> np.ndarray:
-    """The members of each class with their bias as the last row."""
-    return np.concatenate([weights[5], weights[6][:, None]], axis=1)
-
-
 def _members(inner: np.ndarray, own: np.ndarray, classes: list[tuple[int, int, int]]) -> np.ndarray:
     """What the members of its class have at each position before the softmax, for positions ``own`` (with ones) in the order of classes."""
     z = np.empty((len(own), inner.shape[2]), own.dtype)
@@ -192,13 +187,13 @@ def log_probabilities(net: Network, weights: list[np.ndarray], targets: np.ndarr
     if not callable(contexts):
         every = contexts
         contexts = lambda part: every[part]
-    out, inner = np.empty(len(targets), np.float64), _inner(weights)
-    for lo in range(0, len(targets), 2 * net.batch):
-        t = targets[lo : lo + 2 * net.batch]
+    out = np.empty(len(targets), np.float64)
+    for lo in range(0, len(targets), 4 * net.batch):
+        t = targets[lo : lo + 4 * net.batch]
         h, _ = _hidden(weights, contexts(slice(lo, lo + len(t))))
         p = _log_softmax_at(h @ weights[3] + weights[4], t // net.members)
         order, classes = _by_class(net, t)
-        p[order] += _log_softmax_at(_members(inner, _with_one(h[order]), classes), t[order] % net.members)
+        p[order] += _log_softmax_at(_members(weights[5], _with_one(h[order]), classes), t[order] % net.members)
         out[lo : lo + len(t)] = p
     return np.maximum(out, -69.0)
 
@@ -207,46 +202,46 @@ def train_step(net: Network, weights: list[np.ndarray], moments: list[np.ndarray
     """One Adagrad step on the mean of -log P, in place; embeddings only of the tokens that occur."""
     n = len(targets)
 
-    def move(k: int, g: np.ndarray, at=None) -> None:
-        g /= n
-        m = moments[k] if at is None else moments[k][at]
-        m += g * g
-        root = np.sqrt(m)
+    def change(g: np.ndarray, m: np.ndarray) -> np.ndarray:
+        root = g * g
+        m += root
+        np.sqrt(m, out=root)
         root += 1e-6
         g *= net.rate
         g /= root
-        if at is None:
-            weights[k] -= g
-        else:
-            moments[k][at] = m
-            weights[k][at] -= g
+        return g
 
     h, near = _hidden(weights, contexts)
     off = _softmax(h @ weights[3] + weights[4])
-    off[np.arange(n), targets // net.members] -= 1
+    rows = np.arange(n)
+    off[rows, targets // net.members] -= 1
+    off /= n
     back = off @ weights[3].T
     order, classes = _by_class(net, targets)
-    own, outer = _with_one(h[order]), weights[5].transpose(0, 2, 1)
-    q = _softmax(_members(_inner(weights), own, classes))
-    q[np.arange(n), targets[order] % net.members] -= 1
-    behind, inner = np.empty_like(h), np.zeros((net.classes, net.dims + 1, net.members), h.dtype)
+    own, outer = _with_one(h[order]), weights[5][:, :-1].transpose(0, 2, 1)
+    q = _softmax(_members(weights[5], own, classes))
+    q[rows, targets[order] % net.members] -= 1
+    behind, inner, turned = np.empty_like(h), np.zeros_like(weights[5]), own.T / n
     for k, a, e in classes:
         np.dot(q[a:e], outer[k], out=behind[a:e])
-        np.dot(own[a:e].T, q[a:e], out=inner[k])
+        np.dot(turned[:, a:e], q[a:e], out=inner[k])
+    behind /= n
     back[order] += behind
     back *= 1 - h * h
     place = contexts.reshape(-1)
     by = np.argsort(place, kind="stable")
-    first = np.flatnonzero(np.diff(place[by].astype(np.int32), prepend=-1))
+    place = place[by]
+    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
     spread = (back[:, None, :] * weights[1]).reshape(-1, net.dims).take(by, axis=0)
-    across = np.einsum("nd,nkd->kd", back, near)
-    move(0, np.add.reduceat(spread, first, axis=0), place[by][first])
-    move(1, across)
-    move(2, back.sum(axis=0))
-    move(3, h.T @ off)
-    move(4, off.sum(axis=0))
-    move(5, inner[:, :-1])
-    move(6, inner[:, -1])
+    across, taught = np.einsum("nd,nkd->kd", back, near), place[first]
+    m = moments[0].take(taught, axis=0)
+    weights[0][taught] -= change(np.add.reduceat(spread, first, axis=0), m)
+    moments[0][taught] = m
+    for k, gradient in ((1, across), (2, back.sum(axis=0)), (3, h.T @ off), (4, off.sum(axis=0))):
+        weights[k] -= change(gradient, moments[k])
+    for lo in range(0, net.classes, 16):  # as much as is close to the processor
+        part = slice(lo, lo + 16)
+        weights[5][part] -= change(inner[part], moments[5][part])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
