@@ -39,6 +39,8 @@ KNOWN = 1 << 20
 SCALE = 64
 #: Tokens of a shard, at most about, and tokens whose windows are built at once.
 SHARD, BLOCK = 1 << 25, 1 << 18
+#: Classes that a step deals with at once, so that what it reads again is still close to the processor.
+NEAR = 16
 #: Nats that each byte of a new word takes, and its end: one of 32 letters.
 SPELL = math.log(32)
 #: Parts in which a replica's weights travel.
@@ -170,10 +172,11 @@ def _with_one(h: np.ndarray) -> np.ndarray:
 
 
 def _members(inner: np.ndarray, own: np.ndarray, classes: list[tuple[int, int, int]]) -> np.ndarray:
-    """What the members of its class have at each position before the softmax, for positions ``own`` (with ones) in the order of classes."""
-    z = np.empty((len(own), inner.shape[2]), own.dtype)
+    """What the members of its class have at each position of ``classes`` before the softmax, for positions ``own`` (with ones) in the order of classes."""
+    begin = classes[0][1]
+    z = np.empty((classes[-1][2] - begin, inner.shape[2]), own.dtype)
     for k, a, e in classes:
-        np.dot(own[a:e], inner[k], out=z[a:e])
+        np.dot(own[a:e], inner[k], out=z[a - begin : e - begin])
     return z
 
 
@@ -188,8 +191,8 @@ def log_probabilities(net: Network, weights: list[np.ndarray], targets: np.ndarr
         every = contexts
         contexts = lambda part: every[part]
     out = np.empty(len(targets), np.float64)
-    for lo in range(0, len(targets), 4 * net.batch):
-        t = targets[lo : lo + 4 * net.batch]
+    for lo in range(0, len(targets), 2 * net.batch):
+        t = targets[lo : lo + 2 * net.batch]
         h, _ = _hidden(weights, contexts(slice(lo, lo + len(t))))
         p = _log_softmax_at(h @ weights[3] + weights[4], t // net.members)
         order, classes = _by_class(net, t)
@@ -218,13 +221,21 @@ def train_step(net: Network, weights: list[np.ndarray], moments: list[np.ndarray
     off /= n
     back = off @ weights[3].T
     order, classes = _by_class(net, targets)
-    own, outer = _with_one(h[order]), weights[5][:, :-1].transpose(0, 2, 1)
-    q = _softmax(_members(weights[5], own, classes))
-    q[rows, targets[order] % net.members] -= 1
-    behind, inner, turned = np.empty_like(h), np.zeros_like(weights[5]), own.T / n
-    for k, a, e in classes:
-        np.dot(q[a:e], outer[k], out=behind[a:e])
-        np.dot(turned[:, a:e], q[a:e], out=inner[k])
+    own, outer, member, behind = _with_one(h[order]), weights[5][:, :-1].transpose(0, 2, 1), targets[order] % net.members, np.empty_like(h)
+    turned = own.T / n
+    for lo in range(0, net.classes, NEAR):
+        some = [c for c in classes if lo <= c[0] < lo + NEAR]
+        if not some:
+            continue
+        begin, end, part = some[0][1], some[-1][2], slice(lo, lo + NEAR)
+        q = _softmax(_members(weights[5], own, some))
+        q[rows[: end - begin], member[begin:end]] -= 1
+        inner = np.zeros_like(weights[5][part])
+        for k, a, e in some:
+            of = q[a - begin : e - begin]
+            np.dot(of, outer[k], out=behind[a:e])
+            np.dot(turned[:, a:e], of, out=inner[k - lo])
+        weights[5][part] -= change(inner, moments[5][part])
     behind /= n
     back[order] += behind
     back *= 1 - h * h
@@ -239,9 +250,6 @@ def train_step(net: Network, weights: list[np.ndarray], moments: list[np.ndarray
     moments[0][taught] = m
     for k, gradient in ((1, across), (2, back.sum(axis=0)), (3, h.T @ off), (4, off.sum(axis=0))):
         weights[k] -= change(gradient, moments[k])
-    for lo in range(0, net.classes, 16):  # as much as is close to the processor
-        part = slice(lo, lo + 16)
-        weights[5][part] -= change(inner[part], moments[5][part])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
